@@ -1,17 +1,18 @@
 """Near-duplicate messages (problem 3).
 
-Method: generalised pigeonhole over sketches. Every text is a set of runs of consecutive
-words; its sketch is SYMBOLS minhash values, each a group of bits that change together. The
-symbols are grouped into partitions of two. If two sketches differ in at most TAU symbols, then
-for any thresholds t_i with sum(t_i + 1) = TAU + 1 there is a partition i in which they differ
-in at most t_i symbols (t_i = -1 skips a partition). For every text the thresholds are
-allocated by dynamic programming over the estimated number of candidates that each choice
-brings: t = 0 probes the pair of symbols, t = 1 each symbol of it. The probes are joined with
-the index, and every candidate is verified exactly on the full sets of word runs.
-
-The estimates are counts of index keys in a table of CELLS counters, summed over all texts
-on the executors; only this table of fixed size reaches the driver and is broadcast.
-Equal texts form a class first and are represented by one member.
+Method: generalised pigeonhole. A text is a bit vector over all runs of consecutive words. Bits
+that change together, those of neighbouring runs, are grouped: the text is cut at words whose
+hash is a local minimum, so that equal passages are cut alike wherever they stand, and two
+neighbouring chunks form a partition. If two texts differ in at most TAU chunks, then for any
+thresholds t_i with sum(t_i + 1) = TAU + 1 there is a partition i in which they differ in at most
+t_i chunks (t_i = -1 skips a partition, 0 probes the rarer chunk of it, 1 probes both). For every
+text the thresholds are allocated by dynamic programming on the estimated number of candidates of
+each choice. Probes are joined with the index of all chunks; candidates are verified by the Hamming
+distance of bit sketches first and then exactly, on the full sets of runs.
+
+The estimates are counts of chunks in a table of CELLS counters, summed over all texts on the
+executors; only this table of fixed size reaches the driver and is broadcast. Equal texts form a
+class first and are represented by one member, so copies meet neither index nor probes.
 """
 
 from __future__ import annotations
@@ -28,13 +29,17 @@ from mailloom.plans.storage import cut
 
 #: Defaults of near-duplicate operators; the queries of problem 3 use 3 words, 0.6 and 40 words.
 SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 0
-SYMBOLS, GROUP = 32, 2
-PARTITIONS = SYMBOLS // GROUP
-#: Symbols in which two sketches may differ without the pair being lost. A pair of similarity 0.6
-#: differs in 12.8 of 32 on average; more than 19 differ in 1 of 100 such pairs, of which only those are
-#: lost whose common symbols are all among the ones skipped.
-TAU = 19
-CELLS = 1 << 20
+#: A chunk begins at a word whose hash is the smallest of so many words to each side; 4.7 words on average.
+REACH = 2
+#: TAU as a share of a text's chunks is SPREAD * (1 - similarity): an edited word changes one or two chunks.
+SPREAD = 1.4
+#: Minhash symbols of a sketch, one byte each, in longs of 7; and how many of them must agree (of a pair of
+#: similarity 0.6, 21 of 35 agree on average; fewer than 10 in 1 of 20,000 such pairs).
+LONGS, PER_LONG = 5, 7
+SYMBOLS = LONGS * PER_LONG
+AGREE = 10
+CELL_BITS = 21
+CELLS = 1 << CELL_BITS
 _ODD = np.random.default_rng(7).integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(8).integers(0, 2**63, SYMBOLS, dtype=np.uint64)
 
@@ -45,9 +50,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def word_runs(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: 64-bit hashes of its runs of k words (all texts one after the other), number of
-    runs, number of words. A text of fewer than k words has one run, the whole text, if it has words."""
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and the number of words of each."""
     flat: list[str] = []
     n = np.zeros(len(texts), dtype=np.int64)
     for i, t in enumerate(texts):
@@ -55,148 +59,167 @@ def word_runs(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray,
         n[i] = len(own)
         flat += own
     if not flat:
-        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64), n
+        return np.empty(0, np.uint64), n
     codes, uniques = pd.factorize(np.array(flat, dtype=object))
-    h = pd.util.hash_array(uniques.astype(object), categorize=False)[codes]
+    return _mixed(pd.util.hash_array(uniques.astype(object), categorize=False))[codes], n
+
+
+def word_runs(h: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of k words of all texts, and the number of runs of each. A text of fewer
+    than k words has one run, the whole text, if it has words."""
     runs = np.where(n > 0, np.maximum(n - k + 1, 1), 0)
     begin = np.concatenate(([0], np.cumsum(n)[:-1]))
     at = np.repeat(begin - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(runs.sum())
     end = np.repeat(begin + n, runs)
     out = np.zeros(len(at), np.uint64)
     for j in range(k):
-        out = _mixed(out * np.uint64(0x100000001B3) + np.where(at + j < end, h[np.minimum(at + j, len(h) - 1)], np.uint64(0)))
-    return out, runs, n
+        out = _mixed(out * np.uint64(0x100000001B3) + np.where(at + j < end, h[np.minimum(at + j, max(len(h) - 1, 0))], np.uint64(0)))
+    return out, runs
+
+
+def chunk_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the distinct chunks of all texts in the order of the texts, and the number of chunks of each."""
+    if not len(h):
+        return np.empty(0, np.uint64), np.zeros(len(n), np.int64)
+    doc = np.repeat(np.arange(len(n)), n)
+    start = np.ones(len(h), bool)
+    for s in range(1, REACH + 1):
+        together = doc[s:] == doc[:-s]
+        start[s:] &= ~together | (h[s:] <= h[:-s])
+        start[:-s] &= ~together | (h[:-s] <= h[s:])
+    start[np.concatenate(([0], np.cumsum(n)[:-1]))[n > 0]] = True
+    at = np.flatnonzero(start)
+    place = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
+    keys = _mixed(np.add.reduceat(_mixed(h + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), at))
+    order = np.lexsort((keys, doc[at]))
+    d, k = doc[at][order], keys[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
+    keep = np.sort(order[new])
+    return keys[keep], np.bincount(doc[at][keep], minlength=len(n))
 
 
 def sketches(hashes: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    """(texts, SYMBOLS) uint32 minhash values; texts without runs have zeros."""
-    out = np.zeros((len(runs), SYMBOLS), dtype=np.uint32)
+    """(texts, LONGS) int64: PER_LONG minhash symbols of one byte in each; zeros for texts without runs."""
+    out = np.zeros((len(runs), LONGS), dtype=np.uint64)
     has = np.flatnonzero(runs)
     if len(has):
         starts = np.concatenate(([0], np.cumsum(runs)[:-1]))[has]
         for j in range(SYMBOLS):
-            low = np.minimum.reduceat(_mixed(hashes * _ODD[j] + _ADD[j]), starts)
-            out[has, j] = (_mixed(low) >> np.uint64(32)).astype(np.uint32)
-    return out
+            low = np.minimum.reduceat((hashes ^ _ADD[j]) * _ODD[j], starts)
+            out[has, j // PER_LONG] |= (_mixed(low) >> np.uint64(56)) << np.uint64(8 * (j % PER_LONG))
+    return out.view(np.int64)
+
 
+def agreeing(a: list[Column], b: list[Column]) -> Column:
+    """How many symbols of two sketches are equal: the zero bytes of a xor b, without a loop."""
+    low = (1 << 8 * PER_LONG) - 1
+    seven = F.lit(sum(0x7F << 8 * i for i in range(PER_LONG)))
 
-def partition_keys(sketch: np.ndarray) -> np.ndarray:
-    """(texts, PARTITIONS, 3) keys: the pair of symbols, the first symbol, the second symbol."""
-    s = sketch.astype(np.uint64).reshape(len(sketch), PARTITIONS, GROUP)
-    p = np.arange(PARTITIONS, dtype=np.uint64)[None, :]
-    pair = _mixed((s[:, :, 0] << np.uint64(32)) ^ s[:, :, 1]) * np.uint64(64) + p
-    single = [_mixed(s[:, :, g] + np.uint64(1 << 40)) * np.uint64(64) + p + np.uint64(16 * (g + 1)) for g in range(GROUP)]
-    return np.stack([pair, *single], axis=2)
+    def zero_bytes(x: Column) -> Column:
+        filled = (x.bitwiseAND(seven) + seven).bitwiseOR(x).bitwiseOR(seven)
+        return F.bit_count(F.bitwise_not(filled).bitwiseAND(F.lit(low)))
+
+    total = F.lit(0)
+    for x, y in zip(a, b):
+        total = total + zero_bytes(x.bitwiseXOR(y))
+    return total
 
 
 def cells(keys: np.ndarray) -> np.ndarray:
-    return (_mixed(keys) >> np.uint64(64 - 20)).astype(np.int64)
-
-
-def allocate(counts: np.ndarray, tau: int = TAU) -> np.ndarray:
-    """Thresholds (-1, 0 or 1) per text and partition with sum(t + 1) >= tau + 1 and the fewest candidates.
-
-    counts: (texts, PARTITIONS, 3) estimated other texts per key. Dynamic programming over the
-    partitions, for all texts at once; the state is the number of units t + 1 still to allocate."""
-    n, need = len(counts), tau + 1
-    cost = np.stack([np.zeros(counts.shape[:2]), counts[:, :, 0], counts[:, :, 1] + counts[:, :, 2]], axis=2)
-    best = np.full((n, need + 1), np.inf)
-    best[:, 0] = 0
-    choice = np.zeros((PARTITIONS, n, need + 1), dtype=np.int8)
-    for i in range(PARTITIONS):
-        new = best + cost[:, i, 0][:, None]
-        pick = np.zeros((n, need + 1), dtype=np.int8)
-        for units in (1, 2):
-            # units beyond the need are free: state `need` takes from all states within reach
-            other = np.full((n, need + 1), np.inf)
-            other[:, units:] = best[:, : need + 1 - units] + cost[:, i, units][:, None]
-            for over in range(need - units + 1, need + 1):
-                other[:, need] = np.minimum(other[:, need], best[:, over] + cost[:, i, units])
-            better = other < new
-            new = np.where(better, other, new)
-            pick[better] = units
-        best, choice[i] = new, pick
-    t = np.full((n, PARTITIONS), -1, dtype=np.int8)
-    left = np.full(n, need)
-    rows = np.arange(n)
-    for i in range(PARTITIONS - 1, -1, -1):
-        units = choice[i, rows, left]
-        t[:, i] = units - 1
-        left = np.maximum(left - units, 0)
-    return t
+    return (_mixed(keys) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def allocate(cost: np.ndarray, chunks: np.ndarray, share: float) -> np.ndarray:
+    """Which chunks each text probes. cost: estimated other texts per chunk, of all texts one after the other.
+
+    A partition of the chunks x, y costs 0 at t = -1, min(x, y) at t = 0 and x + y at t = 1. The dynamic
+    programme over the partitions is a min-plus convolution of these convex functions, which is solved
+    exactly by taking the marginal costs, min and max of each partition, in ascending order until
+    TAU + 1 units are allocated; ties go to the earlier chunk. All texts are solved at once."""
+    doc = np.repeat(np.arange(len(chunks)), chunks)
+    need = np.minimum(np.floor(share * chunks).astype(np.int64) + 1, chunks)
+    order = np.lexsort((np.arange(len(cost)), cost, doc))
+    rank = np.empty(len(cost), np.int64)
+    rank[order] = np.arange(len(cost)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+    return rank < np.repeat(need, chunks)
 
 
 def _text(subject: Column, body: Column) -> Column:
     return F.lower(F.concat(F.coalesce(subject, F.lit("")), F.lit(" "), F.coalesce(body, F.lit(""))))
 
 
+def _class_key(text: Column) -> list[Column]:
+    """128 bits of the words of a text in order, whatever white space parts them."""
+    words = F.trim(F.regexp_replace(text, r"[\s\p{Z}\x0b\x1c-\x1f\x85]+", " "))
+    return [F.xxhash64(words).alias("k1"), F.xxhash64(F.reverse(words), F.lit(17)).alias("k2")]
+
+
+_SKETCH = [f"s{i}" for i in range(LONGS)]
+
+
 def _sketched(texts: DataFrame, k: int, least: int) -> DataFrame:
-    """(id, class_key binary, sketch binary) of the texts with at least `least` words."""
+    """(id, k1, k2, chunks, s0...) of the texts with words, and at least `least` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, runs, n = word_runs(batch.column(1).to_pylist(), k)
-            sketch = sketches(hashes, runs)
-            # equal sequences of runs are equal texts: two sums of mixed, position-dependent hashes tell them apart
-            ends = np.cumsum(runs)
-            place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(ends - runs, runs).astype(np.uint64)
-            a = _mixed(hashes + place * np.uint64(0xD6E8FEB86659FD93))
-            key = np.zeros((len(runs), 2), dtype=np.uint64)
-            has = np.flatnonzero(runs)
-            if len(has):
-                key[has, 0] = np.add.reduceat(a, (ends - runs)[has])
-                key[has, 1] = np.add.reduceat(_mixed(a), (ends - runs)[has])
-            keep = np.flatnonzero((n >= least) & (runs > 0))
-            ids = batch.column(0).take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([key[i].tobytes() for i in keep], pa.binary()), pa.array([sketch[i].tobytes() for i in keep], pa.binary())], names=["id", "class_key", "sketch"])
-
-    return texts.mapInArrow(run, "id bigint, class_key binary, sketch binary")
+            h, n = hashed_words(batch.column(3).to_pylist())
+            keys, chunks = chunk_keys(h, n)
+            sketch = sketches(*word_runs(h, n, k))
+            offsets = np.concatenate(([0], np.cumsum(chunks))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
+            keep = pa.array((n >= max(least, 1)))
+            columns = [*batch.columns[:3], lists, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(LONGS))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "k1", "k2", "chunks", *_SKETCH]).filter(keep)
+
+    kinds = ", ".join(f"{c} bigint" for c in _SKETCH)
+    return texts.select("id", *_class_key(F.col("text")), "text").mapInArrow(run, f"id bigint, k1 bigint, k2 bigint, chunks array<bigint>, {kinds}")
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    n = np.diff(column.offsets.to_numpy()).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), n
 
 
 def _counts(reps: DataFrame) -> np.ndarray:
-    """Keys per cell, over all representatives. The table has CELLS entries whatever the input."""
+    """Chunks per cell, over all representatives. The table has CELLS entries whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            sketch = _unpacked(batch.column(1))
-            if len(sketch):
-                table += np.bincount(cells(partition_keys(sketch)).ravel(), minlength=CELLS)
+            table += np.bincount(cells(_lists(batch.column(0))[0]), minlength=CELLS)
         used = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[used])], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(table[used])], names=["cell", "n"])
 
-    sums = reps.select("id", "sketch").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    got = sums.toArrow()
-    table = np.zeros(CELLS, dtype=np.int64)
-    table[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return np.minimum(table, 2**31 - 1).astype(np.int32)
+    got = reps.select("chunks").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    table = np.zeros(CELLS, dtype=np.int32)
+    table[got.column("cell").to_numpy()] = np.minimum(got.column("n").to_numpy(), 2**31 - 1)
+    return table
 
 
-def _unpacked(column: pa.Array) -> np.ndarray:
-    raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, dtype=np.uint32).reshape(-1, SYMBOLS)
-
-
-def _postings(reps: DataFrame, counts, probe: bool) -> DataFrame:
-    """(key, id) of all index keys, or of the keys that each text probes. Keys whose cell counts a single text are left out: nothing can meet them."""
+def _postings(reps: DataFrame, counts, share: float, probe: bool) -> DataFrame:
+    """(key, id) of all chunks, or of those that each text probes. Chunks alone in their cell are left out: nothing can meet them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for lo in range(0, len(ids), 4096):
-                sketch = _unpacked(batch.column(1).slice(lo, 4096))
-                keys = partition_keys(sketch)
-                others = table[cells(keys)] - 1
-                use = others > 0
-                if probe:
-                    t = allocate(others.astype(float))
-                    use[:, :, 0] &= t == 0
-                    use[:, :, 1:] &= (t == 1)[:, :, None]
-                row, part, which = np.nonzero(use)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[row, part, which].view(np.int64)), pa.array(ids[lo:][row])], names=["key", "id"])
+            keys, n = _lists(batch.column(1))
+            others = table[cells(keys)]
+            use = others > 1
+            if probe:
+                use &= allocate(others, n, share)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[use].view(np.int64)), pa.array(np.repeat(ids, n)[use])], names=["key", "id"])
+
+    return reps.select("id", "chunks").mapInArrow(run, "key bigint, id bigint")
+
 
-    return reps.select("id", "sketch").mapInArrow(run, "key bigint, id bigint")
+def _near(reps: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates (a, b) whose sketches agree in enough symbols."""
+    side = lambda x: reps.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in _SKETCH))
+    both = candidates.join(side("a"), "a").join(side("b"), "b")
+    n = agreeing([F.col(f"a_{c}") for c in _SKETCH], [F.col(f"b_{c}") for c in _SKETCH])
+    return both.where(n >= AGREE).select("a", "b")
 
 
 def _verified(texts: DataFrame, candidates: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -205,7 +228,7 @@ def _verified(texts: DataFrame, candidates: DataFrame, k: int, similarity: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, runs, _ = word_runs(batch.column(1).to_pylist(), k)
+            hashes, runs = word_runs(*hashed_words(batch.column(1).to_pylist()), k)
             parts = np.split(hashes.view(np.int64), np.cumsum(runs)[:-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(p) for p in parts], pa.list_(pa.int64()))], names=["id", "runs"])
 
@@ -221,16 +244,15 @@ def classes_and_links(texts: DataFrame, k: int = SHINGLE, similarity: float = SI
     """(id, rep) of every text with at least `least` words, and (a, b, similarity) for all similar pairs
     of representatives, a < b. Texts with the same words in the same order share a representative,
     the smallest id. texts: (id, text), ids unique; NULL and empty texts belong to no class."""
-    spark = texts.sparkSession
-    sketched = cut(_sketched(texts, k, least))
-    first = sketched.groupBy("class_key").agg(F.min_by(F.struct("id", "sketch"), "id").alias("r"))
-    reps = cut(first.select("class_key", "r.id", "r.sketch"))
-    members = sketched.select("id", "class_key").join(reps.select("class_key", F.col("id").alias("rep")), "class_key").select("id", "rep")
+    spark, share = texts.sparkSession, min(SPREAD * (1 - similarity), 1.0)
+    payload = F.struct("id", "chunks", *_SKETCH)
+    reps = cut(_sketched(texts, k, least).groupBy("k1", "k2").agg(F.min_by(payload, "id").alias("r")).select("k1", "k2", "r.*"))
+    members = texts.select("id", *_class_key(F.col("text"))).join(reps.select("k1", "k2", F.col("id").alias("rep")), ["k1", "k2"]).select("id", "rep")
     counts = spark.sparkContext.broadcast(_counts(reps))
-    index, probes = _postings(reps, counts, False), _postings(reps, counts, True)
+    index, probes = _postings(reps, counts, share, False), _postings(reps, counts, share, True)
     met = probes.join(index.withColumnRenamed("id", "other"), "key").where(F.col("id") != F.col("other"))
-    candidates = cut(met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
-    return members, _verified(texts, candidates, k, similarity)
+    candidates = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    return members, _verified(texts, cut(_near(reps, candidates)), k, similarity)
 
 
 def texts_of(emails: DataFrame) -> DataFrame:
