@@ -48,9 +48,9 @@ CLOSING = re.compile(rf"(?i:{_CLOSINGS})\s*[,.!–—-]?(?-i:{_NAME})\s*[,.]?$")
 QUOTE = re.compile(r"\s{0,3}(?:[A-Z]{1,4}>|>|\|(?=\s|$))(?:\s?[>|])*")
 DELIMITER = re.compile(r"(?:-- ?|[-_=*~#+]{3,}|[-~]{2,}[-~ ]+)$")
 HEADER = re.compile(
-    r"(?i)[*\s]{0,3}(?:from|sent|to|subject|cc|bcc|date|reply-to|von|gesendet|an|betreff|datum|de|envoy\S{1,9}|\S{1,6}|objet|enviado(?: el)?|para|asunto|fecha|assunto|data|от|отправлено|кому|тема|дата|копия) ?:[*]? ?\S"
+    r"(?i)[*\s]{0,3}(?:from|sent|to|subject|cc|bcc|date|reply-to|von|gesendet|an|betreff|datum|de|envoy\S{1,9}|\S{1,6}|objet|enviad[oa](?: el)?|para|asunto|fecha|assunto|data|от|отправлено|кому|тема|дата|копия) ?:[*]? ?\S"
 )
-_HEAD_WORD = re.compile(r"(?i)[*\s]{0,3}(?:from|sent|to|subject|cc|bcc|date|von|gesendet|an|betreff|datum|de|envoy\S{1,9}|objet|enviado(?: el)?|para|asunto|fecha|assunto|data|от|отправлено|кому|тема|дата|копия) ?:")
+_HEAD_WORD = re.compile(r"(?i)[*\s]{0,3}(?:from|sent|to|subject|cc|bcc|date|von|gesendet|an|betreff|datum|de|envoy\S{1,9}|objet|enviad[oa](?: el)?|para|asunto|fecha|assunto|data|от|отправлено|кому|тема|дата|копия) ?:")
 FORWARD = re.compile(
     r"(?i)[*>\s]{0,3}(?:-{2,}|_{2,}|={2,}) ?[^-_=\n]{0,60}?(?:message|nachricht|mensaje|mensagem|сообщение|origin|urspr|forward|weitergeleitet|transf|reenvi|encaminhad|пересл|исходн)[^\n]{0,40}(?:-{2,}|_{2,}|={2,})[*\s]{0,3}$"
     r"|begin forwarded message ?:|anfang der weitergeleiteten nachricht ?:|d\S{1,5}but du message (?:transf|r\S{1,6}exp)"
@@ -58,18 +58,20 @@ FORWARD = re.compile(
 INTRODUCTION = re.compile(r"(?i)(?:\b(?:wrote|said|writes|schrieb|escreveu)\b|\ba \S{1,6}crit\b|\bescribi\S{1,6}|написал)")
 _DATE = re.compile(r"\d{1,4}[-./]\d{1,2}[-./]\d{2,4}|\b(?:19|20)\d{2}\b|\d{1,2}:\d{2}|@")
 DEVICE = re.compile(r"(?i)\*?(?:sent from|sent with|sent via|get \w+ for|written on the go|gesendet (?:von|mit)|von meinem .{2,30} gesendet|von unterwegs|envoy\S{1,8} (?:de|depuis)|enviado (?:desde|do|de)|отправлено с)\b")
-NOTICE = re.compile(
-    r"(?i)confidential|privileged|vertraulich|confidentiel|confidencial|конфиденциальн|not the person .{1,60} meant|meant only for|intended (?:only )?(?:recipient|for)|accepts no liability|liability for damage|"
-    r"managing director|registered in|think of the trees|before you print|views expressed|without consent|delete this\s+mail|nicht der empf|nur f\S{1,6}r die\s+genannten|destin\S{1,6} aux seules|si vous n.{1,3}tes pas|"
-    r"if you have received this|any use, copying|unbefugt|\brep\S{1,4}sentant l\S{1,4}gal|geschäftsführer"
-)
-LISTING = re.compile(r"(?i)\bannounce list\b|mailing list|\bto leave ?:|\bunsubscribe|as a member of|you get this because|abmelden|se d\S{1,6}sabonner|darse de baja|отписаться|^--~--~|group settings|list archive|archive no")
+NOTICE = (
+    "confidential", "privileged", "vertraulich", "confidentiel", "confidencial", "конфиденциальн", "meant to write to", "meant only for", "intended recipient", "intended only for",
+    "accepts no liability", "liability for damage", "managing director", "registered in", "think of the trees", "before you print", "views expressed", "without consent", "delete this mail",
+    "nicht der empf", "nur für die genannten", "destiné aux seules", "have received this", "any use, copying", "unbefugt", "geschäftsführer",
+)
+LISTING = (
+    "announce list", "mailing list", "to leave:", "unsubscribe", "as a member of", "you get this because", "abmelden", "désabonner", "darse de baja", "отписаться", "--~--~", "group settings", "list archive", "archive no",
+)
 GATEWAY = re.compile(r"(?i)^\[?external\]?|^\[extern|came from outside|^\*{3}.*\*{3}$|^caution ?:|scanned by|by the .{1,40} gateway|sender is not known")
 _CONTACT = re.compile(r"\S+@\S+|https?://|www\.|(?:\+|\(0|\(\d{3}\)|\b(?:tel|phone|fax|mobile|t|f|m)\b[.:]?) ?[\d(]|\b555[ -]\d{3,4}")
 _SENTENCE = re.compile(r"[.!?…:;,]\W?$")
 _MORE_THAN = re.compile(r"\s{0,3}> ?\d+(?:[.,]\d+)? ?(?:%|\w)")
 _PS = re.compile(r"(?i)p\.? ?s\b")
-_INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF])
+_INVISIBLE = re.compile("[\xad\u200b-\u200f\u2060\ufeff]+")
 _SPACES = re.compile(r"[^\S\n\r\t ]")
 _DIGITS = re.compile(r"\d+")
 
@@ -93,7 +95,7 @@ def blocks_of(body: str) -> list[Block]:
     out: list[Block] = []
     paragraph, fresh = 0, True
     if not body.isascii():
-        body = _SPACES.sub(" ", body.translate(_INVISIBLE))
+        body = _SPACES.sub(" ", _INVISIBLE.sub("", body))
     lines = body.split("\n")
     for no, line in enumerate(lines, 1):
         text = line.strip()
@@ -178,7 +180,7 @@ def label(blocks: list[Block]) -> np.ndarray:
         nxt = blocks[i + 1] if i + 1 < len(blocks) else None
         prev = blocks[i - 1] if i else None
         joined = " ".join(b.texts)
-        notice = bool(NOTICE.search(joined) or LISTING.search(joined))
+        notice = b.kind != "quoted" and bool(_cues(joined, NOTICE) or _cues(joined, LISTING))
         if forwarded:
             y[i] = 1
             continue
@@ -215,6 +217,11 @@ def label(blocks: list[Block]) -> np.ndarray:
     return y
 
 
+def _cues(text: str, cues: tuple[str, ...]) -> int:
+    low = text.lower()
+    return sum(c in low for c in cues)
+
+
 def _contacts(b: Block) -> int:
     return sum(bool(_CONTACT.search(t)) for t in b.texts)
 
@@ -257,8 +264,8 @@ def features(blocks: list[Block], sender: np.ndarray, overlap: np.ndarray) -> np
         row[9] = b.kind == "forward"
         row[10] = lines if b.kind == "header" else 0
         row[11] = b.kind == "introduction"
-        row[12] = len(NOTICE.findall(joined))
-        row[13] = len(LISTING.findall(joined))
+        row[12] = 0 if quoted else _cues(joined, NOTICE)
+        row[13] = 0 if quoted else _cues(joined, LISTING)
         row[14] = b.kind == "gateway"
         row[15] = b.kind == "device"
         row[16] = forwarded
@@ -274,7 +281,7 @@ def features(blocks: list[Block], sender: np.ndarray, overlap: np.ndarray) -> np
         row[28] = prev is not None and x[i - 1, 12] + x[i - 1, 13] > 0
         row[29] = prev is None or prev.paragraph != b.paragraph
         row[30] = prev is not None and prev.kind == "introduction"
-        row[31] = nxt is not None and nxt.paragraph == b.paragraph and bool(NOTICE.search(nxt.texts[0]) or LISTING.search(nxt.texts[0]))
+        row[31] = nxt is not None and nxt.paragraph == b.paragraph and bool(_cues(nxt.texts[0], NOTICE) or _cues(nxt.texts[0], LISTING))
         row[32] = sig
         # the run of signature lines behind a closing or a delimiter goes on while they look like it
         if b.kind == "closing" or b.kind == "delimiter" and nxt is not None and nxt.paragraph == b.paragraph:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailloom.llm import encodings, leakage, lookalikes, mixing, near_duplicates, stuffing
+from mailloom.llm import encodings, leakage, lookalikes, mixing, near_duplicates, own_text, stuffing
 from mailloom.plans.storage import read
 
 #: Problem 3 in this project's data: runs of three words, similarity 0.6, at least 40 words.
@@ -21,6 +21,14 @@ def p1_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.restore_fields(read(spark, d, "parse_eml"), "email_id", ["subject", "body"], encodings.train(read(spark, d, "documents")))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return own_text.not_own_lines(read(spark, d, "parse_eml")).distinct()
+
+
+def p4_own_text(spark: SparkSession, d: str) -> DataFrame:
+    return own_text.own_text(read(spark, d, "parse_eml"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     model = encodings.train(read(spark, d, "documents"))
     return lookalikes.find_cases(read(spark, d, "parse_eml"), "email_id", ["from_addr", "body"], model, ["body"]).select("email_id", "field").distinct()
@@ -67,7 +75,7 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_restored, p5_found, p5_one_form, p3_found, p3_link_counts, p7_found, p7_leaks, p7_clean, p8_mixture, p8_shares, p9_found, p9_scores)
+    f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_own_text, p5_found, p5_one_form, p3_found, p3_link_counts, p7_found, p7_leaks, p7_clean, p8_mixture, p8_shares, p9_found, p9_scores)
 }
 
 ORACLES: dict[str, str] = {
