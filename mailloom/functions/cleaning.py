@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Characters dropped beside the format category, and spaces beside the space.
 DROPPED = [0x034F, 0x200B, 0x200C, 0x200D, 0xFEFF, 0x2060, 0x00AD]
@@ -69,12 +70,12 @@ def html_text(markup: str | None) -> str:
     return "\n".join(line for part in parser.parts for line in (x.strip() for x in part.strip().split("\n")) if line)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _cleaned(s: pd.Series) -> pd.Series:
     return s.map(clean_characters)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _visible(s: pd.Series) -> pd.Series:
     return s.map(html_text)
 

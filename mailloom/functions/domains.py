@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Two-label public suffixes under which three labels make a registrable domain.
 SUFFIXES = ["ac.uk", "co.uk", "gov.uk", "gov.au", "com.au", "co.jp", "com.br", "com.mx"]
@@ -14,37 +17,42 @@ ABSENT = ["No Sender", "No Recipients", "No Subject", "No Date"]
 ADDRESS = r"([^\s<>()\[\],;:\"]+@[^\s<>()\[\],;:\"@]+)"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used; keeps nested expressions small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def present(c: Column) -> Column:
     """The value, or NULL where it is ''."""
-    return F.when(c != "", c)
+    return bind(c, lambda x: F.when(x != "", x))
+
+
+_REGISTRABLE = rf"(^[0-9.]+$|(?:(?<=\.)|^)[^.]+\.(?:{'|'.join(x.replace('.', chr(92) + '.') for x in SUFFIXES)})$|(?:(?<=\.)|^)[^.]+\.[^.]+$|^[^.]+$)"
 
 
 def strip_port(domain: Column) -> Column:
     """Lower case, without white space around, brackets of an IPv6 literal, port and outer dots."""
     s = F.lower(F.trim(domain, F.lit(" \t\r\n")))
-    return present(F.when(s.startswith("[") & s.endswith("]"), F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(F.trim(F.substring_index(s, ":", 1), F.lit("."))))
+    return present(F.regexp_replace(s, r"(?s)^\[(.*)\]$|^\.*([^:]*?)\.*(?::.*)?$", "$1$2"))
 
 
 def registrable(domain: Column) -> Column:
     """The registrable part: the last two labels, three under a known suffix; addresses of digits as they are."""
-    h = strip_port(domain)
-    labels = F.split(h, r"\.")
-    tail = lambda n: F.array_join(F.slice(labels, -n, n), ".")
-    return F.when(h.rlike(r"^[0-9.]+$") | (F.size(labels) <= 2), h).when(tail(2).isin(SUFFIXES), tail(3)).otherwise(tail(2))
+    return present(F.regexp_extract(strip_port(domain), _REGISTRABLE, 1))
 
 
 def address_of(header: Column) -> Column:
     """The bare address of a header: the one in angle brackets, else the first one; NULL where there is none."""
     angle = F.regexp_extract(header, r"<\s*([^<>@\s]+@[^<>@\s]+?)\s*>", 1)
-    return F.coalesce(present(angle), present(F.regexp_extract(header, ADDRESS, 1)))
+    return bind(angle, lambda x: F.when(x != "", x).otherwise(present(F.regexp_extract(header, ADDRESS, 1))))
 
 
 def host_of(address: Column) -> Column:
     """The host of an address, behind its first @, normalised; NULL without an @."""
-    return F.when(F.instr(address, "@") > 0, strip_port(F.substring(address, F.instr(address, "@") + 1, F.length(address))))
+    return strip_port(present(F.regexp_extract(address, "(?s)^[^@]*@(.*)$", 1)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def parse_address(header: pd.Series) -> pd.Series:
     """The address by the strict rules of RFC 2822 headers (lists and malformed values give NULL)."""
     from email.utils import parseaddr

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.functions.domains import present, registrable
+from mailloom.functions.domains import bind, present, registrable
 
 # Free mail providers, and brands known without a table (name, domain).
 FREEMAIL = ["gmail.com", "yahoo.com", "hotmail.com"]
@@ -48,17 +48,32 @@ def brand_mentions(text: Column, brands: Sequence[str]) -> Column:
     if len(brands) > MAX_BRANDS:
         raise ValueError(f"more than {MAX_BRANDS} brands; join them instead")
     norm = F.coalesce(normalise_words(text), F.lit(""))
-    words = F.split(norm, " ")
-    found = []
+    plains: list[tuple[str, str, int]] = []
     for brand in sorted(set(brands)):
         plain = " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in brand.lower()).split())
         if not plain:
             continue
         n = plain.count(" ") + 1
-        runs = words if n == 1 else F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-        near = F.exists(runs, lambda w, p=plain: (F.abs(F.length(w) - len(p)) <= 1) & F.levenshtein(w, F.lit(p), 1).between(0, 1))
-        found.append(F.when(F.contains(norm, F.lit(plain)) | near, F.lit(brand)))
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+        plains.append((brand, plain, n))
+    if not plains:
+        return F.array().cast("array<string>")
+
+    def close(plain: str) -> Callable[[Column], Column]:
+        return lambda w: (F.abs(F.length(w) - len(plain)) <= 1) & F.levenshtein(w, F.lit(plain), 1).between(0, 1)
+
+    def runs(words: Column, n: int) -> Column:
+        """The runs of n words, each run once however often it occurs."""
+        if n == 1:
+            return F.array_distinct(words)
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
+
+    lengths = sorted({n for _, _, n in plains})
+
+    def found(x: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(F.contains(x["norm"], F.lit(p)) | F.exists(x[f"r{n}"], close(p)), F.lit(b)) for b, p, n in plains]))
+
+    return bind(bind(norm, lambda t: F.struct(t.alias("norm"), *[runs(F.split(t, " "), n).alias(f"r{n}") for n in lengths])), found)
 
 
 def brand_lists(lines: DataFrame | None, spark) -> DataFrame:

@@ -65,7 +65,13 @@ def complement_bayes(rows: DataFrame) -> PipelineModel:
 
 def multinomial_bayes(rows: DataFrame) -> PipelineModel:
     """On about as many ham rows as spam usually has; see predict() for the class priors."""
-    return fit(at_most(rows, "text", F.col("y") == HAM), NaiveBayes(modelType="multinomial", labelCol="y", smoothing=1.0), True, 2)
+    some = at_most(rows, "text", F.col("y") == HAM)
+    model = fit(some, NaiveBayes(modelType="multinomial", labelCol="y", smoothing=1.0), True, 2)
+    n = {r["y"]: r["count"] for r in some.groupBy("y").count().collect()}
+    # Spark smooths the class priors; the factors take that back out
+    factors = [n.get(float(i), 0) / max(sum(n.values()), 1) / math.exp(x) for i, x in enumerate(model.stages[-1].pi.toArray())]
+    fix = SQLTransformer(statement=f"SELECT *, array({', '.join(f'{x!r}D' for x in factors)}) AS prior_fix FROM __THIS__")
+    return PipelineModel(stages=[*model.stages, fix])
 
 
 def logistic(rows: DataFrame) -> PipelineModel:
@@ -109,15 +115,10 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """rows with verdict (Phishing or Legitimate), percent (of the verdict, 0 to 100) and shown ("NN.NN")."""
     scored = model.transform(rows)
     p = vector_to_array(F.col("probability"))
-    last = model.stages[-1]
-    if type(last).__name__ == "NaiveBayesModel" and last.getModelType() == "multinomial":
-        # Spark smooths the class priors; take the smoothing back out
-        n = rows.sparkSession  # noqa: F841 - priors are in the model
-        pi = last.pi.toArray().tolist()
-        total = sum(math.exp(x) for x in pi)
-        scaled = [p[i] * (1.0 / total) for i in range(len(pi))]
-        s = sum(scaled[1:], scaled[0])
-        p = F.array(*[x / s for x in scaled])
+    if "prior_fix" in scored.columns:
+        fixed = F.zip_with(p, F.col("prior_fix"), lambda x, y: x * y)
+        total = F.aggregate(fixed, F.lit(0.0), lambda a, x: a + x)
+        p = F.transform(fixed, lambda x: x / total)
     best = F.array_max(p)
     spam = F.get(p, F.lit(1)) > F.get(p, F.lit(0))
     drop = [c for c in scored.columns if c not in rows.columns]

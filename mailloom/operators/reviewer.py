@@ -122,3 +122,17 @@ def get_or_create(requests: DataFrame, cache: DataFrame, at: Column, provider=st
     new = ask(misses.dropDuplicates(["model", "digest"]), provider)
     answered = misses.join(new.select("model", "digest", F.col("raw").alias("payload"), "error"), ["model", "digest"], "left")
     return hits.withColumns({"error": F.lit(None).cast("string"), "cached": F.lit(True)}).unionByName(answered.withColumn("cached", F.lit(False)))
+
+
+def cache_hits(requests: DataFrame, replies: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
+    """requests (request_id, model, digest, requested_at) with hit: whether the newest earlier reply to the same model
+    and digest is at most ttl seconds old. replies: model, digest, replied_at.
+
+    Time is cut into buckets of ttl seconds, so that a popular digest is spread over its buckets: a reply serves its
+    own bucket and the next. Only replies whose time precedes the request count."""
+    bucket = lambda c: F.floor(F.unix_micros(c) / (ttl * 1_000_000))
+    served = replies.where("replied_at is not null").select("model", "digest", F.col("replied_at").alias("_r"), F.explode(F.array(bucket("replied_at"), bucket("replied_at") + 1)).alias("_b")).distinct()
+    asked = requests.withColumn("_b", bucket("requested_at"))
+    both = asked.join(served, ["model", "digest", "_b"], "left")
+    age = F.unix_micros("requested_at") - F.unix_micros("_r")
+    return both.groupBy("request_id", "model", "digest", "requested_at").agg(F.coalesce(F.max((age > 0) & (age <= ttl * 1_000_000)), F.lit(False)).alias("hit"))

@@ -32,9 +32,10 @@ def signals(
     freemail: Sequence[str] = tuple(identity.FREEMAIL),
     lexicon=wording.LEXICON,
     reference_domains: Sequence[str] = tuple(d for _, d in identity.BRANDS),
+    joined_attachments: bool = False,
 ) -> DataFrame:
     """emails with one column per signal. Needs from_addr, reply_to, return_path, message_id, subject, body,
-    attachments (packed string) and received; keeps every column. NULL and '' are absent."""
+    attachments (packed string) and received; keeps every column. NULL and '' are absent. With joined_attachments the packed string counts as one name."""
     e = emails.withColumns({"_from": domains.address_of(F.col("from_addr")), "_reply": domains.address_of(F.col("reply_to")), "_return": domains.address_of(F.col("return_path"))})
     e = e.withColumns({"from_host": domains.host_of(F.col("_from"))})
     e = e.withColumns({"from_dom": domains.registrable(F.col("from_host")), "reply_dom": domains.registrable(domains.host_of(F.col("_reply"))), "return_dom": domains.registrable(domains.host_of(F.col("_return")))})
@@ -49,7 +50,7 @@ def signals(
             "msgid_mismatch": identity.message_id_mismatch(F.col("message_id"), F.col("from_dom")),
             "phrases": wording.phrase_hits(text, lexicon),
             "links": urls.findings(F.coalesce("body", F.lit("")), F.col("from_host")),
-            "files": F.coalesce(packed.files(F.col("attachments")), F.array().cast("array<string>")),
+            "files": F.coalesce(F.array(F.col("attachments")) if joined_attachments else packed.files(F.col("attachments")), F.array().cast("array<string>")),
         }
     )
     e = e.withColumns({"lexical": wording.lexical_points(F.col("phrases")), "places": wording.positions(F.col("phrases"), F.col("subject"), F.col("body"))})
@@ -62,7 +63,7 @@ def score(emails: DataFrame, whitelist: Sequence[str] = tuple(urls.WHITELIST), *
     The order of the explanations is identity, routing, lexical, position, links, attachments, whitelist.
     The whitelist takes 4 points off, not below 0, where there are any."""
     e = signals(emails, **options)
-    lex, two = F.col("lexical"), lambda n: F.lit(n)
+    lex = F.col("lexical")
     one = lambda cond, x: F.when(cond, F.array(x)).otherwise(F.array().cast("array<string>"))
     c = F.col
     location = lambda h: F.when(h["location"] == "early_body", "early body").otherwise(h["location"])
@@ -98,7 +99,7 @@ def score(emails: DataFrame, whitelist: Sequence[str] = tuple(urls.WHITELIST), *
         + wording.position_points(c("places"))
         + F.aggregate(applied, F.lit(0), lambda a, x: a + x["applied"])
         + 4 * F.size(bad)
-        + two(2) * F.size(odd)
+        + 2 * F.size(odd)
     )
     e = e.withColumns({"_raw": total, "_lines": lines})
     floor = c("from_dom").isin(list(whitelist)) & (c("_raw") > 0)

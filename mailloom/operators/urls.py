@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailloom.functions.domains import present, registrable
+from mailloom.functions.domains import bind, present, registrable
 
 # Lists of the link rules.
 WHITELIST = ["enron.com", "gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "microsoft.com", "apple.com", "google.com"]
@@ -56,29 +56,40 @@ def shortener(host: Column) -> Column:
 def credential_score(path: Column, query: Column) -> Column:
     """0 without a primary term; else 1, and 1 more for a second primary and for any secondary term."""
     text = F.lower(F.concat_ws(" ", present(path), present(query)))
-    count = lambda words: sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
-    return F.when(count(PRIMARY) == 0, 0).otherwise(1 + F.least(count(PRIMARY) - 1, F.lit(1)) + F.least(count(SECONDARY), F.lit(1)))
+
+    def count(text: Column, words: list[str]) -> Column:
+        return sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
+
+    hits = F.struct(count(text, PRIMARY).alias("p"), count(text, SECONDARY).alias("s"))
+    return bind(hits, lambda h: F.when(h["p"] == 0, 0).otherwise(1 + F.least(h["p"] - 1, F.lit(1)) + F.least(h["s"], F.lit(1))))
 
 
 def domain_risk(host: Column, sender_host: Column) -> Column:
     """2 for an odd structure, 1 for a domain that is not the sender's, 0 for trusted or own ones, no host, or no sender."""
-    h, base, own = present(host), registrable(host), registrable(sender_host)
-    odd = h.rlike(r"[0-9]{3,}") | (F.length(h) - F.length(F.translate(h, "-", "")) >= 2) | h.startswith("xn--") | (F.length(h) - F.length(F.translate(h, ".", "")) >= 3)
-    return F.when(h.isNull() | base.isin(WHITELIST + TRUSTED_CONTENT), 0).when((base == own) | h.endswith(own), 0).when(odd, 2).when(own.isNotNull(), 1).otherwise(0)
+    def judge(x: Column) -> Column:
+        h, base, own = x["h"], x["base"], x["own"]
+        odd = h.rlike(r"[0-9]{3,}") | h.rlike("-.*-") | h.startswith("xn--") | h.rlike(r"\..*\..*\.")
+        return F.when(h.isNull() | base.isin(WHITELIST + TRUSTED_CONTENT), 0).when((base == own) | h.endswith(own), 0).when(odd, 2).when(own.isNotNull(), 1).otherwise(0)
+
+    return bind(F.struct(present(host).alias("h"), registrable(host).alias("base"), registrable(sender_host).alias("own")), judge)
 
 
 def finding(host: Column, path: Column, query: Column, sender_host: Column) -> Column:
     """struct<score, reasons> of one link; score 0 means nothing found."""
-    d, t, s, c = domain_risk(host, sender_host), high_risk_tld(host), shortener(host), credential_score(path, query)
-    reasons = F.array_compact(
-        F.array(
-            F.when(d == 2, "Unfamiliar domain structure").when(d == 1, "Domain differs from sender"),
-            F.when(t, "High-risk TLD"),
-            F.when(s, "URL shortener"),
-            F.when(c > 0, "Credential-related terms in URL"),
+    def judge(x: Column) -> Column:
+        d, t, s, c = x["d"], x["t"], x["s"], x["c"]
+        reasons = F.array_compact(
+            F.array(
+                F.when(d == 2, "Unfamiliar domain structure").when(d == 1, "Domain differs from sender"),
+                F.when(t, "High-risk TLD"),
+                F.when(s, "URL shortener"),
+                F.when(c > 0, "Credential-related terms in URL"),
+            )
         )
-    )
-    return F.struct(F.least(d + F.when(t, 2).otherwise(0) + F.when(s, 2).otherwise(0) + c, F.lit(URL_CAP)).cast("int").alias("score"), reasons.alias("reasons"))
+        return F.struct(F.least(d + F.when(t, 2).otherwise(0) + F.when(s, 2).otherwise(0) + c, F.lit(URL_CAP)).cast("int").alias("score"), reasons.alias("reasons"))
+
+    points = F.struct(domain_risk(host, sender_host).alias("d"), high_risk_tld(host).alias("t"), shortener(host).alias("s"), credential_score(path, query).alias("c"))
+    return bind(points, judge)
 
 
 def findings(body: Column, sender_host: Column) -> Column:

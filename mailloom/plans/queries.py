@@ -1,26 +1,386 @@
-"""Queries of the core operators and their SQL, by name."""
+"""Queries of the core operators, by name; their SQL is in mailloom.plans.oracles."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mailloom.functions import packed, timestamps
-from mailloom.plans.storage import read
+from mailloom.functions import cleaning, domains, packed, timestamps
+from mailloom.operators import attachments, confusables, explain, highlight, identity, learning, report, reviewer, scoring, urls, wording
+from mailloom.plans.oracles import ORACLES as ORACLES
+from mailloom.plans.storage import cut, read
+from mailloom.sources import messages
+from mailloom.streaming import scored
 
+#: In this project's data no sender uses a well-known free mail provider; these domains stand for them.
+FREEMAIL = ["co.example", "havurship-desk.test", "ildonpay.invalid", "maribank.example", "ulmamart-desk.test"]
+WHITELIST = ["co.example", "holuvor-office.example"]
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return packed.unpack(read(spark, d, "parse_eml"), at_least=2).distinct()
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 
 
-def p2_items(spark: SparkSession, d: str) -> DataFrame:
-    return packed.unpack(read(spark, d, "parse_eml"))
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return timestamps.normalise_dates(read(spark, d, "parse_eml"), read(spark, d, "gateways"))
+def _emails(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "parse_eml")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_items, p6_found)}
-ORACLES: dict[str, str] = {}
+def _brands(spark: SparkSession, d: str) -> tuple[list[str], list[str]]:
+    """Names and domains of the brand table, whose size is checked before it is collected."""
+    rows = read(spark, d, "known_brands").orderBy("ord").limit(identity.MAX_BRANDS + 1).collect()
+    if len(rows) > identity.MAX_BRANDS:
+        raise ValueError("the brand table is too large for an array of every row")
+    return [r["brand_name"].lower() for r in rows if r["brand_name"]], [r["brand_domain"].lower() for r in rows if r["brand_domain"]]
+
+
+@query
+def p2_found(spark, d):
+    return packed.unpack(_emails(spark, d), at_least=2).distinct()
+
+
+@query
+def p2_items(spark, d):
+    return packed.unpack(_emails(spark, d))
+
+
+@query
+def p6_found(spark, d):
+    return timestamps.normalise_dates(_emails(spark, d), read(spark, d, "gateways"))
+
+
+@query
+def sender_domains(spark, d):
+    e = _emails(spark, d).select("email_id", domains.host_of(domains.address_of(F.col("from_addr"))).alias("host"))
+    return e.select("email_id", "host", domains.registrable(F.col("host")).alias("domain")).where("host is not null")
+
+
+@query
+def strict_addresses(spark, d):
+    e = _emails(spark, d)
+    return e.select("email_id", domains.parse_address(F.col("from_addr")).alias("strict"), domains.first_address(F.col("to_addr")).alias("first_to"))
+
+
+def _mismatch(spark, d, column):
+    host = lambda c: domains.registrable(domains.host_of(domains.address_of(F.col(c))))
+    e = _emails(spark, d).select("email_id", identity.differs(host(column), host("from_addr")).alias("domain"))
+    return e.where("domain is not null")
+
+
+@query
+def replyto_mismatch(spark, d):
+    return _mismatch(spark, d, "reply_to")
+
+
+@query
+def returnpath_mismatch(spark, d):
+    return _mismatch(spark, d, "return_path")
+
+
+@query
+def msgid_domain_mismatch(spark, d):
+    own = domains.registrable(domains.host_of(domains.address_of(F.col("from_addr"))))
+    return _emails(spark, d).select("email_id", identity.message_id_mismatch(F.col("message_id"), own).alias("domain")).where("domain is not null")
+
+
+@query
+def received_anomaly(spark, d):
+    return _emails(spark, d).select("email_id", identity.received_anomaly(F.col("received")).alias("reason")).where("reason is not null")
+
+
+@query
+def freemail_brand_mention(spark, d):
+    own = domains.registrable(domains.host_of(domains.address_of(F.col("from_addr"))))
+    e = _emails(spark, d).where(own.isin(FREEMAIL))
+    text = wording.joined(F.col("subject"), F.col("body"))
+    found = e.select("email_id", identity.brand_mentions(text, _brands(spark, d)[0]).alias("b")).where(F.size("b") > 0)
+    return found.select("email_id", F.array_join("b", ", ").alias("brands"))
+
+
+@query
+def fuzzy_domain_match(spark, d):
+    known = [r["domain"] for r in registrable_domain_topk(spark, d).collect()]  # ten names
+    found = identity.fuzzy_domains(read(spark, d, "email_urls"), known)
+    return found.select("host", F.array_join("matches", ", ").alias("matches"))
+
+
+@query
+def brand_list(spark, d):
+    lines = read(spark, d, "known_brands").select("ord", F.concat_ws(" | ", "brand_name", "brand_domain").alias("value"))
+    return identity.brand_lists(lines, spark).select("name", "domain")
+
+
+@query
+def confusable_senders(spark, d):
+    host = domains.host_of(domains.address_of(F.col("from_addr")))
+    e = _emails(spark, d).select("email_id", host.alias("host"))
+    return e.select("email_id", "host", confusables.host_reason(F.col("host"), _brands(spark, d)[1]).alias("reason")).where("reason is not null")
+
+
+@query
+def lexical_score(spark, d):
+    e = _emails(spark, d).select("email_id", wording.phrase_hits(wording.joined(F.col("subject"), F.col("body"))).alias("h")).where(F.size("h") > 0)
+    return e.select("email_id", wording.lexical_points(F.col("h")).cast("int").alias("points"), F.array_join(F.transform("h", lambda x: x["label"]), ", ").alias("labels"))
+
+
+@query
+def keyword_position_points(spark, d):
+    h = wording.phrase_hits(wording.joined(F.col("subject"), F.col("body")))
+    e = _emails(spark, d).select("email_id", wording.position_points(wording.positions(h, F.col("subject"), F.col("body"))).cast("int").alias("points"))
+    return e.where("points > 0")
+
+
+@query
+def url_extract(spark, d):
+    e = _emails(spark, d).select("email_id", F.posexplode(urls.extract(F.col("body"))).alias("pos", "url"))
+    p = urls.decompose(F.col("url"))
+    return e.withColumn("p", p).select("email_id", "pos", "url", "p.scheme", "p.host", "p.path", "p.query").where("scheme is not null")
+
+
+def _first_urls(spark, d):
+    return urls.first_of_each(read(spark, d, "email_urls"))
+
+
+@query
+def url_dedup(spark, d):
+    return _first_urls(spark, d).select("email_id", "pos", "url")
+
+
+def _judged(spark, d):
+    own = _emails(spark, d).select("email_id", domains.host_of(domains.address_of(F.col("from_addr"))).alias("own"))
+    both = _first_urls(spark, d).join(own, "email_id", "left")
+    f = urls.finding(F.col("host"), F.col("path"), F.col("query_str"), F.col("own"))
+    return both.withColumn("f", f).withColumns({"score": F.col("f.score"), "reasons": F.array_join("f.reasons", "; ")})
+
+
+@query
+def url_risk(spark, d):
+    return _judged(spark, d).where("score > 0").select("email_id", "pos", "score", "reasons")
+
+
+@query
+def url_tld_shortener_risk(spark, d):
+    u = _first_urls(spark, d)
+    return u.select("email_id", "pos", urls.high_risk_tld(F.col("host")).alias("risky_tld"), urls.shortener(F.col("host")).alias("shortener"))
+
+
+@query
+def url_credential_score(spark, d):
+    return _first_urls(spark, d).select("email_id", "pos", urls.credential_score(F.col("path"), F.col("query_str")).cast("int").alias("points")).where("points > 0")
+
+
+@query
+def url_domain_risk(spark, d):
+    return _judged(spark, d).select("email_id", "pos", urls.domain_risk(F.col("host"), F.col("own")).cast("int").alias("points")).where("points > 0")
+
+
+@query
+def url_running_cap(spark, d):
+    return urls.running_cap(_judged(spark, d)).select("email_id", "pos", "score", "applied")
+
+
+@query
+def host_profile(spark, d):
+    u = read(spark, d, "email_urls").where("host <> ''").select("host", domains.registrable(F.col("host")).alias("domain"))
+    # counted per host first, so that a hot domain meets its final aggregation as few rows
+    h = u.groupBy("domain", "host").agg(F.count(F.lit(1)).alias("n"))
+    return h.groupBy("domain").agg(F.sum("n").alias("links"), F.count(F.lit(1)).alias("hosts"))
+
+
+@query
+def registrable_domain_topk(spark, d):
+    return host_profile(spark, d).orderBy(F.desc("links"), "domain").limit(10)
+
+
+@query
+def attachment_risk(spark, d):
+    files = F.coalesce(packed.files(F.col("attachments")), F.array().cast("array<string>"))
+    e = _emails(spark, d).select("email_id", files.alias("f"))
+    return e.select("email_id", F.size(attachments.dangerous(F.col("f"))).alias("dangerous"), F.size(attachments.odd_archives(F.col("f"))).alias("odd_archives")).where("dangerous + odd_archives > 0")
+
+
+@query
+def attachment_joined_risk(spark, d):
+    e = _emails(spark, d).select("email_id", F.array("attachments").alias("f")).where(F.col("attachments") != "")
+    return e.select("email_id", F.size(attachments.dangerous(F.col("f"))).alias("dangerous"), F.size(attachments.odd_archives(F.col("f"))).alias("odd_archives")).where("dangerous + odd_archives > 0")
+
+
+def _scored(spark, d, **options):
+    names, known = _brands(spark, d)
+    return scoring.score(_emails(spark, d), whitelist=WHITELIST, freemail=FREEMAIL, brands=names, reference_domains=known, **options)
+
+
+@query
+def email_score(spark, d):
+    return _scored(spark, d, joined_attachments=True).select("email_id", "score", "label")
+
+
+@query
+def score_label_counts(spark, d):
+    return email_score(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.max("score").alias("highest"))
+
+
+@query
+def whitelist_floor(spark, d):
+    s = _scored(spark, d, joined_attachments=True).where(F.col("from_dom").isin(WHITELIST))
+    return s.select("email_id", "from_dom", "score")
+
+
+@query
+def email_explanations(spark, d):
+    return _scored(spark, d).select("email_id", "score", F.array_join("explanations", "\n").alias("explanations"))
+
+
+@query
+def readable_explanations(spark, d):
+    s = _scored(spark, d)
+    told = explain.explanations(F.col("label"), F.col("score"), F.col("explanations"), F.col("matched_keywords"), F.col("suspicious_urls"), F.col("files"))
+    return s.select("email_id", "label", F.array_join(told, "\n").alias("told"))
+
+
+@query
+def explain_summary(spark, d):
+    s = _scored(spark, d, joined_attachments=True)
+    none = F.array().cast("array<string>")
+    return s.select("email_id", explain.summary(F.col("label"), F.col("score"), none).alias("summary"))
+
+
+@query
+def highlight_body(spark, d):
+    s = _scored(spark, d).where(F.size("matched_keywords") + F.size("suspicious_urls") > 0)
+    return s.select("email_id", highlight.highlight(F.col("body"), F.col("matched_keywords"), F.col("suspicious_urls")).alias("marked"))
+
+
+@query
+def score_percent(spark, d):
+    return email_score(spark, d).select("email_id", report.percent(F.col("score")).alias("percent"))
+
+
+@query
+def summary_report(spark, d):
+    return report.summary(_scored(spark, d, joined_attachments=True))
+
+
+@query
+def body_preview(spark, d):
+    return _emails(spark, d).select("email_id", report.preview(F.col("body")).alias("preview")).where("preview is not null")
+
+
+@query
+def input_signature(spark, d):
+    e = _emails(spark, d).where(F.size("received") > 0)
+    return e.select("email_id", report.signature(F.col("received"), F.transform("received", lambda r: F.length(r))).alias("signature"))
+
+
+@query
+def document_rollup(spark, d):
+    return report.rollup(read(spark, d, "documents"), "source", "lang")
+
+
+@query
+def clean_documents(spark, d):
+    return read(spark, d, "documents").select("doc_id", cleaning.clean_text(cleaning.visible_text(F.col("text"))).alias("text"))
+
+
+@query
+def clean_bodies(spark, d):
+    return _emails(spark, d).select("email_id", cleaning.clean_text(F.col("body")).alias("body"))
+
+
+@query
+def mime_round_trip(spark, d):
+    """Messages written as raw mail and parsed again."""
+    e = _emails(spark, d).where("body is not null")
+    head = lambda name, c: F.concat(F.lit(f"{name}: "), F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[^\x20-\x7e]", "?"), "^ *$", "-"), F.lit("\r\n"))
+    raw = F.concat(head("From", "from_addr"), head("To", "to_addr"), head("Subject", "subject"), F.lit("MIME-Version: 1.0\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"), F.col("body"))
+    return e.select("email_id", messages.parse(F.encode(raw, "utf-8")).alias("p")).select("email_id", "p.from_addr", "p.subject", "p.body", "p.parse_error")
+
+
+@query
+def digest_dedup(spark, d):
+    return read(spark, d, "documents").select(F.sha2("text", 256).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+@query
+def llm_prompt(spark, d):
+    e = _emails(spark, d).select("email_id", reviewer.prompt(F.col("from_addr"), F.col("subject"), F.col("body"), F.col("attachments")).alias("p"))
+    return e.select("email_id", F.length("p").alias("chars"), F.sha2("p", 256).alias("digest"))
+
+
+@query
+def llm_response_parse(spark, d):
+    r = read(spark, d, "llm_replies")
+    raw = F.to_json(F.struct("probability", "indicators", "reasoning"))
+    p = r.select("reply_id", reviewer.parse_reply(raw).alias("p"))
+    v = p.select("reply_id", reviewer.verdict(F.col("p.reply.probability"), F.col("p.reply.indicators"), F.col("p.reply.reasoning")).alias("v"))
+    return v.select("reply_id", "v.label", "v.score", F.array_join("v.explanations", "\n").alias("told"))
+
+
+@query
+def llm_cache_hit_miss(spark, d):
+    r = read(spark, d, "llm_replies").dropDuplicates(["reply_id"])
+    out = reviewer.cache_hits(r.select(F.col("reply_id").alias("request_id"), "model", "digest", "requested_at"), r.select("model", "digest", "replied_at"), ttl=3600)
+    return out.select("request_id", "hit")
+
+
+@query
+def llm_get_or_create(spark, d):
+    e = _emails(spark, d).where("parse_error is null")
+    asked = e.select("email_id", reviewer.model_or_default(F.lit(None).cast("string")).alias("model"), reviewer.digest("from_addr", "subject", "body", "attachments").alias("digest"), reviewer.prompt(F.col("from_addr"), F.col("subject"), F.col("body"), F.col("attachments")).alias("prompt"))
+    cache = read(spark, d, "llm_replies").select("model", "digest", F.col("replied_at").alias("ts"), F.to_json(F.struct("probability")).alias("payload"))
+    out = reviewer.get_or_create(asked, cache, F.lit("2024-12-31").cast("timestamp"))
+    return out.select("email_id", "cached", "payload")
+
+
+@query
+def stratified_split_counts(spark, d):
+    rows = learning.split(learning.clean_labels(read(spark, d, "training")), "training_id")
+    return rows.groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def tfidf_document_frequency(spark, d):
+    return learning.document_frequency(read(spark, d, "documents"))
+
+
+@query
+def class_weights(spark, d):
+    return learning.class_weights(learning.clean_labels(read(spark, d, "training")))
+
+
+@query
+def classification_report(spark, d):
+    rows = learning.clean_labels(read(spark, d, "training")).withColumn("guess", F.when(F.lower("text").contains("account"), "spam").otherwise("ham"))
+    return learning.report(rows, "label", "guess")
+
+
+def _train_predict(name):
+    def run(spark, d):
+        rows = cut(learning.split(learning.clean_labels(read(spark, d, "training")), "training_id").select("training_id", "text", "label", "y", "is_test"))
+        if not rows.limit(1).count():
+            return spark.createDataFrame([], "training_id bigint, verdict string, percent double, shown string")
+        model = learning.REGISTRY[name][1](rows.where("not is_test"))
+        return learning.predict(model, rows.where("is_test").select("training_id", "text")).select("training_id", "verdict", "percent", "shown")
+
+    run.__name__ = f"train_predict_{name}"
+    return query(run)
+
+
+for _name in learning.REGISTRY:
+    _train_predict(_name)
+
+
+@query
+def event_window_counts(spark, d):
+    return scored.window_counts(read(spark, d, "events"), "ts", "event_type").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query
+def event_sessions(spark, d):
+    s = scored.sessions(read(spark, d, "events"), "ts", "user_id")
+    return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events"))
