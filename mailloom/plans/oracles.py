@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from mailloom.functions.domains import SUFFIXES
 from mailloom.operators import explain, urls, wording
-from mailloom.operators.identity import BRANDS
+from mailloom.operators.identity import BRANDS as KNOWN
 from mailloom.operators.reviewer import _HEAD, _INSTRUCTIONS
 
 FREEMAIL = "('co.example', 'havurship-desk.test', 'ildonpay.invalid', 'maribank.example', 'ulmamart-desk.test')"
@@ -121,7 +121,7 @@ ORACLES: dict[str, str] = {
 b AS (SELECT {reg('s')} AS k, count(*) AS n FROM h0 GROUP BY 1 ORDER BY n DESC, k LIMIT 10)
 SELECT host, string_agg(k, ', ' ORDER BY k) AS matches FROM h, b WHERE trim(lower(trim(host)), '.') = k OR suffix(trim(lower(trim(host)), '.'), '.' || k)
  OR (abs(length(trim(lower(trim(host)), '.')) - length(k)) <= 1 AND levenshtein(trim(lower(trim(host)), '.'), k) <= 1) GROUP BY 1""",
-    "brand_list": "SELECT lower(brand_name) AS name, lower(brand_domain) AS domain FROM known_brands UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{d}')" for n, d in BRANDS) + ") AS v(name, domain)",
+    "brand_list": "SELECT lower(brand_name) AS name, lower(brand_domain) AS domain FROM known_brands UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{d}')" for n, d in KNOWN) + ") AS v(name, domain)",
     "lexical_score": f"WITH {M} SELECT * FROM (SELECT email_id, CAST({LEX} AS INT) AS points, {LABELS} AS labels FROM m) WHERE labels <> ''",
     "keyword_position_points": f"WITH {M} SELECT * FROM (SELECT email_id, CAST({POS} AS INT) AS points FROM m) WHERE points > 0",
     "url_extract": f"WITH {EXPLODED} SELECT email_id, pos, url, scheme, host, path, query_str AS query FROM body_urls",

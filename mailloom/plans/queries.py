@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mailloom.functions import cleaning, domains, packed, timestamps
 from mailloom.operators import attachments, confusables, explain, highlight, identity, learning, report, reviewer, scoring, urls, wording
 from mailloom.plans.oracles import ORACLES as ORACLES
-from mailloom.plans.storage import cut, read
+from mailloom.plans.storage import cut, read, spread
 from mailloom.sources import messages
 from mailloom.streaming import scored
 
@@ -41,12 +41,12 @@ def _brands(spark: SparkSession, d: str) -> tuple[list[str], list[str]]:
 
 @query
 def p2_found(spark, d):
-    return packed.unpack(_emails(spark, d), at_least=2).distinct()
+    return packed.unpack(spread(_emails(spark, d).select("email_id", "to_addr", "cc", "attachments")), at_least=2).distinct()
 
 
 @query
 def p2_items(spark, d):
-    return packed.unpack(_emails(spark, d))
+    return packed.unpack(spread(_emails(spark, d).select("email_id", "to_addr", "cc", "attachments")))
 
 
 @query
@@ -212,7 +212,8 @@ def attachment_joined_risk(spark, d):
 
 def _scored(spark, d, **options):
     names, known = _brands(spark, d)
-    return scoring.score(_emails(spark, d), whitelist=WHITELIST, freemail=FREEMAIL, brands=names, reference_domains=known, **options)
+    e = _emails(spark, d).select("email_id", "file", "from_addr", "reply_to", "return_path", "message_id", "subject", "body", "attachments", "received")
+    return scoring.score(spread(e), whitelist=WHITELIST, freemail=FREEMAIL, brands=names, reference_domains=known, **options)
 
 
 @query

@@ -25,3 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a table of few small files would keep most cores idle
+    in steps that run in Python. Large tables have more splits than cores and are not shuffled. For a plan that
+    only scans and filters; select the columns needed first."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
