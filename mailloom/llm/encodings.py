@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailloom.llm.batches import slices
+from mailloom.plans.storage import spread
 
 #: Bound of the training sample: texts per language, and characters of a text. Documented parameter.
 SAMPLE_TEXTS, SAMPLE_CHARS = 300, 4000
@@ -338,4 +339,4 @@ def restore_fields(rows: DataFrame, key: str, fields: list[str], model: Model) -
     # ASCII values are cleared in the JVM and never reach Python
     cols = [F.when(F.col(f).rlike(r"[^\x00-\x7f]"), F.col(f)).alias(f) for f in fields]
     asked = rows.select(F.col(key), *cols).where(F.coalesce(*fields).isNotNull())
-    return asked.mapInArrow(run, "key bigint, field string, restored string, chain string").withColumnRenamed("key", key)
+    return spread(asked).mapInArrow(run, "key bigint, field string, restored string, chain string").withColumnRenamed("key", key)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailloom.plans.storage import spread
+
 #: Words a document and an item must share in a row.
 MIN_WORDS = 13
 #: Words of a shard; a task builds one array after the other, so this bounds its memory.
@@ -164,7 +166,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = MIN_WORDS, b
     row; of matches of one length the first place in the document counts. The items are sent to
     the executors in blocks of about block_chars characters, so any number of them works.
     """
-    docs = documents.select("doc_id", "text")
+    docs = spread(documents.select("doc_id", "text"))
     size = items.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_chars))
     out = None

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.plans.storage import cut
+from mailloom.plans.storage import cut, spread
 
 #: The public tokenizer whose tokens are the size of a text.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -55,7 +55,7 @@ def token_count(text: Column, path: str = TOKENIZER) -> Column:
 def sized(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, n_tokens) of the documents of listed sources."""
     listed = _targets(targets).select("source")
-    docs = documents.select("doc_id", "source", "text").join(_small(listed), "source", "left_semi")
+    docs = spread(documents.select("doc_id", "source", "text")).join(_small(listed), "source", "left_semi")
     return docs.select("doc_id", "source", token_count(F.col("text"), path).alias("n_tokens"))
 
 

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailloom.plans.storage import cut
+from mailloom.llm.batches import slices
+from mailloom.plans.storage import cut, spread
 
 #: Defaults of near-duplicate operators; the queries of problem 3 use 3 words, 0.6 and 40 words.
 SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 0
@@ -162,7 +163,7 @@ def _sketched(texts: DataFrame, k: int, least: int) -> DataFrame:
     """(id, k1, k2, chunks, s0...) of the texts with words, and at least `least` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 3):
             h, n = hashed_words(batch.column(3).to_pylist())
             keys, chunks = chunk_keys(h, n)
             sketch = sketches(*word_runs(h, n, k))
@@ -173,7 +174,7 @@ def _sketched(texts: DataFrame, k: int, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["id", "k1", "k2", "chunks", *_SKETCH]).filter(keep)
 
     kinds = ", ".join(f"{c} bigint" for c in _SKETCH)
-    return texts.select("id", *_class_key(F.col("text")), "text").mapInArrow(run, f"id bigint, k1 bigint, k2 bigint, chunks array<bigint>, {kinds}")
+    return spread(texts.select("id", *_class_key(F.col("text")), "text")).mapInArrow(run, f"id bigint, k1 bigint, k2 bigint, chunks array<bigint>, {kinds}")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +228,7 @@ def _verified(texts: DataFrame, candidates: DataFrame, k: int, similarity: float
     needed = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             hashes, runs = word_runs(*hashed_words(batch.column(1).to_pylist()), k)
             parts = np.split(hashes.view(np.int64), np.cumsum(runs)[:-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(p) for p in parts], pa.list_(pa.int64()))], names=["id", "runs"])

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from mailloom.llm.batches import slices
 from mailloom.llm.boosting import Trees
 from mailloom.llm.near_duplicates import chunk_keys, hashed_words
+from mailloom.plans.storage import spread
 
 #: Bound of the training sample.
 TRAIN_MESSAGES = 4000
@@ -341,7 +342,7 @@ def count_table(emails: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(table[used])], names=["cell", "n"])
 
     some = emails.select("from_addr", "body").where(F.length("body") > 0)
-    got = some.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    got = spread(some).mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
     table = np.zeros(CELLS, dtype=np.uint16)
     table[got.column("cell").to_numpy()] = np.minimum(got.column("n").to_numpy(), 65_535)
     return table
@@ -396,7 +397,7 @@ def not_own_lines(emails: DataFrame, train_messages: int = TRAIN_MESSAGES) -> Da
                     at += 1
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], names=["email_id", "line_no"])
 
-    return emails.select("email_id", "from_addr", "body").where(F.length("body") > 0).mapInArrow(run, "email_id bigint, line_no int")
+    return spread(emails.select("email_id", "from_addr", "body").where(F.length("body") > 0)).mapInArrow(run, "email_id bigint, line_no int")
 
 
 def own_text(emails: DataFrame, train_messages: int = TRAIN_MESSAGES) -> DataFrame:

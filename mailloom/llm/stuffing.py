@@ -20,6 +20,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from mailloom.llm.batches import slices
+from mailloom.plans.storage import spread
+
 # Frequent function words of the languages in use. Left out are words that
 # labels use too (in stock, near me, on sale).
 FUNCTION_WORDS = """
@@ -164,12 +167,12 @@ def score_pages(documents: DataFrame) -> DataFrame:
     rows give repeated rows; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             x = features(batch.column(1).to_pylist())
             x["stuffed"] = (x.words > 0) & (x.sentence_share < SENTENCES) & (x.stuffed_share >= STUFFED)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[c].to_numpy()) for c in x)], names=["doc_id", *x])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, {COLUMNS}, stuffed boolean")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, f"doc_id bigint, {COLUMNS}, stuffed boolean")
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
