@@ -69,7 +69,8 @@ def _small(df: DataFrame) -> DataFrame:
 
 def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per listed source: target_share, max_repeats, n_docs, size, total, rate."""
-    own = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("size"))
+    # a few rows, kept so that the tokens are not counted again for the total
+    own = cut(sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("size")))
     # a join with the one-row total, not a window: rows here are as many as targets
     total = own.agg(F.sum("size").alias("total"))
     t = _targets(targets).join(own, "source", "left").na.fill(0, ["n_docs", "size"]).crossJoin(F.broadcast(total)).na.fill(0, ["total"])
