@@ -28,6 +28,8 @@ from mailloom.plans.storage import spread
 #: Bound of the training sample: texts per language, and characters of a text. Documented parameter.
 SAMPLE_TEXTS, SAMPLE_CHARS = 300, 4000
 DICTIONARY_BYTES = 24_576
+#: Words with letters beyond ASCII that a model keeps.
+MOST_WORDS = 20_000
 #: Description length in bytes: of one decoding step, of a character that clean texts lack, of a sign inside a word.
 STEP_COST, FOREIGN_COST, INSIDE_COST = 0.75, 3.0, 1.5
 #: Of a decoding step that the other lines of a value do not share.
@@ -62,8 +64,8 @@ def _byte_table(name: str) -> dict[str, int]:
 
 
 class _Codes(dict):
-    """Characters as bytes of a code of our own, in which every letter of the clean texts takes one byte and
-    others take more. In UTF-8 a decoding could win by shorter characters alone."""
+    """Characters as bytes of a code of our own: one byte for every letter of the clean texts, and one of a
+    few for those that they lack. In UTF-8 a decoding could win by shorter characters alone."""
 
     def __init__(self, known: str):
         super().__init__({i: chr(i) for i in range(128)})
@@ -71,7 +73,7 @@ class _Codes(dict):
             self[ord(c)] = chr(0x80 + i) if i < 128 else "\x01" + chr(0x80 + i % 128) if i < 256 else "\x01\x01" + chr(i % 256)
 
     def __missing__(self, o: int) -> str:
-        self[o] = v = "\x02" + chr(o >> 8 & 255) + chr(o & 255)
+        self[o] = v = chr(14 + o % 18)
         return v
 
 
@@ -165,15 +167,15 @@ class Rereader:
 class Model:
     """Alphabet and dictionaries of clean texts, by language. Pickles to its dictionaries alone."""
 
-    def __init__(self, dictionaries: dict[str, bytes], alphabet: str):
-        self.dictionaries, self.alphabet = dictionaries, alphabet
+    def __init__(self, dictionaries: dict[str, bytes], alphabet: str, words: frozenset[str] = frozenset()):
+        self.dictionaries, self.alphabet, self.words = dictionaries, alphabet, words
         cases = "".join(dict.fromkeys(c for x in alphabet for c in (x, x.lower(), x.upper()) if len(c) == 1))
         #: letters and signs of clean texts, with both cases of each letter
         self.known = "".join(dict.fromkeys(alphabet + cases + SIGNS))
         self.codes = _Codes(self.known)
 
     def __reduce__(self):
-        return Model, (self.dictionaries, self.alphabet)
+        return Model, (self.dictionaries, self.alphabet, self.words)
 
     @classmethod
     def train(cls, rows: Iterable[tuple[str | None, str]]) -> Model:
@@ -185,7 +187,8 @@ class Model:
             chars.update(text)
             by.setdefault(lang or "", []).extend(x for x in text.split("\n") if x.strip())
         least = 1 if sum(map(len, by.values())) < 500 else 2
-        model = cls({}, "".join(c for c, n in chars.most_common() if n >= least and ord(c) > 127))
+        words = Counter(w for lines in by.values() for x in lines if not x.isascii() for w in _WORDS.findall(x.lower()) if not w.isascii())
+        model = cls({}, "".join(c for c, n in chars.most_common() if n >= least and ord(c) > 127), frozenset(w for w, n in words.most_common(MOST_WORDS) if n >= least))
         for lang, lines in by.items():
             samples = [model.encode(x) for x in lines]
             try:
@@ -225,10 +228,29 @@ class Model:
 
     _inside = re.compile(r"[^\W\d_][–—…”‘»€£¥§°№•·†®©™¿¡“„«][^\W\d_]|[^\W\d_][€£¥§°¿¡“„«•†®©™]|[€£¥°•†®©™¿](?=[А-Яа-я])")
 
-    def length(self, line: str) -> float:
-        """Description length of a line in bytes, in the language that describes it best."""
+    def compressed(self, line: str) -> int:
+        """Bytes of a line in the language that describes it best."""
         raw = self.encode(line)
-        return min(len(c.compress(raw)) for c in self.compressors) + FOREIGN_COST * len(self._foreign.findall(line)) + INSIDE_COST * len(self._inside.findall(line))
+        return min(len(c.compress(raw)) for c in self.compressors)
+
+    def length(self, line: str, packed: int | None = None) -> float:
+        """Description length of a line: its bytes, and what its odd characters cost beyond them."""
+        packed = self.compressed(line) if packed is None else packed
+        return packed + FOREIGN_COST * len(self._foreign.findall(line)) + INSIDE_COST * len(self._inside.findall(line))
+
+    def _supported(self, old: str, new: str, old_bytes: int, name: str) -> float:
+        """Description length of a candidate; infinite for a rereading that only trades rare letters for known ones:
+        it must compress better, take a sign out of a word, turn a letter into a currency sign at a number, or
+        make words that clean texts have."""
+        packed = self.compressed(new)
+        if not name.startswith("utf-8") and packed >= old_bytes:
+            fewer_signs = len(self._inside.findall(new)) < len(self._inside.findall(old))
+            if not fewer_signs and len(_MONEY.findall(new)) <= len(_MONEY.findall(old)) and self._known_words(new) <= self._known_words(old):
+                return float("inf")
+        return self.length(new, packed)
+
+    def _known_words(self, line: str) -> int:
+        return sum(w in self.words for w in _WORDS.findall(line.lower()) if not w.isascii())
 
     @cached_property
     def readers(self) -> tuple[list[Utf8Reader], list[Rereader]]:
@@ -272,8 +294,9 @@ class Model:
             options = [(name, c) for name, c in self.candidates(line) if self._plausible(line, c, odd)]
             if not options:
                 break
-            cost = self.length(line) if cost < 0 else cost
-            best, name, c = min((self.length(c) + (STEP_COST if not usual else 0.5 if name in usual else RARE_COST), name, c) for name, c in options)
+            plain = self.compressed(line)
+            cost = self.length(line, plain) if cost < 0 else cost
+            best, name, c = min((self._supported(line, c, plain, name) + (STEP_COST if not usual else 0.5 if name in usual else RARE_COST), name, c) for name, c in options)
             if best >= cost:
                 break
             cost, line = best, c
@@ -298,6 +321,8 @@ class Model:
         return "\n".join(x[1] for x in lines), bool(names) or bool(votes) or lost, "; ".join(names)
 
 
+_WORDS = re.compile(r"[^\W\d_]+")
+_MONEY = re.compile(r"[€£¥]\d|\d [€£¥]")
 _CONTROLS = re.compile(r"[\x80-\x9f]")
 _MIXED = re.compile(r"[A-Za-zÀ-ɏ][\u0370-\u03ff\u0400-\u04ff]|[\u0370-\u03ff\u0400-\u04ff][A-Za-zÀ-ɏ]|[\u0370-\u03ff][\u0400-\u04ff]|[\u0400-\u04ff][\u0370-\u03ff]")
 

@@ -56,7 +56,8 @@ RECORD_WORDS = 20
 _MARK = re.compile(r"[/|»;,>·•]$|^[/|»·•]")
 _EDGE = re.compile(r"^\W+|\W+$")
 _DIGIT = re.compile(r"\d")
-NEWLINE = "\n"
+#: Stands for a line break among the words; a private-use character, read as a line break where a text holds it.
+NEWLINE = "\ue00a"
 
 
 def _token_traits(tokens: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -82,13 +83,12 @@ def features(texts: list[str | None]) -> pd.DataFrame:
     flat: list[str] = []
     n = np.zeros(len(texts), dtype=np.int64)
     for k, t in enumerate(texts):
-        own = t.replace("\n", " \x00 ").split() if t else []
+        own = t.replace("\n", f" {NEWLINE} ").split() if t else []
         n[k] = len(own)
         flat += own
     if not flat:
         return pd.DataFrame({c.split()[0]: np.zeros(len(texts), "int32" if "int" in c else float) for c in COLUMNS.split(", ")})
     codes, uniques = pd.factorize(np.array(flat, dtype=object))
-    uniques = np.where(uniques == "\x00", NEWLINE, uniques)
     form, newline, function, link, tag, record, ends, mark_only, separator = (x[codes] for x in _token_traits(uniques))
     doc = np.repeat(np.arange(len(texts)), n)
 
