@@ -129,32 +129,42 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
 def class_weights(rows: DataFrame) -> DataFrame:
     """(y, n, weight): weight = rows / (classes * rows of the class)."""
     n = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_k"))
-    return n.crossJoin(F.broadcast(total)).select("y", "n", (F.col("_all") / (F.col("_k") * F.col("n"))).alias("weight"))
+    whole = Window.partitionBy(F.lit(1))  # over as many rows as there are classes
+    return n.select("y", "n", (F.sum("n").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("n"))).alias("weight"))
 
 
 def report(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     """(label, support, precision, recall, f1, accuracy) per label; 0 where undefined. One small aggregation."""
     cells = rows.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    labels = cells.select(F.explode(F.array("t", "p")).alias("label"), "t", "p", "n").distinct()
+    # over as many rows as there are pairs of labels
+    whole = Window.partitionBy(F.lit(1))
+    accuracy = F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).over(whole) / F.sum("n").over(whole)
+    labels = cells.withColumn("accuracy", accuracy).select(F.explode(F.array("t", "p")).alias("label"), "t", "p", "n", "accuracy").distinct()
     w = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    same = labels.groupBy("label").agg(w((F.col("t") == F.col("label")) & (F.col("p") == F.col("label"))).alias("hit"), w(F.col("t") == F.col("label")).alias("support"), w(F.col("p") == F.col("label")).alias("given"))
-    all_ = cells.agg((F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+    same = labels.groupBy("label").agg(w((F.col("t") == F.col("label")) & (F.col("p") == F.col("label"))).alias("hit"), w(F.col("t") == F.col("label")).alias("support"), w(F.col("p") == F.col("label")).alias("given"), F.max("accuracy").alias("accuracy"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     out = same.withColumns({"precision": ratio(F.col("hit"), F.col("given")), "recall": ratio(F.col("hit"), F.col("support"))})
     f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
-    return out.withColumn("f1", f1).crossJoin(F.broadcast(all_)).select("label", "support", "precision", "recall", "f1", "accuracy")
+    return out.withColumn("f1", f1).select("label", "support", "precision", "recall", "f1", "accuracy")
 
 
 def document_frequency(rows: DataFrame, least: int = 2) -> DataFrame:
     """(term, df, idf) of the words of two or more letters or digits in at least `least` texts."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0)))
-    n = rows.agg(F.count(F.lit(1)).alias("_n"))
+    n = rows.count()
     df = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
-    return df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((F.col("_n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return df.select("term", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def first_of_equal(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     """One row, that of the smallest key, for each combination of the columns."""
     w = Window.partitionBy(*columns).orderBy(key)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def with_rules(predictions: DataFrame, scored: DataFrame, key: str) -> DataFrame:
+    """predictions (key, verdict, percent) beside the rules' label, score and explanations (as rules_...), and
+    whether both agree that a message is dangerous. One join on the key."""
+    rules = scored.select(key, F.col("label").alias("rules_label"), F.col("score").alias("rules_score"), F.col("explanations").alias("rules_explanations"))
+    agree = (F.col("verdict") == "Phishing") == (F.col("rules_label") != "LOW")
+    return predictions.join(rules, key, "left").withColumn("agree", agree)

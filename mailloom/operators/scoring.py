@@ -33,9 +33,15 @@ def signals(
     lexicon=wording.LEXICON,
     reference_domains: Sequence[str] = tuple(d for _, d in identity.BRANDS),
     joined_attachments: bool = False,
+    compat_wiring: bool = False,
 ) -> DataFrame:
     """emails with one column per signal. Needs from_addr, reply_to, return_path, message_id, subject, body,
-    attachments (packed string) and received; keeps every column. NULL and '' are absent. With joined_attachments the packed string counts as one name."""
+    attachments (packed string) and received; keeps every column. NULL and '' are absent. With joined_attachments the packed string counts as one name.
+    With compat_wiring the reply-to, return-path and Received rules see nothing and attachments are joined, as
+    if a parser did not hand these headers on."""
+    if compat_wiring:
+        emails = emails.withColumns({"reply_to": F.lit(None).cast("string"), "return_path": F.lit(None).cast("string"), "received": F.array().cast("array<string>")})
+    joined_attachments = joined_attachments or compat_wiring
     e = emails.withColumns({"_from": domains.address_of(F.col("from_addr")), "_reply": domains.address_of(F.col("reply_to")), "_return": domains.address_of(F.col("return_path"))})
     e = e.withColumns({"from_host": domains.host_of(F.col("_from"))})
     e = e.withColumns({"from_dom": domains.registrable(F.col("from_host")), "reply_dom": domains.registrable(domains.host_of(F.col("_reply"))), "return_dom": domains.registrable(domains.host_of(F.col("_return")))})

@@ -64,6 +64,11 @@ def credential_score(path: Column, query: Column) -> Column:
     return bind(hits, lambda h: F.when(h["p"] == 0, 0).otherwise(1 + F.least(h["p"] - 1, F.lit(1)) + F.least(h["s"], F.lit(1))))
 
 
+def looks_like_harvest(path: Column, query: Column) -> Column:
+    """Whether path and query have the terms of credential forms."""
+    return credential_score(path, query) > 0
+
+
 def domain_risk(host: Column, sender_host: Column) -> Column:
     """2 for an odd structure, 1 for a domain that is not the sender's, 0 for trusted or own ones, no host, or no sender."""
     def judge(x: Column) -> Column:

@@ -376,6 +376,17 @@ for _name in learning.REGISTRY:
     _train_predict(_name)
 
 
+@query
+def ml_with_rules(spark, d):
+    rows = cut(learning.split(learning.clean_labels(read(spark, d, "training")), "training_id").select("email_id", "text", "label", "y", "is_test"))
+    if not rows.limit(1).count():
+        return spark.createDataFrame([], "email_id bigint, verdict string, rules_label string, rules_score int, agree boolean")
+    model = learning.complement_bayes(rows.where("not is_test"))
+    told = learning.predict(model, rows.where("is_test").select("email_id", "text"))
+    both = learning.with_rules(told, _scored(spark, d), "email_id")
+    return both.select("email_id", "verdict", "rules_label", "rules_score", "agree")
+
+
 @query
 def event_window_counts(spark, d):
     return scored.window_counts(read(spark, d, "events"), "ts", "event_type").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))

@@ -34,3 +34,19 @@ def test_report(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "b")], "t string, p string")
     got = {r["label"]: r for r in learning.report(df, "t", "p").collect()}
     assert got["a"]["precision"] == 1 and got["a"]["recall"] == 0.5 and got["b"]["precision"] == pytest.approx(1 / 3) and got["c"]["f1"] == 0 and got["a"]["accuracy"] == 0.5
+
+
+def test_rules_beside_predictions(spark):
+    p = spark.createDataFrame([(1, "Phishing", 90.0), (2, "Legitimate", 80.0), (3, "Phishing", 60.0)], "id int, verdict string, percent double")
+    s = spark.createDataFrame([(1, "HIGH", 12, ["x"]), (2, "MEDIUM", 6, [])], "id int, label string, score int, explanations array<string>")
+    assert [r["agree"] for r in learning.with_rules(p, s, "id").orderBy("id").collect()] == [True, False, None]
+
+
+def test_jobs(spark, rows, tmp_path):
+    from mailloom.plans import jobs
+
+    assert jobs.train_all(spark, rows, str(tmp_path / "m")).where("accuracy > 0.9").count() >= 8
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.eml").write_bytes(b"From: a@x.org\r\nSubject: Urgent\r\n\r\nverify your password")
+    jobs.score_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).first()["label"] == "HIGH"

@@ -139,3 +139,11 @@ def test_get_or_create_asks_each_digest_once(spark):
     cache = spark.createDataFrame([("m", "b", "2024-01-01 00:00:00", "new"), ("m", "b", "2023-12-31 23:59:00", "old"), ("m", "c", "2023-12-31 23:00:00", "stale")], "model string, digest string, ts string, payload string").withColumn("ts", F.to_timestamp("ts"))
     rows = {r["id"]: r for r in reviewer.get_or_create(req, cache, F.lit("2024-01-01 00:02:00").cast("timestamp"), provider).collect()}
     assert [rows[i]["cached"] for i in (1, 2, 3, 4)] == [False, False, True, False] and rows[3]["payload"] == "new" and asked.value == 2
+
+
+def test_compatible_wiring(spark):
+    row = (1, "a@x.org", "b@y.org", "c@z.org", None, "", "", "a.exe; b.txt", ["r"] * 9, 0)
+    df = spark.createDataFrame([row], EMAIL)
+    assert scoring.score(df).first()["score"] == 3 + 2 + 2 + 4
+    assert scoring.score(df, compat_wiring=True).first()["score"] == 0
+    assert column(spark, ["/login", "/x", None], lambda c: urls.looks_like_harvest(c, F.lit(""))) == [True, False, False]
