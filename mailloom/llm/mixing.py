@@ -17,7 +17,7 @@ import functools
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailloom.plans.storage import cut, spread
@@ -71,9 +71,8 @@ def rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per listed source: target_share, max_repeats, n_docs, size, total, rate."""
     # a few rows, kept so that the tokens are not counted again for the total
     own = cut(sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("size")))
-    # a join with the one-row total, not a window: rows here are as many as targets
-    total = own.agg(F.sum("size").alias("total"))
-    t = _targets(targets).join(own, "source", "left").na.fill(0, ["n_docs", "size"]).crossJoin(F.broadcast(total)).na.fill(0, ["total"])
+    total = own.agg(F.sum("size").alias("total")).first()["total"] or 0
+    t = _targets(targets).join(own, "source", "left").na.fill(0, ["n_docs", "size"]).withColumn("total", F.lit(total))
     rate = F.when(F.col("size") > 0, F.least(F.col("target_share") * F.col("total") / F.col("size"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0))
     return t.withColumn("rate", F.greatest(F.coalesce(rate, F.lit(0.0)), F.lit(0.0)))
 
@@ -108,6 +107,6 @@ def shares(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, seed
     r = rates(sizes, targets)
     used = sizes.join(_small(r.select("source", "rate")), "source").withColumn("c", copies(F.col("doc_id"), F.col("rate"), seed))
     got = used.groupBy("source").agg(F.sum("c").cast("bigint").alias("n_emitted"), F.sum(F.col("c") * F.col("n_tokens")).alias("tokens"))
-    all_tokens = got.agg(F.sum("tokens").alias("_all"))
-    out = r.join(got, "source", "left").na.fill(0, ["n_emitted", "tokens"]).crossJoin(F.broadcast(all_tokens))
-    return out.select("source", "target_share", "max_repeats", "n_docs", "size", "rate", "n_emitted", "tokens", F.when(F.col("_all") > 0, F.col("tokens") / F.col("_all")).alias("share"))
+    out = r.join(got, "source", "left").na.fill(0, ["n_emitted", "tokens"])
+    whole = F.sum("tokens").over(Window.partitionBy(F.lit(1)))  # over as many rows as there are targets
+    return out.select("source", "target_share", "max_repeats", "n_docs", "size", "rate", "n_emitted", "tokens", F.when(whole > 0, F.col("tokens") / whole).alias("share"))
