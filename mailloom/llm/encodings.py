@@ -160,7 +160,9 @@ class Rereader:
         if self.used.isdisjoint(chars):
             return []
         words = re.split(r"([ \t\r]+)", line)
-        some = "".join(w.translate(self.map) if unusual(w) else w for w in words)
+        # what stands alone shows only beside its neighbours that it is odd
+        alone = lambda w: not w.isascii() and len(w.strip(".,;:!?")) == 1
+        some = "".join(w.translate(self.map) if unusual(w) or alone(w) else w for w in words)
         return list({line.translate(self.map), some} - {line} if self.scripts else {some} - {line})
 
 
@@ -218,6 +220,7 @@ class Model:
         return re.compile(
             rf"[^\x00-\x7f{known}\xa0\xad\u200b-\u200f\u2060\ufeff\u2000-\u200a\u202f\u205f\u3000\U0001d400-\U0001d7ff\uff00-\uffef\u0300-\u036f]"
             r"|[^\W\d_][€£¥§°¿¡“„«•·†®©™]|[€¥§°№•·†®©™][^\W\d_]|[^\W\d_][–—…”‘»][^\W\d_]"
+            r"|[a-zà-öø-ÿ][À-ÖØ-ÞŠŽŸŒ]|\d [À-ÖØ-Þ](?!\w)|(?<=[ ,]) [ùûÑÐÓÔ](?= )|[А-Яа-яёA-Za-z][ÕÔ][a-z]"
             r"|[а-яё][А-Я]|[А-Я]{3}|[À-ÖØ-öø-ÿ]{3}|[ÃÂ][\s\xa0]|[ÐÑ][^\x00-\x7f]"
             r"|[А-Яа-яё][A-Za-z]?[¤¦§«®°±µ¶·»\xad\xa0‚„…†‡‰‹‘’“”•–—™›№][А-Яа-яё]"
         )
@@ -226,7 +229,11 @@ class Model:
     def _foreign(self) -> re.Pattern:
         return re.compile(rf"[^\x00-\x7f{re.escape(self.known)}\u200b-\u200f\u2060\ufeff\xad\xa0]")
 
-    _inside = re.compile(r"[^\W\d_][–—…”‘»€£¥§°№•·†®©™¿¡“„«][^\W\d_]|[^\W\d_][€£¥§°¿¡“„«•†®©™]|[€£¥°•†®©™¿](?=[А-Яа-я])")
+    # signs within words; capitals behind small letters; letters that stand alone where a dash or currency sign would
+    _inside = re.compile(
+        r"[^\W\d_][–—…”‘»€£¥§°№•·†®©™¿¡“„«÷×¸±´¯¨³²¹¼½¾][^\W\d_]|[^\W\d_][€£¥§°¿¡“„«•†®©™]|[€£¥°•†®©™¿](?=[А-Яа-я])"
+        r"|[a-zà-öø-ÿа-яё][À-ÖØ-ÞŠŽŸŒА-Я]|\d [À-ÖØ-Þ](?!\w)|(?<=[ ,]) [ùûÑÐÓÔ](?= )|[A-Za-z]Õ[a-z]"
+    )
 
     def compressed(self, line: str) -> int:
         """Bytes of a line in the language that describes it best."""
@@ -234,18 +241,19 @@ class Model:
         return min(len(c.compress(raw)) for c in self.compressors)
 
     def length(self, line: str, packed: int | None = None) -> float:
-        """Description length of a line: its bytes, and what its odd characters cost beyond them."""
+        """Description length of a line: its bytes, and what its odd characters cost beyond them;
+        signs at their place, which dictionaries cannot know beside changing numbers, earn that back."""
         packed = self.compressed(line) if packed is None else packed
-        return packed + FOREIGN_COST * len(self._foreign.findall(line)) + INSIDE_COST * len(self._inside.findall(line))
+        return packed + FOREIGN_COST * len(self._foreign.findall(line)) + INSIDE_COST * (len(self._inside.findall(line)) - len(_SIGNS_AT_PLACE.findall(line)))
 
     def _supported(self, old: str, new: str, old_bytes: int, name: str) -> float:
         """Description length of a candidate; infinite for a rereading that only trades rare letters for known ones:
-        it must compress better, take a sign out of a word, turn a letter into a currency sign at a number, or
-        make words that clean texts have."""
+        it must compress better, take an oddity out of a word, turn a letter into a sign that belongs there, or make
+        words that clean texts have."""
         packed = self.compressed(new)
         if not name.startswith("utf-8") and packed >= old_bytes:
             fewer_signs = len(self._inside.findall(new)) < len(self._inside.findall(old))
-            if not fewer_signs and len(_MONEY.findall(new)) <= len(_MONEY.findall(old)) and self._known_words(new) <= self._known_words(old):
+            if not fewer_signs and len(_SIGNS_AT_PLACE.findall(new)) <= len(_SIGNS_AT_PLACE.findall(old)) and self._known_words(new) <= self._known_words(old):
                 return float("inf")
         return self.length(new, packed)
 
@@ -322,7 +330,8 @@ class Model:
 
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_MONEY = re.compile(r"[€£¥]\d|\d [€£¥]")
+# currency signs at numbers, dashes between words, ellipses and apostrophes where they belong
+_SIGNS_AT_PLACE = re.compile(r"[€£¥]\d|\d [€£¥]| [–—] |\w…|\w’\w")
 _CONTROLS = re.compile(r"[\x80-\x9f]")
 _MIXED = re.compile(r"[A-Za-zÀ-ɏ][\u0370-\u03ff\u0400-\u04ff]|[\u0370-\u03ff\u0400-\u04ff][A-Za-zÀ-ɏ]|[\u0370-\u03ff][\u0400-\u04ff]|[\u0400-\u04ff][\u0370-\u03ff]")
 
