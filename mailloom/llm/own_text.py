@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from mailloom.llm.batches import slices
 from mailloom.llm.boosting import Trees
+from mailloom.llm.encodings import READ_AS_WRITTEN_IN, UTF8_READ_AS
 from mailloom.llm.near_duplicates import chunk_keys, hashed_words
 from mailloom.plans.storage import spread
 
@@ -34,6 +35,9 @@ TRAIN_MESSAGES = 4000
 CELL_BITS = 21
 CELLS = 1 << CELL_BITS
 
+_INVISIBLE = re.compile("[\xad\u200b-\u200f\u2060\ufeff]+")
+_SPACES = re.compile(r"[^\S\n\r\t ]")
+
 # Conventions of mail in the languages in use.
 _CLOSINGS = (
     "best regards|kind regards|warm regards|with best regards|many regards|regards|best wishes|all the best|best|many thanks|thanks a lot|thanks again|thanks|thank you|thx|cheers|"
@@ -56,9 +60,29 @@ FORWARD = re.compile(
     r"(?i)[*>\s]{0,3}(?:-{2,}|_{2,}|={2,}) ?[^-_=\n]{0,60}?(?:message|nachricht|mensaje|mensagem|сообщение|origin|urspr|forward|weitergeleitet|transf|reenvi|encaminhad|пересл|исходн)[^\n]{0,40}(?:-{2,}|_{2,}|={2,})[*\s]{0,3}$"
     r"|begin forwarded message ?:|anfang der weitergeleiteten nachricht ?:|d\S{1,5}but du message (?:transf|r\S{1,6}exp)"
 )
-INTRODUCTION = re.compile(r"(?i)(?:\b(?:wrote|said|writes|schrieb|escreveu)\b|\ba \S{1,6}crit\b|\bescribi\S{1,6}|написал)")
+
+
+def _misread(phrases: list[str]) -> list[str]:
+    """The phrases as common wrong encodings show them, in lower case, the longest first."""
+    ways = [("utf-8", r) for r in UTF8_READ_AS] + [(w, r) for r, w in READ_AS_WRITTEN_IN]
+    out = set()
+    for p in phrases:
+        for written, read in ways:
+            try:
+                out.add(p.encode(written).decode(read, "replace" if written == "utf-8" else "strict").lower())
+            except UnicodeError:
+                continue
+    # bodies are read without invisible characters and with plain spaces
+    out = {_SPACES.sub(" ", _INVISIBLE.sub("", x)) for x in out}
+    return sorted({x for x in out if x not in {p.lower() for p in phrases} and len(x) > 3}, key=lambda x: (-len(x), x))
+
+
+#: Closings and verbs with letters beyond ASCII, garbled: bodies may hold the dirt of problem 1.
+_GARBLED_CLOSINGS = tuple(_misread(["С уважением", "С наилучшими пожеланиями", "Bien à vous", "Viele Grüße", "Beste Grüße", "Freundliche Grüße", "Liebe Grüße", "Mit freundlichen Grüßen", "Abraços"]))
+_AFTER_CLOSING = re.compile(rf"\s*[,.!–—-]?{_NAME}\s*[,.]?$")
+INTRODUCTION = re.compile(r"(?i)(?:\b(?:wrote|said|writes|schrieb|escreveu)\b|\ba \S{1,6}crit\b|\bescribi\S{1,6}|написал|" + "|".join(map(re.escape, _misread(["написал"]))) + ")")
 _DATE = re.compile(r"\d{1,4}[-./]\d{1,2}[-./]\d{2,4}|\b(?:19|20)\d{2}\b|\d{1,2}:\d{2}|@")
-DEVICE = re.compile(r"(?i)\*?(?:sent from|sent with|sent via|get \w+ for|written on the go|gesendet (?:von|mit)|von meinem .{2,30} gesendet|von unterwegs|envoy\S{1,8} (?:de|depuis)|enviado (?:desde|do|de)|отправлено с)\b")
+DEVICE = re.compile(r"(?i)\*?(?:sent from|sent with|sent via|get [\w ]{2,30} for (?:pocket|mobile|ios|android|iphone|smart)\w*|written on the go|gesendet (?:von|mit)|von meinem .{2,30} gesendet|von unterwegs|envoy\S{1,8} (?:de|depuis)|enviado (?:desde|do|de)|отправлено с)\b")
 NOTICE = (
     "confidential", "privileged", "vertraulich", "confidentiel", "confidencial", "конфиденциальн", "meant to write to", "meant only for", "intended recipient", "intended only for",
     "accepts no liability", "liability for damage", "managing director", "registered in", "think of the trees", "before you print", "views expressed", "without consent", "delete this mail",
@@ -69,17 +93,15 @@ LISTING = (
 )
 GATEWAY = re.compile(r"(?i)^\[?external\]?|^\[extern|came from outside|^\*{3}.*\*{3}$|^caution ?:|scanned by|by the .{1,40} gateway|sender is not known")
 _CONTACT = re.compile(r"\S+@\S+|https?://|www\.|(?:\+|\(0|\(\d{3}\)|\b(?:tel|phone|fax|mobile|t|f|m)\b[.:]?) ?[\d(]|\b555[ -]\d{3,4}")
-_SENTENCE = re.compile(r"[.!?…:;,]\W?$")
+_PERSONAL = re.compile(r"\S+@\S+|(?:\+|\(0|\(\d{3}\)|\b(?:tel|phone|fax|mobile|t|f|m)\b[.:]?) ?[\d(]|\b555[ -]\d{3,4}")
 _MORE_THAN = re.compile(r"\s{0,3}> ?\d+(?:[.,]\d+)? ?(?:%|\w)")
 _PS = re.compile(r"(?i)p\.? ?s\b")
-_INVISIBLE = re.compile("[\xad\u200b-\u200f\u2060\ufeff]+")
-_SPACES = re.compile(r"[^\S\n\r\t ]")
 _DIGITS = re.compile(r"\d+")
 
 FEATURES = (
     "quote_depth quoted contact_density words_per_line lines words sentences closing delimiter forward headers introduction notices listing gateway device "
     "after_forward after_closing previous_quoted next_quoted from_start from_end sender_frequency ancestor_overlap more_than name_lines after_quote previous_delimiter "
-    "previous_notice paragraph_start previous_introduction next_notice previous_signature"
+    "previous_notice paragraph_start previous_introduction next_notice previous_signature contact_card"
 ).split()
 _F = {n: i for i, n in enumerate(FEATURES)}
 
@@ -105,7 +127,7 @@ def blocks_of(body: str) -> list[Block]:
             continue
         if QUOTE.match(line):
             kind = "quoted"
-        elif len(text) <= 60 and CLOSING.match(text):
+        elif len(text) <= 60 and (CLOSING.match(text) or not text.isascii() and _garbled_closing(text)):
             kind = "closing"
         elif DELIMITER.match(text):
             kind = "delimiter"
@@ -134,6 +156,11 @@ def blocks_of(body: str) -> list[Block]:
     return _with_introductions(out)
 
 
+def _garbled_closing(text: str) -> bool:
+    low = text.lower()
+    return any(low.startswith(g) and _AFTER_CLOSING.match(text[len(g) :]) for g in _GARBLED_CLOSINGS)
+
+
 def _with_introductions(blocks: list[Block]) -> list[Block]:
     """Split introductions ("... wrote:"), of up to four lines, off the end of the text blocks that they end."""
     out: list[Block] = []
@@ -211,7 +238,7 @@ def label(blocks: list[Block]) -> np.ndarray:
             y[i] = 1
         elif prev is not None and prev.kind in ("delimiter",) and prev.paragraph == b.paragraph and (len(prev.texts[0]) >= 25 or _signature_like(b)):
             y[i] = 1
-        elif _contacts(b) >= 1 and _signature_like(b) and len(b.lines) >= 2:
+        elif _contact_card(b):
             y[i], signature = 1, True
         else:
             signature = False
@@ -238,6 +265,14 @@ def _signature_like(b: Block) -> bool:
     return True
 
 
+def _contact_card(b: Block) -> bool:
+    """Two or more short lines, one of them with a mail address or a phone number: a signature without a closing."""
+    if len(b.texts) < 2 or b.kind == "quoted" or not _signature_like(b):
+        return False
+    found = [bool(_PERSONAL.search(t)) for t in b.texts]
+    return any(found) and all(f or t.count(" ") < 5 for f, t in zip(found, b.texts))
+
+
 def features(blocks: list[Block], sender: np.ndarray, overlap: np.ndarray) -> np.ndarray:
     """(blocks, features) of one message; sender and overlap per block."""
     n = len(blocks)
@@ -284,11 +319,13 @@ def features(blocks: list[Block], sender: np.ndarray, overlap: np.ndarray) -> np
         row[30] = prev is not None and prev.kind == "introduction"
         row[31] = nxt is not None and nxt.paragraph == b.paragraph and bool(_cues(nxt.texts[0], NOTICE) or _cues(nxt.texts[0], LISTING))
         row[32] = sig
+        card = like and _contact_card(b)
+        row[33] = card
         # the run of signature lines behind a closing or a delimiter goes on while they look like it
         if b.kind == "closing" or b.kind == "delimiter" and nxt is not None and nxt.paragraph == b.paragraph:
             sig = True
         elif not (sig and (like or b.kind == "device")):
-            sig = b.kind == "text" and like and contacts >= 1 and lines >= 2
+            sig = b.kind == "text" and card
         forwarded |= b.kind in ("forward", "header")
         after_quote |= quoted
         closing = i if b.kind == "closing" else closing
