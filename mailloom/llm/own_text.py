@@ -15,6 +15,7 @@ phrases, delimiters, wordings of notices.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -103,7 +104,6 @@ FEATURES = (
     "after_forward after_closing previous_quoted next_quoted from_start from_end sender_frequency ancestor_overlap more_than name_lines after_quote previous_delimiter "
     "previous_notice paragraph_start previous_introduction next_notice previous_signature contact_card"
 ).split()
-_F = {n: i for i, n in enumerate(FEATURES)}
 
 
 class Block:
@@ -208,7 +208,7 @@ def label(blocks: list[Block]) -> np.ndarray:
         nxt = blocks[i + 1] if i + 1 < len(blocks) else None
         prev = blocks[i - 1] if i else None
         joined = " ".join(b.texts)
-        notice = b.kind != "quoted" and bool(_cues(joined, NOTICE) or _cues(joined, LISTING))
+        notice = b.kind != "quoted" and any(_cues(joined))
         if forwarded:
             y[i] = 1
             continue
@@ -245,9 +245,24 @@ def label(blocks: list[Block]) -> np.ndarray:
     return y
 
 
-def _cues(text: str, cues: tuple[str, ...]) -> int:
-    low = text.lower()
-    return sum(c in low for c in cues)
+@functools.cache
+def _automaton():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for kind, words in enumerate((NOTICE, LISTING)):
+        for w in words:
+            a.add_word(w, kind)
+    a.make_automaton()
+    return a
+
+
+def _cues(text: str) -> tuple[int, int]:
+    """How many wordings of notices, and of list footers, a text holds; one scan for all of them."""
+    found = [0, 0]
+    for _, kind in _automaton().iter(text.lower()):
+        found[kind] += 1
+    return found[0], found[1]
 
 
 def _contacts(b: Block) -> int:
@@ -300,8 +315,7 @@ def features(blocks: list[Block], sender: np.ndarray, overlap: np.ndarray) -> np
         row[9] = b.kind == "forward"
         row[10] = lines if b.kind == "header" else 0
         row[11] = b.kind == "introduction"
-        row[12] = 0 if quoted else _cues(joined, NOTICE)
-        row[13] = 0 if quoted else _cues(joined, LISTING)
+        row[12], row[13] = (0, 0) if quoted else _cues(joined)
         row[14] = b.kind == "gateway"
         row[15] = b.kind == "device"
         row[16] = forwarded
@@ -317,7 +331,7 @@ def features(blocks: list[Block], sender: np.ndarray, overlap: np.ndarray) -> np
         row[28] = prev is not None and x[i - 1, 12] + x[i - 1, 13] > 0
         row[29] = prev is None or prev.paragraph != b.paragraph
         row[30] = prev is not None and prev.kind == "introduction"
-        row[31] = nxt is not None and nxt.paragraph == b.paragraph and bool(_cues(nxt.texts[0], NOTICE) or _cues(nxt.texts[0], LISTING))
+        row[31] = nxt is not None and nxt.paragraph == b.paragraph and any(_cues(nxt.texts[0]))
         row[32] = sig
         card = like and _contact_card(b)
         row[33] = card

@@ -55,7 +55,6 @@ _RECORD = re.compile(r"\W*(?:<\w+>)?(?:\d{1,2}[:.]\d{2}|\d{1,3}$|\d{1,3}(?:x|[.)
 RECORD_WORDS = 20
 _MARK = re.compile(r"[/|»;,>·•]$|^[/|»·•]")
 _EDGE = re.compile(r"^\W+|\W+$")
-_DIGIT = re.compile(r"\d")
 #: Stands for a line break among the words; a private-use character, read as a line break where a text holds it.
 NEWLINE = "\ue00a"
 
