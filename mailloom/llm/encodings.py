@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailloom.llm.batches import slices
+from mailloom.llm.twins import LATIN_LIKE
 from mailloom.plans.storage import spread
 
 #: Bound of the training sample: texts per language, and characters of a text. Documented parameter.
@@ -175,6 +176,7 @@ class Model:
         #: letters and signs of clean texts, with both cases of each letter
         self.known = "".join(dict.fromkeys(alphabet + cases + SIGNS))
         self.codes = _Codes(self.known)
+        self.codes_known = frozenset(self.known) | frozenset(map(chr, range(128)))
 
     def __reduce__(self):
         return Model, (self.dictionaries, self.alphabet, self.words)
@@ -281,12 +283,15 @@ class Model:
                     yield s.name, c
 
     def _plausible(self, old: str, new: str, odd: int) -> bool:
-        """A decoding must leave fewer oddities, and no word that it changes may mix scripts."""
+        """A decoding must leave fewer oddities, bring in no characters of scripts that clean texts do not use, and
+        change no word into one that mixes scripts, nor one that does so by look-alike letters alone."""
         if len(self.unusual.findall(new)) >= odd and LOST not in new:
             return False
+        if any(c not in self.codes_known and not ("\xa0" <= c < "\u0250" or "\u2000" <= c < "\u2070" or c == LOST) for c in set(new) - set(old)):
+            return False
         a, b = old.split(), new.split()
         if len(a) == len(b):
-            return not any(x != y and _MIXED.search(y) for x, y in zip(a, b))
+            return not any(x != y and (_MIXED.search(y) or _MIXED.search(x) and _only_twins(x)) for x, y in zip(a, b))
         return len(_MIXED.findall(new)) <= len(_MIXED.findall(old))
 
     def repair(self, line: str, usual: frozenset[str] = frozenset(), steps: int = 3) -> tuple[str, list[str]]:
@@ -332,6 +337,13 @@ class Model:
 _WORDS = re.compile(r"[^\W\d_]+")
 # currency signs at numbers, dashes between words, ellipses and apostrophes where they belong
 _SIGNS_AT_PLACE = re.compile(r"[€£¥]\d|\d [€£¥]| [–—] |\w…|\w’\w")
+
+
+def _only_twins(word: str) -> bool:
+    """Whether all letters of other scripts in a word look like Latin ones: the dirt of problem 5."""
+    return all(c in LATIN_LIKE for c in word if "\u0370" <= c <= "\u052f")
+
+
 _CONTROLS = re.compile(r"[\x80-\x9f]")
 _MIXED = re.compile(r"[A-Za-zÀ-ɏ][\u0370-\u03ff\u0400-\u04ff]|[\u0370-\u03ff\u0400-\u04ff][A-Za-zÀ-ɏ]|[\u0370-\u03ff][\u0400-\u04ff]|[\u0400-\u04ff][\u0370-\u03ff]")
 
