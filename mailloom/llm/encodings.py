@@ -4,9 +4,12 @@ Method: every candidate decoding of a line is compressed with zstandard dictiona
 language; the chain of decodings with the smallest description length, the cost of the chain
 included, wins. If no chain is shorter than the line as it stands, the line stays unchanged.
 
-Only lines that hold something unusual are tried: a character that the clean texts do not have,
-a sign in the middle of a word, or letters in an unusual order. All other lines cost one
-regular expression. The operator is a narrow map; the model has a fixed size and is broadcast.
+Lines that hold something unusual are tried as a whole: a character that the clean texts do not
+have, a sign in the middle of a word, or letters in an unusual order. In all lines, words with
+letters beyond ASCII that the clean texts do not have are tried one by one, so that letters which
+are right in another language or place hide nothing. Lines of known words cost one regular
+expression and a look-up per word. The operator is a narrow map; the model has a fixed size and is
+broadcast.
 """
 
 from __future__ import annotations
@@ -14,8 +17,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from functools import cached_property
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -35,6 +38,9 @@ MOST_WORDS = 20_000
 STEP_COST, FOREIGN_COST, INSIDE_COST = 0.75, 3.0, 1.5
 #: Of a decoding step that the other lines of a value do not share.
 RARE_COST = 8.0
+#: What a word that clean texts have saves, where it takes the place of one that they lack; and the letters of such a
+#: word that prove a decoding which nothing else in the value shows.
+KNOWN_GAIN, PROOF_LETTERS = 1.5, 3
 LOST = "�"
 
 # Single-byte encodings in which UTF-8 is commonly misread, as Python names.
@@ -314,14 +320,59 @@ class Model:
                 break
             cost, line = best, c
             chain.append(name)
-        return line, chain
+        line, name = self.reword(line, usual)
+        return line, chain + [name] * bool(name)
+
+    @cached_property
+    def strange(self) -> Callable[[str], bool]:
+        """Whether a word with letters beyond ASCII is none of the clean texts; those of problem 5 are left alone."""
+
+        @lru_cache(1 << 16)
+        def strange(token: str) -> bool:
+            return not _DRESSED.search(token) and any(not w.isascii() and w not in self.words for w in _WORDS.findall(token.lower()))
+
+        return strange
+
+    def _proved(self, old: str, new: str, letters: int) -> bool:
+        """Whether a rereading makes words that clean texts have, in the usual case, of all that they lack, or a
+        letter a currency sign at its number."""
+        if _AMOUNT.match(new) and not _AMOUNT.match(old):
+            return True
+        made = [w for w in _WORDS.findall(new) if not w.isascii()]
+        return bool(made) and max(map(len, made)) >= letters and all(w.lower() in self.words and (w[1:].islower() or w.isupper() or len(w) == 1) for w in made)
+
+    def reword(self, line: str, usual: frozenset[str] = frozenset(), only: bool = False) -> tuple[str, str]:
+        """The line with its unknown words read anew where that proves right, and the decoding undone ('' for none).
+        only: just the decodings `usual`, which other lines of the value prove."""
+        tokens = [] if line.isascii() else _SPACES.split(line)
+        strange = {t for t in tokens if not t.isascii() and self.strange(t)}
+        if not strange:
+            return line, ""
+        chars = {c for t in strange for c in t if c > "\x7f"}
+        utf8, rereaders = self.readers
+        readings = [(f"utf-8 read as {r.name}", lambda t, r=r: r(t, set(t))) for r in utf8 if not r.leads or not r.leads.isdisjoint(chars)]
+        readings += [(r.name, lambda t, r=r: [t.translate(r.map)]) for r in rereaders if not r.used.isdisjoint(chars)]
+        options = []
+        for name, read in readings:
+            if only and name not in usual:
+                continue
+            made = [(t, c) for t in strange for c in read(t) if c != t and self._proved(t, c, 1)]
+            if not made or not only and not any(self._proved(t, c, PROOF_LETTERS) for t, c in made):
+                continue
+            fixed = dict(made)
+            new = "".join(fixed.get(t, t) for t in tokens)
+            if self._plausible(line, new, len(self.unusual.findall(line)) + 1):
+                gain = KNOWN_GAIN * (self._known_words(new) - self._known_words(line))
+                options.append((self.length(new) - gain + (STEP_COST if not usual else 0.5 if name in usual else RARE_COST), name, new))
+        best = min(options, default=None)
+        return (best[2], best[1]) if best and best[0] < self.length(line) else (line, "")
 
     def restore(self, value: str | None) -> tuple[str | None, bool, str]:
         """(restored value, whether it was garbled, the chain of its lines)."""
         if not value or value.isascii():
             return value, False, ""
         lost = LOST in value or _CONTROLS.search(value) is not None
-        if not lost and not self.unusual.search(value):
+        if not lost and not self.unusual.search(value) and not any(self.strange(t) for t in value.split() if not t.isascii()):
             return value, False, ""
         lines = [(x, *self.repair(x)) for x in value.split("\n")]
         votes = Counter(name for _, _, chain in lines for name in chain)
@@ -330,11 +381,22 @@ class Model:
             most = max(votes.values())
             usual = frozenset(n for n, v in votes.items() if v == most or v > 2)
             lines = [(x, *(self.repair(x, usual) if not usual.issuperset(chain) else (fixed, chain))) for x, fixed, chain in lines]
+        if votes:
+            # what one line proves holds for single words of the others too
+            found = frozenset(name for _, _, chain in lines for name in chain)
+            for i, (x, fixed, chain) in enumerate(lines):
+                again, name = self.reword(fixed, found, True)
+                if name:
+                    lines[i] = (x, again, [*chain, name])
         names = dict.fromkeys(name for _, _, chain in lines for name in chain)
         return "\n".join(x[1] for x in lines), bool(names) or bool(votes) or lost, "; ".join(names)
 
 
 _WORDS = re.compile(r"[^\W\d_]+")
+_SPACES = re.compile(r"([ \t\r]+)")
+_AMOUNT = re.compile(r"\W{0,2}[€£¥]\d")
+# invisible characters, spaces, presentation forms and accents
+_DRESSED = re.compile("[\xad\u200b-\u200f\u2060\ufeff\u2000-\u200a\u202f\u205f\u3000\U0001d400-\U0001d7ff\uff00-\uffef\u0300-\u036f]")
 # currency signs at numbers, dashes between words, ellipses and apostrophes where they belong
 _SIGNS_AT_PLACE = re.compile(r"[€£¥]\d|\d [€£¥]| [–—] |\w…|\w’\w")
 

@@ -78,3 +78,15 @@ def test_training_works_on_nothing(spark):
     assert m.restore("Grüße")[1] is False and m.restore("x�")[1]
     few = spark.createDataFrame([(1, "de", "Grüße"), (2, None, "x"), (3, "de", None)], "doc_id bigint, lang string, text string")
     assert train(few).restore("Grüße")[1] is False
+
+
+def test_letters_that_are_right_elsewhere_hide_nothing(model):
+    # é as Ú, á as ß, £ as ú and € as Ç: all of them letters of some clean text, or cases of one
+    wide = Model(model.dictionaries, model.alphabet + "ÚßúÇïÓ", model.words)
+    for bad, good in [("Re: RÚunion le 9", "Re: Réunion le 9"), ("It is estß here", "It is está here"), ("a fee of ú7002 is due", "a fee of £7002 is due"), ("Refund of Ç4683.88", "Refund of €4683.88")]:
+        assert not wide.unusual.search(bad), bad
+        assert wide.restore(bad)[:2] == (good, True)
+    # what one line proves holds for the short words of the others
+    assert wide.restore("Re: RÚunion le 9\nBien Ó vous")[0] == "Re: Réunion le 9\nBien à vous"
+    for right in ("Bien Ó vous", "Straße und Maß", "Çelik 20", "ïstanbul"):
+        assert wide.restore(right)[:2] == (right, False)
