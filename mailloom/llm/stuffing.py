@@ -1,11 +1,14 @@
 """Keyword-stuffed pages, link lists and tag lists (problem 9).
 
-Method: for every term the gaps between its recurrences and, per lag, the autocorrelation
-of the word sequence within a lag window; unnaturally dense and regular recurrence marks
+Method: for every term the gaps between its recurrences and, for lags up to the length of the
+document, the autocorrelation of the word sequence; unnaturally dense or regular recurrence marks
 stuffed words, and so do lists of many different words without function words, links and
 tags. A document is a case if real sentences hold less than a quarter of its words and
 stuffed words most of the rest.
 
+Lags up to LAG are counted one by one. For longer ones, Fourier transforms of random signs of the
+words estimate all lags of a document at once, and the highest are counted exactly.
+
 The operator is a narrow map: words are split in Python once per batch, everything else is
 numpy over the whole batch. Nothing is shuffled.
 """
@@ -40,8 +43,12 @@ o os a as um uma com na em do da dos das é são às foi que não fará até est
 REACH = 6
 #: Function words within that window that make a sentence.
 SENTENCE_WORDS = 2
-#: Longest lag between recurrences that counts as stuffing, and for the autocorrelation.
+#: Longest gap between recurrences that counts as stuffing in any document, and longest lag that is always counted.
 LAG = 24
+#: Autocorrelation, and places per different word outside sentences, from which recurrence at any gap counts.
+REGULAR, REPEATS = 0.2, 3.0
+#: Random signs of a word in the estimate of the autocorrelation, and lags counted after it.
+SIGNS, TOP_LAGS = 4, 4
 #: Share of words in sentences below which a document can be a case.
 SENTENCES = 0.25
 #: Share of stuffed words from which it is one.
@@ -73,10 +80,33 @@ def _token_traits(tokens: np.ndarray) -> tuple[np.ndarray, ...]:
         np.array([t[-1:] in ".!?…" and len(b) > 1 for t, b in zip(tokens, bare)], bool),
         np.array([not b for b in bare], bool),
         np.array([bool(_MARK.search(t)) for t in tokens], bool),
+        pd.util.hash_array(np.array(bare, dtype=object), categorize=False),
     ]
     return form, *traits
 
 
+def _top_lags(hashed: np.ndarray, named: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """(TOP_LAGS, documents): the lags beyond LAG at which most words of a document seem to recur; 0 for none.
+    Documents of like length are transformed together, padded so that no lag wraps around."""
+    out = np.zeros((TOP_LAGS, len(total)), np.int64)
+    begin = np.cumsum(total) - total
+    size = np.where(total > LAG + TOP_LAGS, np.ceil(np.log2(np.maximum(total, 1))).astype(np.int64) + 1, 0)
+    for k in np.unique(size[size > 0]):
+        own = np.flatnonzero(size == k)
+        row, place = np.repeat(np.arange(len(own)), total[own]), np.arange(total[own].sum()) - np.repeat(np.cumsum(total[own]) - total[own], total[own])
+        at = begin[own][row] + place
+        power = np.zeros((len(own), (1 << k) // 2 + 1), np.float32)
+        for sign in range(SIGNS):
+            x = np.zeros((len(own), 1 << k), np.float32)
+            x[row, place] = ((hashed[at] >> np.uint64(sign + 7) & np.uint64(1)).astype(np.float32) * 2 - 1) * named[at]
+            power += np.abs(np.fft.rfft(x)) ** 2
+        estimate = np.fft.irfft(power)[:, : 1 << k - 1]
+        lags, n = np.arange(1 << k - 1), total[own][:, None]
+        estimate = np.where((lags > LAG) & (lags < n), estimate / np.maximum(n - lags, n / 2), -1.0)
+        out[:, own] = np.argpartition(estimate, -TOP_LAGS, axis=1)[:, -TOP_LAGS:].T
+    return out
+
+
 def features(texts: list[str | None]) -> pd.DataFrame:
     """One row per text, in order; shares are of the words (split at white space), 0 for no words."""
     flat: list[str] = []
@@ -88,7 +118,7 @@ def features(texts: list[str | None]) -> pd.DataFrame:
     if not flat:
         return pd.DataFrame({c.split()[0]: np.zeros(len(texts), "int32" if "int" in c else float) for c in COLUMNS.split(", ")})
     codes, uniques = pd.factorize(np.array(flat, dtype=object))
-    form, newline, function, link, tag, record, ends, mark_only, separator = (x[codes] for x in _token_traits(uniques))
+    form, newline, function, link, tag, record, ends, mark_only, separator, hashed = (x[codes] for x in _token_traits(uniques))
     doc = np.repeat(np.arange(len(texts)), n)
 
     # lines that begin like a record (log, order list, agenda) hold neither sentences nor stuffing
@@ -138,15 +168,27 @@ def features(texts: list[str | None]) -> pd.DataFrame:
     step = np.where(same, pos[order][1:] - pos[order][:-1], 1 << 30)
     gap[order[1:]] = step
     gap[order[:-1]] = np.minimum(gap[order[:-1]], step)
-    recurs = named & (gap <= LAG) & ~fw.astype(bool)
-    # regularity: the highest autocorrelation over the lags of the window
+    # regularity: the highest autocorrelation over all lags
     regular = np.zeros(len(texts))
     for lag in range(1, LAG + 1):
         hit = np.zeros(len(keep), bool)
         hit[lag:] = (f[lag:] == f[:-lag]) & (d[lag:] == d[:-lag]) & named[lag:]
         regular = np.maximum(regular, np.bincount(d[hit], minlength=len(texts)) / np.maximum(total - lag, 1))
-    # listings: words between list marks without function words around
-    marks = np.concatenate(([0], np.cumsum(separator[keep].astype(np.int64))))
+    for lag in _top_lags(hashed[keep], named, total):
+        to = np.minimum(i + lag[d], len(keep) - 1)
+        hit = named & (lag[d] > 0) & (d[to] == d) & (pos + lag[d] == pos[to]) & (f[to] == f)
+        regular = np.maximum(regular, np.bincount(d[hit], minlength=len(texts)) / np.maximum(np.maximum(total - lag, total / 2), 1))
+    # places per different word, outside sentences and records
+    loose = np.flatnonzero(named & ~sentence & ~in_record[keep] & ~fw.astype(bool))
+    most = int(f.max()) + 1 if len(f) else 1
+    forms = np.unique(d[loose] * most + f[loose]) // most
+    repeats = np.bincount(d[loose], minlength=len(texts)) / np.maximum(np.bincount(forms, minlength=len(texts)), 1)
+    anywhere = (regular >= REGULAR) | (repeats >= REPEATS)
+    recurs = named & ((gap <= LAG) | (gap < 1 << 30) & anywhere[d]) & ~fw.astype(bool)
+    # listings: words between list marks, line breaks included, without function words around
+    breaks = np.zeros(len(keep), bool)
+    breaks[:-1] = (np.diff(keep) > 1) & (d[1:] == d[:-1])
+    marks = np.concatenate(([0], np.cumsum((separator[keep] | breaks).astype(np.int64))))
     listing = (marks[hi] - marks[lo] >= 2) & (near == 0)
     stuffed = ((recurs & ~sentence) | tags | links | (listing & ~sentence) | mark_only[keep] & ~sentence) & ~in_record[keep]
     # a keyword between recurring ones is stuffed too, where no function word stands near

@@ -1,6 +1,8 @@
 import random
 
-from mailloom.llm.stuffing import features, score_pages, stuffed_pages
+import pytest
+
+from mailloom.llm.stuffing import SENTENCES, STUFFED, features, score_pages, stuffed_pages
 
 DOC = "doc_id bigint, text string, stuffed string, words string"
 PROSE = "We talked to the people of the town and they think that the house by the river is not for sale. If you want to know more about it, please write to us before the end of the week."
@@ -50,3 +52,35 @@ def test_recurrence_and_regularity_by_hand():
 
 def test_very_long_text():
     assert features(["loan phone " * 100_000]).stuffed_share[0] > 0.99
+
+
+NOUNS = [a + b for a in ("lamp", "chair", "table", "shelf", "carpet", "mirror", "drawer", "pillow") for b in ("wood", "steel", "glass", "stone", "linen")]
+
+
+def case(text):
+    x = features([text]).iloc[0]
+    return x.sentence_share < SENTENCES and x.stuffed_share >= STUFFED
+
+
+@pytest.mark.parametrize("gap", [" ", "\n"])
+@pytest.mark.parametrize("shuffled", [False, True])
+@pytest.mark.parametrize("times", [3, 40])
+def test_long_blocks_that_recur(gap, shuffled, times):
+    rng = random.Random(5)
+    text = gap.join(" ".join(rng.sample(NOUNS, len(NOUNS)) if shuffled else NOUNS) for _ in range(times))
+    assert case(text)
+    assert shuffled or features([text]).regularity[0] > 0.9
+
+
+def test_longest_lag_among_other_documents():
+    long = [f"w{k}" for k in range(700)]
+    texts = ["The house is at the end of the road and you can see it from here.", None, " ".join(long * 2), "", " ".join(NOUNS * 2), " ".join(long)]
+    x = features(texts)
+    assert list(x.regularity > 0.9) == [False, False, True, False, True, False]
+    assert list(x.stuffed_share >= STUFFED) == [False, False, True, False, True, False]
+
+
+def test_one_keyword_a_line():
+    assert case("\n".join(NOUNS)) and case("\n".join(f"cheap {n}" for n in NOUNS))
+    letter = "Dear Ann,\n\nthe report is with you and we will see how it goes from there, so please wait until they call.\n\nKind regards\nBob\nSales desk\nRoom 4\n"
+    assert not case(letter) and not case("\n".join(f"{k}. Ask the desk for a new token and wait until it is there" for k in range(9)))
