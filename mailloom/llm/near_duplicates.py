@@ -1,18 +1,18 @@
 """Near-duplicate messages (problem 3).
 
-Method: generalised pigeonhole. A text is a bit vector over all runs of consecutive words. Bits
-that change together, those of neighbouring runs, are grouped: the text is cut at words whose
-hash is a local minimum, so that equal passages are cut alike wherever they stand, and two
-neighbouring chunks form a partition. If two texts differ in at most TAU chunks, then for any
-thresholds t_i with sum(t_i + 1) = TAU + 1 there is a partition i in which they differ in at most
-t_i chunks (t_i = -1 skips a partition, 0 probes the rarer chunk of it, 1 probes both). For every
-text the thresholds are allocated by dynamic programming on the estimated number of candidates of
-each choice. Probes are joined with the index of all chunks; candidates are verified by the Hamming
-distance of bit sketches first and then exactly, on the full sets of runs.
-
-The estimates are counts of chunks in a table of CELLS counters, summed over all texts on the
+Method: generalised pigeonhole. A text is a bit vector over all runs of consecutive words. Two texts
+of at least the similarity s share at least ceil(s n) of the n runs of either, so at most
+TAU = n - ceil(s n) runs of a text are missing in the other. With every run a partition, and for any
+thresholds t_i with sum(t_i + 1) = TAU + 1 (t_i = -1 skips a run, 0 probes it), a probed run is shared.
+For every text the thresholds are allocated by the estimated number of candidates of each run. As
+all texts order runs alike, by estimate and hash, the rarest run that two similar texts share is
+probed by both of them, so probes are joined with probes. Candidates are verified by their numbers of
+runs and the Hamming distance of bit sketches, two bounds that no similar pair fails, and then
+exactly, on the full sets of runs. No pair is lost at any similarity or length.
+
+The estimates are counts of runs in a table of CELLS counters, summed over all texts on the
 executors; only this table of fixed size reaches the driver and is broadcast. Equal texts form a
-class first and are represented by one member, so copies meet neither index nor probes.
+class first and are represented by one member, so copies meet no probes.
 """
 
 from __future__ import annotations
@@ -32,17 +32,10 @@ from mailloom.plans.storage import cut, spread
 SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 0
 #: A chunk begins at a word whose hash is the smallest of so many words to each side; 4.7 words on average.
 REACH = 2
-#: TAU as a share of a text's chunks is SPREAD * (1 - similarity): an edited word changes one or two chunks.
-SPREAD = 1.4
-#: Minhash symbols of a sketch, one byte each, in longs of 7; and how many of them must agree (of a pair of
-#: similarity 0.6, 21 of 35 agree on average; fewer than 10 in 1 of 20,000 such pairs).
-LONGS, PER_LONG = 5, 7
-SYMBOLS = LONGS * PER_LONG
-AGREE = 10
+#: Longs of a bit sketch.
+LONGS = 8
 CELL_BITS = 21
 CELLS = 1 << CELL_BITS
-_ODD = np.random.default_rng(7).integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = np.random.default_rng(8).integers(0, 2**63, SYMBOLS, dtype=np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -100,50 +93,43 @@ def chunk_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[keep], np.bincount(doc[at][keep], minlength=len(n))
 
 
-def sketches(hashes: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    """(texts, LONGS) int64: PER_LONG minhash symbols of one byte in each; zeros for texts without runs."""
-    out = np.zeros((len(runs), LONGS), dtype=np.uint64)
-    has = np.flatnonzero(runs)
-    if len(has):
-        starts = np.concatenate(([0], np.cumsum(runs)[:-1]))[has]
-        for j in range(SYMBOLS):
-            low = np.minimum.reduceat((hashes ^ _ADD[j]) * _ODD[j], starts)
-            out[has, j // PER_LONG] |= (_mixed(low) >> np.uint64(56)) << np.uint64(8 * (j % PER_LONG))
-    return out.view(np.int64)
-
+def distinct_runs(h: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct runs of all texts, in ascending order within each, and the number of runs of each."""
+    hashes, runs = word_runs(h, n, k)
+    doc = np.repeat(np.arange(len(runs)), runs)
+    order = np.lexsort((hashes, doc))
+    d, x = doc[order], hashes[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1])
+    return x[new], np.bincount(d[new], minlength=len(runs))
 
-def agreeing(a: list[Column], b: list[Column]) -> Column:
-    """How many symbols of two sketches are equal: the zero bytes of a xor b, without a loop."""
-    low = (1 << 8 * PER_LONG) - 1
-    seven = F.lit(sum(0x7F << 8 * i for i in range(PER_LONG)))
 
-    def zero_bytes(x: Column) -> Column:
-        filled = (x.bitwiseAND(seven) + seven).bitwiseOR(x).bitwiseOR(seven)
-        return F.bit_count(F.bitwise_not(filled).bitwiseAND(F.lit(low)))
-
-    total = F.lit(0)
-    for x, y in zip(a, b):
-        total = total + zero_bytes(x.bitwiseXOR(y))
-    return total
+def sketches(hashes: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """(texts, LONGS) int64 of distinct runs: every run flips one bit, so two sketches differ in no more bits
+    than the texts in runs."""
+    bit = (_mixed(hashes ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(40)).astype(np.int64) % (64 * LONGS)
+    out = np.zeros(len(runs) * LONGS, dtype=np.uint64)
+    np.bitwise_xor.at(out, np.repeat(np.arange(len(runs)), runs) * LONGS + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+    return out.reshape(len(runs), LONGS).view(np.int64)
 
 
 def cells(keys: np.ndarray) -> np.ndarray:
     return (_mixed(keys) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def allocate(cost: np.ndarray, chunks: np.ndarray, share: float) -> np.ndarray:
-    """Which chunks each text probes. cost: estimated other texts per chunk, of all texts one after the other.
+def allocate(cost: np.ndarray, runs: np.ndarray, share: float) -> np.ndarray:
+    """Which runs each text probes. cost: estimated other texts per run, of all texts one after the other.
 
-    A partition of the chunks x, y costs 0 at t = -1, min(x, y) at t = 0 and x + y at t = 1. The dynamic
-    programme over the partitions is a min-plus convolution of these convex functions, which is solved
-    exactly by taking the marginal costs, min and max of each partition, in ascending order until
-    TAU + 1 units are allocated; ties go to the earlier chunk. All texts are solved at once."""
-    doc = np.repeat(np.arange(len(chunks)), chunks)
-    need = np.minimum(np.floor(share * chunks).astype(np.int64) + 1, chunks)
+    A run costs 0 at t = -1 and its estimate at t = 0. The dynamic programme over the partitions is a
+    min-plus convolution of such convex functions, which is solved exactly by taking the marginal costs
+    in ascending order until TAU + 1 units are allocated, TAU = floor(share * runs); ties go to the
+    earlier run. All texts are solved at once."""
+    doc = np.repeat(np.arange(len(runs)), runs)
+    need = np.minimum(np.floor(share * runs).astype(np.int64) + 1, runs)
     order = np.lexsort((np.arange(len(cost)), cost, doc))
     rank = np.empty(len(cost), np.int64)
-    rank[order] = np.arange(len(cost)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-    return rank < np.repeat(need, chunks)
+    rank[order] = np.arange(len(cost)) - np.repeat(np.cumsum(runs) - runs, runs)
+    return rank < np.repeat(need, runs)
 
 
 def _text(subject: Column, body: Column) -> Column:
@@ -157,70 +143,59 @@ def _class_key(text: Column) -> list[Column]:
 
 
 _SKETCH = [f"s{i}" for i in range(LONGS)]
+#: Against rounding, where a bound is a whole number.
+_SLACK = 1e-9
 
 
-def _sketched(texts: DataFrame, k: int, least: int) -> DataFrame:
-    """(id, k1, k2, chunks, s0...) of the texts with words, and at least `least` of them."""
+def _sketched(texts: DataFrame, k: int, least: int, counts, share: float) -> DataFrame:
+    """(id, k1, k2, n, probes, s0...) of the texts with words, and at least `least` of them: n distinct runs, and those
+    that the text probes. Runs alone in their cell are left out: nothing can meet them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
         for batch in slices(batches, 3):
-            h, n = hashed_words(batch.column(3).to_pylist())
-            keys, chunks = chunk_keys(h, n)
-            sketch = sketches(*word_runs(h, n, k))
-            offsets = np.concatenate(([0], np.cumsum(chunks))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
-            keep = pa.array((n >= max(least, 1)))
-            columns = [*batch.columns[:3], lists, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(LONGS))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "k1", "k2", "chunks", *_SKETCH]).filter(keep)
+            h, words = hashed_words(batch.column(3).to_pylist())
+            hashes, n = distinct_runs(h, words, k)
+            others = table[cells(hashes)]
+            use = allocate(others, n, share) & (others > 1)
+            sketch = sketches(hashes, n)
+            doc = np.repeat(np.arange(len(n)), n)
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(doc[use], minlength=len(n))))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[use].view(np.int64)))
+            keep = pa.array((words >= max(least, 1)))
+            columns = [*batch.columns[:3], pa.array(n.astype(np.int32)), lists, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(LONGS))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "k1", "k2", "n", "probes", *_SKETCH]).filter(keep)
 
     kinds = ", ".join(f"{c} bigint" for c in _SKETCH)
-    return spread(texts.select("id", *_class_key(F.col("text")), "text")).mapInArrow(run, f"id bigint, k1 bigint, k2 bigint, chunks array<bigint>, {kinds}")
-
-
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    n = np.diff(column.offsets.to_numpy()).astype(np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), n
+    return spread(texts.select("id", *_class_key(F.col("text")), "text")).mapInArrow(run, f"id bigint, k1 bigint, k2 bigint, n int, probes array<bigint>, {kinds}")
 
 
-def _counts(reps: DataFrame) -> np.ndarray:
-    """Chunks per cell, over all representatives. The table has CELLS entries whatever the input."""
+def _counts(texts: DataFrame, k: int, least: int) -> np.ndarray:
+    """Runs per cell, over all texts that count. The table has CELLS entries whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(CELLS, dtype=np.int64)
-        for batch in batches:
-            table += np.bincount(cells(_lists(batch.column(0))[0]), minlength=CELLS)
+        for batch in slices(batches, 0):
+            h, words = hashed_words(batch.column(0).to_pylist())
+            hashes, n = distinct_runs(h, words, k)
+            table += np.bincount(cells(hashes[np.repeat(words >= least, n)]), minlength=CELLS)
         used = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(table[used])], names=["cell", "n"])
 
-    got = reps.select("chunks").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    got = spread(texts.select("text")).mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
     table = np.zeros(CELLS, dtype=np.int32)
     table[got.column("cell").to_numpy()] = np.minimum(got.column("n").to_numpy(), 2**31 - 1)
     return table
 
 
-def _postings(reps: DataFrame, counts, share: float, probe: bool) -> DataFrame:
-    """(key, id) of all chunks, or of those that each text probes. Chunks alone in their cell are left out: nothing can meet them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            keys, n = _lists(batch.column(1))
-            others = table[cells(keys)]
-            use = others > 1
-            if probe:
-                use &= allocate(others, n, share)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[use].view(np.int64)), pa.array(np.repeat(ids, n)[use])], names=["key", "id"])
-
-    return reps.select("id", "chunks").mapInArrow(run, "key bigint, id bigint")
-
-
-def _near(reps: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The candidates (a, b) whose sketches agree in enough symbols."""
-    side = lambda x: reps.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in _SKETCH))
+def _near(reps: DataFrame, candidates: DataFrame, similarity: float) -> DataFrame:
+    """The candidates (a, b) whose numbers of runs and sketches allow the similarity."""
+    side = lambda x: reps.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", *_SKETCH)))
     both = candidates.join(side("a"), "a").join(side("b"), "b")
-    n = agreeing([F.col(f"a_{c}") for c in _SKETCH], [F.col(f"b_{c}") for c in _SKETCH])
-    return both.where(n >= AGREE).select("a", "b")
+    differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _SKETCH), F.lit(0))
+    longer, shorter = F.greatest("a_n", "b_n"), F.least("a_n", "b_n")
+    most = (1 - similarity) / (1 + similarity) * (longer + shorter) + _SLACK
+    return both.where((shorter + _SLACK >= similarity * longer) & (differ <= most)).select("a", "b")
 
 
 def _verified(texts: DataFrame, candidates: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -245,15 +220,15 @@ def classes_and_links(texts: DataFrame, k: int = SHINGLE, similarity: float = SI
     """(id, rep) of every text with at least `least` words, and (a, b, similarity) for all similar pairs
     of representatives, a < b. Texts with the same words in the same order share a representative,
     the smallest id. texts: (id, text), ids unique; NULL and empty texts belong to no class."""
-    spark, share = texts.sparkSession, min(SPREAD * (1 - similarity), 1.0)
-    payload = F.struct("id", "chunks", *_SKETCH)
-    reps = cut(_sketched(texts, k, least).groupBy("k1", "k2").agg(F.min_by(payload, "id").alias("r")).select("k1", "k2", "r.*"))
+    spark, share = texts.sparkSession, 1 - similarity + _SLACK
+    payload = F.struct("id", "n", "probes", *_SKETCH)
+    counts = spark.sparkContext.broadcast(_counts(texts, k, least))
+    reps = cut(_sketched(texts, k, least, counts, share).groupBy("k1", "k2").agg(F.min_by(payload, "id").alias("r")).select("k1", "k2", "r.*"))
     members = texts.select("id", *_class_key(F.col("text"))).join(reps.select("k1", "k2", F.col("id").alias("rep")), ["k1", "k2"]).select("id", "rep")
-    counts = spark.sparkContext.broadcast(_counts(reps))
-    index, probes = _postings(reps, counts, share, False), _postings(reps, counts, share, True)
-    met = probes.join(index.withColumnRenamed("id", "other"), "key").where(F.col("id") != F.col("other"))
-    candidates = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    return members, _verified(texts, cut(_near(reps, candidates)), k, similarity)
+    probes = reps.select(F.explode("probes").alias("key"), "id")
+    met = probes.join(probes.withColumnRenamed("id", "other"), "key").where(F.col("id") < F.col("other"))
+    candidates = met.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    return members, _verified(texts, cut(_near(reps, candidates, similarity)), k, similarity)
 
 
 def texts_of(emails: DataFrame) -> DataFrame:

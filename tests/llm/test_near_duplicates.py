@@ -91,3 +91,38 @@ def test_chunks_are_cut_alike_wherever_they_stand():
     h, n = nd.hashed_words(["a b c d e f g h i j k l", "z y a b c d e f g h i j k l", None, ""])
     keys, count = nd.chunk_keys(h, n)
     assert count[2] == count[3] == 0 and len(set(keys[: count[0]]) & set(keys[count[0] :])) >= count[0] - 2
+
+
+@pytest.mark.parametrize("length", [40, 60])
+def test_short_texts_near_the_bound_are_whole(spark, length):
+    """Scattered edits of single words, so that most chunks of either text occur in it alone."""
+    r = random.Random(length)
+    rows = []
+    for g in range(400):
+        base = [f"g{g}x{i}" for i in range(length)]
+        edited = list(base)
+        for p in r.sample(range(length), length // 13 + g % 2):
+            edited[p] = f"g{g}y{p}"
+        rows += [(2 * g, base[0], " ".join(base[1:])), (2 * g + 1, edited[0], " ".join(edited[1:]))]
+    s = sets(rows, 3, 40)
+    want = {(2 * g, 2 * g + 1) for g in range(400) if len(s[2 * g] & s[2 * g + 1]) >= 0.6 * len(s[2 * g] | s[2 * g + 1])}
+    df = spark.createDataFrame([(*x, "c", "c", 1) for x in rows], EMAIL)
+    assert {tuple(x) for x in nd.similar_pairs(df, 3, 0.6, 40).collect()} == want and len(want) > 50
+
+
+def test_bounds_hold():
+    """Every pair of at least the similarity shares a probed run and passes the sketch bound."""
+    r = np.random.default_rng(6)
+    for similarity in (0.6, 0.7, 0.8):
+        share = 1 - similarity + 1e-9
+        for _ in range(300):
+            common, a, b = r.integers(1, 60), r.integers(0, 20), r.integers(0, 20)
+            x = r.integers(0, 2**63, common + a + b, dtype=np.uint64)
+            pair = [np.sort(x[: common + a]), np.sort(np.concatenate((x[:common], x[common + a :])))]
+            if common + 1e-9 < similarity * (common + a + b):
+                continue
+            table = r.integers(0, 5, nd.CELLS)
+            probed = [set(p[nd.allocate(table[nd.cells(p)], np.array([len(p)]), share)].tolist()) for p in pair]
+            assert probed[0] & probed[1]
+            u, v = nd.sketches(np.concatenate(pair), np.array([len(p) for p in pair]))
+            assert sum(int(z).bit_count() for z in (u ^ v).view(np.uint64)) <= a + b
