@@ -58,6 +58,9 @@ COLUMNS = "words int, sentence_share double, stuffed_share double, link_share do
 _LINK = re.compile(r"https?://|www\.|href=|\]\(|</?a\b")
 _TAG = re.compile(r"#[^\W\d_]\w*$")
 _RECORD = re.compile(r"\W*(?:<\w+>)?(?:\d{1,2}[:.]\d{2}|\d{1,3}$|\d{1,3}(?:x|[.)])$)")
+_TIMED = re.compile(r"\W*(?:<\w+>)?\d{1,2}[:.]\d{2}")
+#: Share of the words of a document's counted lines that recur in others of them, from which these are no records.
+LISTED = 0.75
 #: Words up to which a line that begins with a time or a count is a record.
 RECORD_WORDS = 20
 _MARK = re.compile(r"[/|»;,>·•]$|^[/|»·•]")
@@ -77,6 +80,7 @@ def _token_traits(tokens: np.ndarray) -> tuple[np.ndarray, ...]:
         np.array([bool(_LINK.search(t)) for t in tokens], bool),
         np.array([bool(_TAG.match(t)) for t in tokens], bool),
         np.array([bool(_RECORD.match(t)) for t in tokens], bool),
+        np.array([bool(_TIMED.match(t)) for t in tokens], bool),
         np.array([t[-1:] in ".!?…" and len(b) > 1 for t, b in zip(tokens, bare)], bool),
         np.array([not b for b in bare], bool),
         np.array([bool(_MARK.search(t)) for t in tokens], bool),
@@ -118,7 +122,7 @@ def features(texts: list[str | None]) -> pd.DataFrame:
     if not flat:
         return pd.DataFrame({c.split()[0]: np.zeros(len(texts), "int32" if "int" in c else float) for c in COLUMNS.split(", ")})
     codes, uniques = pd.factorize(np.array(flat, dtype=object))
-    form, newline, function, link, tag, record, ends, mark_only, separator, hashed = (x[codes] for x in _token_traits(uniques))
+    form, newline, function, link, tag, record, timed, ends, mark_only, separator, hashed = (x[codes] for x in _token_traits(uniques))
     doc = np.repeat(np.arange(len(texts)), n)
 
     # lines that begin like a record (log, order list, agenda) hold neither sentences nor stuffing
@@ -132,6 +136,15 @@ def features(texts: list[str | None]) -> pd.DataFrame:
     is_record[line_id[starts & record]] = True
     is_record &= np.bincount(line_id[word], minlength=len(is_record)) <= RECORD_WORDS
     in_record = is_record[line_id] & word & ~link
+    # but where most words behind the counts recur line for line, they are keywords; times lead logs and agendas
+    is_timed = np.zeros(len(is_record), bool)
+    is_timed[line_id[starts & timed]] = True
+    counted = in_record & ~is_timed[line_id] & ~starts
+    told = np.flatnonzero(counted & (form >= 0) & ~function)
+    at = pd.DataFrame({"d": doc[told], "f": form[told], "line": line_id[told]})
+    across = at.groupby(["d", "f"]).line.transform("nunique").to_numpy() > 1
+    share_across = np.bincount(at.d[across], minlength=len(texts)) / np.maximum(np.bincount(doc[counted], minlength=len(texts)), 1)
+    in_record &= ~((share_across >= LISTED)[doc] & ~is_timed[line_id])
 
     # the word sequence without line breaks
     keep = np.flatnonzero(word)

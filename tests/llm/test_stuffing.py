@@ -84,3 +84,12 @@ def test_one_keyword_a_line():
     assert case("\n".join(NOUNS)) and case("\n".join(f"cheap {n}" for n in NOUNS))
     letter = "Dear Ann,\n\nthe report is with you and we will see how it goes from there, so please wait until they call.\n\nKind regards\nBob\nSales desk\nRoom 4\n"
     assert not case(letter) and not case("\n".join(f"{k}. Ask the desk for a new token and wait until it is there" for k in range(9)))
+
+
+def test_counted_lines_of_recurring_keywords():
+    words = ["cheap", "loan", "best", "deal", "phone", "insurance"]
+    for count in ("{}.", "{})", "{}x"):
+        assert case("\n".join(f"{count.format(k)} {' '.join(words[(k + j) % 6] for j in range(4))}" for k in range(1, 13)))
+    assert not case("\n".join(f"{k}x {NOUNS[k]} {NOUNS[-k]} €{k}99" for k in range(1, 13)))
+    assert not case("\n".join(f"{k}. Ask the desk of Room {k} for a new token and wait" for k in range(1, 13)))
+    assert not case("\n".join(f"{8 + k}:00 server status good" for k in range(12)))
