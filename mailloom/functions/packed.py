@@ -5,9 +5,9 @@ are split at delimiters, and SQL array functions put the pieces together again w
 ordinals. All of it is built-in expressions over one row, without a shuffle, and every
 step is linear in the length of the value.
 
-Characters from the private-use area stand for what must survive the splitting; where
-a value holds one of them itself, it is read as a space:
-U+E000 item break, U+E001 an escaped quote, U+E002/U+E003 the ends of a literal.
+Characters from the private-use area stand for what must survive the splitting: U+E000 item
+break, U+E001 an escaped quote, U+E002/U+E003 the ends of a literal. Where a value holds one of
+them or U+E004 itself, it is escaped by U+E004 and a letter first and put back in the items.
 """
 
 from __future__ import annotations
@@ -15,18 +15,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BREAK, QUOTE, OPEN, CLOSE = "\ue000", "\ue001", "\ue002", "\ue003"
+BREAK, QUOTE, OPEN, CLOSE, ESCAPE = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 DELIMITERS = r"[;,|\n\r\t]"
-#: An extension, as the end of a file name: a dot and up to five letters or digits, one of them a letter.
-EXTENSION = r"\.(?=[0-9]{0,4}[A-Za-z])[A-Za-z0-9]{1,5}"
+#: An extension, as the end of a file name: a dot and letters or digits, one of them a letter.
+EXTENSION = r"\.(?=[0-9]*+[A-Za-z])[A-Za-z0-9]++"
 ADDRESS = rf"([^\s<>()\[\],;|:\"{BREAK}{QUOTE}{OPEN}{CLOSE}]+@[^\s<>()\[\],;|:\"@{BREAK}{QUOTE}{OPEN}{CLOSE}]+)"
 #: Header defaults that stand for "none".
 ABSENT = ("No Recipients", "No Sender")
 
 
+def _escaped(value: Column) -> Column:
+    for i, c in enumerate(ESCAPE + BREAK + QUOTE + OPEN + CLOSE):
+        value = F.replace(value, F.lit(c), F.lit(ESCAPE + chr(97 + i)))
+    return value
+
+
+def _unescaped(item: Column) -> Column:
+    out = item
+    for i, c in reversed(list(enumerate(ESCAPE + BREAK + QUOTE + OPEN + CLOSE))):
+        out = F.replace(out, F.lit(ESCAPE + chr(97 + i)), F.lit(c))
+    return F.when(F.contains(item, F.lit(ESCAPE)), out).otherwise(item)
+
+
 def _pieces(value: Column) -> Column:
     """The value split at its quote characters, single quotes around whole items included."""
-    v = F.translate(value, BREAK + QUOTE + OPEN + CLOSE, "    ")
+    v = F.when(value.rlike(f"[{BREAK}-{ESCAPE}]"), _escaped(value)).otherwise(value)
     v = F.regexp_replace(v, r'\\"', QUOTE)
     # a doubled quote is an escaped one inside a literal, but stands for itself between delimiters
     v = F.regexp_replace(v, rf'(?<![;,|\n\r\t\[ ])""(?!\s*(?:{DELIMITERS}|$))|(?<=[\p{{L}}\p{{N}} ])""(?=\.)|(?<= )""(?=[\p{{L}}\p{{N}}])', QUOTE)
@@ -55,7 +68,8 @@ def addresses(value: Column) -> Column:
     places) are dropped; repeated addresses stay. NULL gives NULL, '' an empty array.
     """
     def outside(p: Column) -> Column:
-        return F.regexp_replace(p, DELIMITERS, BREAK)
+        # a slash parts addresses behind a host, where none can belong to it
+        return F.regexp_replace(F.regexp_replace(p, r"(@[^\s<>()\[\],;:|/@]+>?)\s*/", f"$1{BREAK}"), DELIMITERS, BREAK)
 
     whole = _join(_pieces(value), outside)
     whole = F.regexp_replace(whole, r"\([^()]*\)", " ")
@@ -65,7 +79,8 @@ def addresses(value: Column) -> Column:
         # an address within a literal counts only where the item has none outside (lists of quoted addresses)
         return F.when(F.size(plain) > 0, plain).otherwise(F.slice(F.regexp_extract_all(x, F.lit(ADDRESS), 1), 1, 1))
 
-    return F.flatten(F.transform(F.split(whole, BREAK, -1), lambda x: F.coalesce(found(x), F.array().cast("array<string>"))))
+    items = F.flatten(F.transform(F.split(whole, BREAK, -1), lambda x: F.coalesce(found(x), F.array().cast("array<string>"))))
+    return F.transform(items, _unescaped)
 
 
 def files(value: Column) -> Column:
@@ -75,13 +90,13 @@ def files(value: Column) -> Column:
     contain delimiters. Empty places are dropped, repeated names stay. NULL gives NULL.
     """
     def outside(p: Column) -> Column:
-        p = F.regexp_replace(p, rf"(?i)({EXTENSION})\s*(?:{DELIMITERS}\s*)+", f"$1{BREAK}")
+        p = F.regexp_replace(p, rf"(?i)({EXTENSION})\s*(?:(?:{DELIMITERS}|/)\s*)+", f"$1{BREAK}")
         return F.regexp_replace(p, rf"^\s*(?:{DELIMITERS}\s*)+|^\s*\[|\]\s*$", BREAK)
 
     whole = _join(_pieces(value), outside)
     # a literal is a whole item of its own unless it carries no extension
     whole = F.regexp_replace(whole, rf"(?i)({EXTENSION}){CLOSE}", f"$1{CLOSE}{BREAK}")
-    return _strip(F.split(whole, BREAK, -1), lambda x: F.translate(F.trim(F.translate(x, OPEN + CLOSE, "")), QUOTE, '"'))
+    return _strip(F.split(whole, BREAK, -1), lambda x: _unescaped(F.translate(F.trim(F.translate(x, OPEN + CLOSE, "")), QUOTE, '"')))
 
 
 def unpack(emails: DataFrame, at_least: int = 1) -> DataFrame:

@@ -8,11 +8,17 @@ built-in Catalyst expressions, so the operator is a narrow map without a shuffle
 Policy for local times (values that state no zone): the zone of the message's
 gateway applies; a repeated hour means its earlier instant; a skipped hour is read
 with the offset valid before the change. A stated numeric offset wins over a zone
-name, a bracketed region or a comment. A weekday is never checked.
+name, a bracketed region or a comment; a region alone is the zone, and local times in
+it are read by the same policy. A weekday is never checked. Dates with dots are day
+first, dates with slashes as the gateway says, dates that begin with the year year
+first. Zone names that nobody can place (single letters but Z, unknown abbreviations
+and regions) give nothing instead of a guess.
 """
 
 from __future__ import annotations
 
+import zoneinfo
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,23 +42,31 @@ ZONES = {
     "z": 0, "ut": 0, "utc": 0, "gmt": 0, "wet": 0, "west": 60, "bst": 60, "cet": 60, "cest": 120, "mez": 60, "mesz": 120,
     "eet": 120, "eest": 180, "msk": 180, "ist": 330, "jst": 540, "aest": 600, "aedt": 660, "brt": -180,
     "est": -300, "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420,
+    "akst": -540, "akdt": -480, "hst": -600, "nst": -210, "ndt": -150, "ast": -240, "adt": -180, "art": -180, "clt": -240, "cot": -300, "pet": -300,
+    "sast": 120, "cat": 120, "eat": 180, "wat": 60, "trt": 180, "gst": 240, "pkt": 300, "npt": 345, "ict": 420, "wib": 420,
+    "hkt": 480, "sgt": 480, "pht": 480, "awst": 480, "kst": 540, "acst": 570, "acdt": 630, "nzst": 720, "nzdt": 780,
 }
 
 _W = r"[\p{L}]+\.?"
-_OFF = r"[+-]\d{2}:?\d{2}"
-_ZONE = rf"(?:({_OFF}|[a-z]{{1,5}})(?:\[[^\]]*\]| [a-z_]+(?:/[a-z_]+)*)?)?"
+_OFF = r"(?:(?:gmt|utc)(?=[+-]))?[+-]\d{1,2}(?::?\d{2})?"
+_REGION = r"[a-z_]+(?:/[a-z0-9_+-]+)+"
+_ZONE = rf"(?:({_OFF}|[a-z]{{1,5}}(?![a-z_/])|\[?{_REGION}\]?)(?:\[[^\]]*\]| [a-z_]+(?:/[a-z_]+)*)?)?"
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
 #: (pattern, canonical form); the order is the order of the cascade.
 CASCADE = [
-    (rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})[t ]{_TIME} ?{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7||$8"),
+    (rf"^(\d{{4}})([-/.])(\d{{1,2}})\2(\d{{1,2}})(?:t|,? ){_TIME} ?{_ZONE}$", "$1|$3|$4|$5|$6|$7|$8||$9"),
     (rf"^(?:{_W},? ?)?(\d{{1,2}}) ({_W}) (\d{{4}}|\d{{2}}) {_TIME} ?{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7||$8"),
     (rf"^(?:{_W},? ?)?(\d{{1,2}})-({_W})-(\d{{4}}|\d{{2}}) (\d{{1,2}})[.:](\d{{2}})(?:[.:](\d{{2}}))? ?{_ZONE}$", "$3|$2|$1|$4|$5|$6|||$7"),
     (rf"^{_W},? ({_W}) (\d{{1,2}}) {_TIME} (?:([a-z]{{1,5}}|{_OFF}) )?(\d{{4}})$", "$8|$1|$2|$3|$4|$5|$6||$7"),
     (r"^(\d{4})(\d{2})(\d{2})t(\d{2})(\d{2})(\d{2})?(z|[+-]\d{4})?$", "$1|$2|$3|$4|$5|$6|||$7"),
-    (rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}),? {_TIME} ?{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7||$8"),
-    (rf"^({_W}) (\d{{1,2}}),? (\d{{4}}),? {_TIME} ?([ap]m)? ?{_ZONE}$", "$3|$1|$2|$4|$5|$6|$7|$8|$9"),
+    (rf"^(?:{_W},? ?)?(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}}|\d{{2}}),? {_TIME} ?{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7||$8"),
+    (rf"^(?:{_W},? )?({_W}) (\d{{1,2}}),? (\d{{4}}),? {_TIME} ?([ap]m)? ?{_ZONE}$", "$3|$1|$2|$4|$5|$6|$7|$8|$9"),
+    (rf"^(?:{_W},? )?(\d{{1,2}})\.? ({_W}) (\d{{4}}|\d{{2}}),? {_TIME} ?([ap]m)? ?{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7|$8|$9"),
+    # the time before the date, the zone behind either
+    (rf"^{_TIME} ?([ap]m)?(?: ({_OFF}|utc|gmt))?,? (?:{_W},? )?(\d{{1,2}})\.? ({_W}) (\d{{4}})$", "$9|$8|$7|$1|$2|$3|$4|$5|$6"),
+    (rf"^{_TIME} ?([ap]m)?,? (\d{{4}})-(\d{{2}})-(\d{{2}}) ?{_ZONE}$", "$6|$7|$8|$1|$2|$3|$4|$5|$9"),
 ]
-_SLASH = rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}),? {_TIME} ?([ap]m)? ?{_ZONE}$"
+_SLASH = rf"^(?:{_W},? )?(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}),? {_TIME} ?([ap]m)? ?{_ZONE}$"
 _EPOCH = r"^(\d{10})(?:\.(\d{1,6}))?$"
 
 
@@ -62,6 +76,14 @@ def _month(name: Column) -> Column:
     return F.coalesce(F.try_element_at(table, word), F.expr("try_cast(NULL AS INT)"))
 
 
+def _region(value: Column) -> Column:
+    """The region that a value names as its zone, in the spelling of the zone database; NULL where there is none such."""
+    name = F.regexp_extract(value, rf"(?i)({_REGION})\]?\s*(?:\(.*)?$", 1)
+    words = F.transform(F.split(F.translate(name, "_", " "), "/"), lambda x: F.initcap(x))
+    spelt = F.when(name == F.lower(name), F.translate(F.array_join(words, "/"), " ", "_")).otherwise(name)
+    return F.when(spelt.isin(*sorted(z for z in zoneinfo.available_timezones() if "/" in z)), spelt)
+
+
 def utc_micros(value: Column, tz_name: Column, day_first: Column) -> Column:
     """Microseconds since 1970-01-01 UTC, or NULL where no possible instant is stated.
 
@@ -70,9 +92,10 @@ def utc_micros(value: Column, tz_name: Column, day_first: Column) -> Column:
     six digits are cut.
     """
     s = F.lower(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")))
-    for _ in range(3):  # comments nest
-        s = F.regexp_replace(s, r" ?\([^()]*\)", "")
-    s = F.trim(s)
+    # comments nest; each round takes out the innermost ones, so as many rounds as there are brackets are enough
+    opened = F.length(s) - F.length(F.replace(s, F.lit("("), F.lit("")))
+    bare = F.aggregate(F.sequence(F.lit(1), opened), s, lambda t, _: F.when(F.contains(t, F.lit("(")), F.regexp_replace(t, r" ?\([^()]*\)", "")).otherwise(t))
+    s = F.trim(F.when(opened > 0, bare).otherwise(s))
 
     def canonical(s: Column) -> Column:
         out = None
@@ -94,13 +117,20 @@ def utc_micros(value: Column, tz_name: Column, day_first: Column) -> Column:
         second = F.when(part(5) == "", F.lit(0)).otherwise(num(part(5)))
         micro = num(F.substring(F.rpad(part(6), 6, "0"), 1, 6))
         micro = F.when(part(6) == "", F.lit(0)).otherwise(micro)
-        zone, digits = part(8), F.translate(part(8), ":", "")
+        zone = part(8)
         named = F.try_element_at(F.create_map(*[F.lit(x) for z in ZONES.items() for x in z]), zone)
-        oh, om = num(F.substring(digits, 2, 2)), num(F.substring(digits, 4, 2))
-        numeric = F.when((oh <= 18) & (om <= 59), F.when(digits.startswith("-"), -1).otherwise(1) * (oh * 60 + om))
-        offset = F.when(zone.rlike(r"^[+-]"), numeric).otherwise(named)
+        signed = F.regexp_extract(zone, r"([+-])(\d.*)$", 2)
+        # hours alone, or hours and two digits of minutes
+        digits = F.translate(F.when(F.length(signed) <= 2, F.concat(signed, F.lit("00"))).otherwise(signed), ":", "")
+        oh, om = num(F.substring(F.lpad(digits, 4, "0"), 1, 2)), num(F.substring(F.lpad(digits, 4, "0"), 3, 2))
+        numeric = F.when((oh <= 18) & (om <= 59), F.when(F.contains(zone, F.lit("-")), -1).otherwise(1) * (oh * 60 + om))
+        offset = F.when(zone.rlike(r"^(?:gmt|utc)?[+-]"), numeric).otherwise(named)
         made = lambda tz: F.unix_micros(F.try_make_timestamp(year, month, num(part(2)), hour, num(part(4)), second.cast("decimal(16,6)"), tz))
-        us = F.when(zone == "", made(F.coalesce(tz_name, F.lit("UTC")))).otherwise(made(F.lit("UTC")) - offset.cast("bigint") * 60_000_000)
+        us = (
+            F.when(zone == "", made(F.coalesce(tz_name, F.lit("UTC"))))
+            .when(F.contains(zone, F.lit("/")), made(_region(value)))
+            .otherwise(made(F.lit("UTC")) - offset.cast("bigint") * 60_000_000)
+        )
         return F.when(good & (second <= 59), us + micro)
 
     def whole(s: Column) -> Column:

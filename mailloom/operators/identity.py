@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,23 +44,16 @@ def normalise_words(text: Column) -> Column:
 def brand_mentions(text: Column, brands: Sequence[str]) -> Column:
     """The brands, sorted, that the text names as a substring or as a run of words within edit distance 1.
 
-    An expression over one row: no join, and the distance is cut off at 1. NULL text names none."""
+    An expression over one row: no join. The brands are one array literal, so the plan does not grow with them; the
+    distance is asked only of runs of about the same length and cut off at 1. NULL text names none."""
     if len(brands) > MAX_BRANDS:
         raise ValueError(f"more than {MAX_BRANDS} brands; join them instead")
     norm = F.coalesce(normalise_words(text), F.lit(""))
-    plains: list[tuple[str, str, int]] = []
-    for brand in sorted(set(brands)):
-        plain = " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in brand.lower()).split())
-        if not plain:
-            continue
-        n = plain.count(" ") + 1
-        plains.append((brand, plain, n))
-    if not plains:
+    plain = {b: " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in b.lower()).split()) for b in sorted(set(brands))}
+    lengths = sorted({p.count(" ") + 1 for p in plain.values() if p})
+    if not lengths:
         return F.array().cast("array<string>")
 
-    def close(plain: str) -> Callable[[Column], Column]:
-        return lambda w: (F.abs(F.length(w) - len(plain)) <= 1) & F.levenshtein(w, F.lit(plain), 1).between(0, 1)
-
     def runs(words: Column, n: int) -> Column:
         """The runs of n words, each run once however often it occurs."""
         if n == 1:
@@ -68,27 +61,39 @@ def brand_mentions(text: Column, brands: Sequence[str]) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
         return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
 
-    lengths = sorted({n for _, _, n in plains})
+    def close(w: Column, p: Column) -> Column:
+        return (F.abs(F.length(w) - F.length(p)) <= 1) & F.levenshtein(w, p, 1).between(0, 1)
+
+    def named(x: Column) -> Column:
+        def of_length(n: int) -> Column:
+            known = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(p).alias("p")) for b, p in plain.items() if p and p.count(" ") + 1 == n])
+            return F.filter(known, lambda k: F.contains(x["norm"], k["p"]) | F.exists(x[f"r{n}"], lambda w: close(w, k["p"])))
+
+        return F.array_sort(F.transform(F.concat(*map(of_length, lengths)), lambda k: k["b"]))
 
-    def found(x: Column) -> Column:
-        return F.array_compact(F.array(*[F.when(F.contains(x["norm"], F.lit(p)) | F.exists(x[f"r{n}"], close(p)), F.lit(b)) for b, p, n in plains]))
+    return bind(bind(norm, lambda t: F.struct(t.alias("norm"), *[runs(F.split(t, " "), n).alias(f"r{n}") for n in lengths])), named)
 
-    return bind(bind(norm, lambda t: F.struct(t.alias("norm"), *[runs(F.split(t, " "), n).alias(f"r{n}") for n in lengths])), found)
 
+def brand_lists(lines: DataFrame | None, spark) -> tuple[DataFrame, DataFrame]:
+    """Names (ord, name) and domains (ord, domain), each once, at its first place, in the order of ord.
 
-def brand_lists(lines: DataFrame | None, spark) -> DataFrame:
-    """(ord, name, domain) from lines `name | domain, domain` (# comments) and the fallback brands behind
-    them; each name and each domain counts once, its first place; a repeated one is NULL. lines: (ord, value)."""
-    fallback = spark.createDataFrame([(10**9 + i, n, d) for i, (n, d) in enumerate(BRANDS)], "ord bigint, name string, domain string")
-    rows = fallback
+    lines: (ord, value) with `name | domain, domain` or `name`; # comments and blank lines count for nothing,
+    and so do empty names and domains. The fallback brands come behind all lines."""
+    known = spark.createDataFrame([(i, n, d) for i, (n, d) in enumerate(BRANDS)], "ord bigint, name string, domain string")
+    names = known.select(F.lit(1).alias("part"), "ord", F.lit(0).alias("place"), "name")
+    hosts = known.select(F.lit(1).alias("part"), "ord", F.lit(0).alias("place"), "domain")
     if lines is not None:
         v = lines.select(F.col("ord").cast("bigint"), F.trim("value").alias("v")).where((F.col("v") != "") & ~F.col("v").startswith("#"))
         parts = F.split("v", r"\|", 2)
-        v = v.select("ord", F.lower(F.trim(F.get(parts, F.lit(0)))).alias("name"), F.explode(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ",")).alias("d"))
-        rows = v.select((F.col("ord") * 1000).alias("ord"), "name", present(F.lower(F.trim("d"))).alias("domain")).unionByName(fallback)
-    first_name = rows.groupBy("name").agg(F.min("ord").alias("ord"))
-    first_domain = rows.where("domain is not null").groupBy("domain").agg(F.min("ord").alias("ord"))
-    return first_name.join(first_domain, "ord", "full").select("ord", "name", "domain")
+        names = v.select(F.lit(0).alias("part"), "ord", F.lit(0).alias("place"), present(F.lower(F.trim(F.get(parts, F.lit(0))))).alias("name")).unionByName(names)
+        each = v.select("ord", F.posexplode(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), ",")).alias("place", "d"))
+        hosts = each.select(F.lit(0).alias("part"), "ord", "place", present(F.lower(F.trim("d"))).alias("domain")).unionByName(hosts)
+
+    def first(rows: DataFrame, what: str) -> DataFrame:
+        at = rows.where(F.col(what).isNotNull()).groupBy(what).agg(F.min(F.struct("part", "ord", "place")).alias("ord"))
+        return at.select("ord", what)
+
+    return first(names, "name"), first(hosts, "domain")
 
 
 def fuzzy_domains(hosts: DataFrame, known: Sequence[str], distance: int = 1) -> DataFrame:

@@ -99,22 +99,29 @@ def finding(host: Column, path: Column, query: Column, sender_host: Column) -> C
 
 def findings(body: Column, sender_host: Column) -> Column:
     """array<struct<url, score, reasons, applied>> of the risky links of a text in order: the first of each
-    (scheme, host, path, query) counts, and applied follows the running cap. No shuffle, no explode."""
-    parsed = F.filter(F.transform(extract(body), lambda u: F.struct(u.alias("url"), decompose(u).alias("p"))), lambda x: x["p"].isNotNull())
-    keys = F.transform(parsed, lambda x: x["p"])
-    first = F.filter(parsed, lambda x, i: F.array_position(keys, x["p"]) == i + 1)
+    (scheme, host, path, query) counts, and applied follows the running cap. No shuffle, no explode.
+
+    Equal links are told by sorting, so the cost is that of sorting the links of the text; every step is bound
+    once. A risky link takes at least one point off the cap, so only the first TOTAL_CAP of them can be ahead
+    of one that still gets points."""
+    split = F.transform(extract(body), lambda u, i: F.struct(decompose(u).alias("p"), i.alias("pos"), u.alias("url")))
+
+    def first(s: Column) -> Column:
+        return F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["p"] != x["p"], F.lit(True)))
 
     def judged(x: Column) -> Column:
         p = x["p"]
         return F.struct(x["url"].alias("url"), finding(p["host"], p["path"], p["query"], sender_host).alias("f"))
 
-    risky = F.filter(F.transform(first, judged), lambda x: x["f"]["score"] > 0)
-    raw = F.transform(risky, lambda x: F.least(x["f"]["score"], F.lit(EACH_CAP)))
-    before = lambda i: F.aggregate(F.slice(raw, F.lit(1), i), F.lit(0), lambda a, x: F.least(a + x, F.lit(TOTAL_CAP)))
-    capped = lambda x, i: F.struct(
-        x["url"].alias("url"), x["f"]["score"].alias("score"), x["f"]["reasons"].alias("reasons"), F.least(F.least(x["f"]["score"], F.lit(EACH_CAP)), TOTAL_CAP - before(i)).cast("int").alias("applied")
-    )
-    return F.transform(risky, capped)
+    def capped(risky: Column, raw: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(raw, F.lit(1), F.least(i, F.lit(TOTAL_CAP))), F.lit(0), lambda a, x: F.least(a + x, F.lit(TOTAL_CAP)))
+        one = lambda x, i: F.struct(x["url"].alias("url"), x["f"]["score"].alias("score"), x["f"]["reasons"].alias("reasons"), F.least(F.get(raw, i), TOTAL_CAP - before(i)).cast("int").alias("applied"))
+        return F.transform(risky, one)
+
+    by_parts = F.sort_array(F.filter(split, lambda x: x["p"].isNotNull()))
+    in_order = F.sort_array(F.transform(bind(by_parts, first), lambda x: F.struct(x["pos"].alias("pos"), x["url"].alias("url"), x["p"].alias("p"))))
+    risky = F.filter(F.transform(in_order, judged), lambda x: x["f"]["score"] > 0)
+    return bind(risky, lambda r: bind(F.transform(r, lambda x: F.least(x["f"]["score"], F.lit(EACH_CAP))), lambda raw: capped(r, raw)))
 
 
 def first_of_each(urls: DataFrame) -> DataFrame:

@@ -117,11 +117,10 @@ ORACLES: dict[str, str] = {
     "received_anomaly": """SELECT * FROM (SELECT email_id, CASE WHEN len(received) > 5 THEN len(received) || ' headers (>5)'
  WHEN len(list_filter(received, lambda r: length(r) > 1000)) > 0 THEN len(list_filter(received, lambda r: length(r) > 1000)) || ' header(s) with length >1000' END AS reason FROM parse_eml) WHERE reason IS NOT NULL""",
     "freemail_brand_mention": f"WITH {M}, {BRANDS} SELECT email_id, string_agg(b, ', ' ORDER BY b) AS brands FROM bm GROUP BY 1",
-    "fuzzy_domain_match": f"""WITH h0 AS (SELECT host, {strip('host')} AS s FROM email_urls WHERE host <> ''), h AS (SELECT DISTINCT host FROM h0),
-b AS (SELECT {reg('s')} AS k, count(*) AS n FROM h0 GROUP BY 1 ORDER BY n DESC, k LIMIT 10)
-SELECT host, string_agg(k, ', ' ORDER BY k) AS matches FROM h, b WHERE trim(lower(trim(host)), '.') = k OR suffix(trim(lower(trim(host)), '.'), '.' || k)
- OR (abs(length(trim(lower(trim(host)), '.')) - length(k)) <= 1 AND levenshtein(trim(lower(trim(host)), '.'), k) <= 1) GROUP BY 1""",
-    "brand_list": "SELECT lower(brand_name) AS name, lower(brand_domain) AS domain FROM known_brands UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{d}')" for n, d in KNOWN) + ") AS v(name, domain)",
+    "fuzzy_domain_match": """WITH h AS (SELECT DISTINCT host, trim(lower(trim(host)), '.') AS t FROM email_urls WHERE host <> ''), b AS (SELECT DISTINCT trim(lower(trim(brand_domain)), '.') AS k FROM known_brands WHERE brand_domain <> '')
+SELECT host, string_agg(k, ', ' ORDER BY k) AS matches FROM h, b WHERE t = k OR suffix(t, '.' || k) OR (abs(length(t) - length(k)) <= 1 AND levenshtein(t, k) <= 1) GROUP BY 1""",
+    "brand_list": "WITH n AS (SELECT arg_min(lower(trim(brand_name)), ord) AS v FROM known_brands GROUP BY substr(lower(brand_name), 1, 1)), k(n, d) AS (VALUES " + ", ".join(f"('{n}', '{d}')" for n, d in KNOWN) + """)
+SELECT 'name' AS kind, v AS value FROM (SELECT v FROM n UNION SELECT n FROM k) UNION ALL SELECT 'domain', v FROM (SELECT lower(trim(brand_domain)) AS v FROM known_brands UNION SELECT d FROM k)""",
     "lexical_score": f"WITH {M} SELECT * FROM (SELECT email_id, CAST({LEX} AS INT) AS points, {LABELS} AS labels FROM m) WHERE labels <> ''",
     "keyword_position_points": f"WITH {M} SELECT * FROM (SELECT email_id, CAST({POS} AS INT) AS points FROM m) WHERE points > 0",
     "url_extract": f"WITH {EXPLODED} SELECT email_id, pos, url, scheme, host, path, query_str AS query FROM body_urls",

@@ -104,15 +104,17 @@ def freemail_brand_mention(spark, d):
 
 @query
 def fuzzy_domain_match(spark, d):
-    known = [r["domain"] for r in registrable_domain_topk(spark, d).collect()]  # ten names
-    found = identity.fuzzy_domains(read(spark, d, "email_urls"), known)
+    found = identity.fuzzy_domains(read(spark, d, "email_urls"), _brands(spark, d)[1])
     return found.select("host", F.array_join("matches", ", ").alias("matches"))
 
 
 @query
 def brand_list(spark, d):
-    lines = read(spark, d, "known_brands").select("ord", F.concat_ws(" | ", "brand_name", "brand_domain").alias("value"))
-    return identity.brand_lists(lines, spark).select("name", "domain")
+    """A file of lines in which brands that share the first letter have one line, so that lines have several domains."""
+    b = read(spark, d, "known_brands")
+    lines = b.groupBy(F.substring(F.lower("brand_name"), 1, 1)).agg(F.min("ord").alias("ord"), F.concat_ws(" | ", F.min_by("brand_name", "ord"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "brand_domain"))), lambda x: x["brand_domain"]), ", ")).alias("value"))
+    names, hosts = identity.brand_lists(lines, spark)
+    return names.select(F.lit("name").alias("kind"), F.col("name").alias("value")).unionByName(hosts.select(F.lit("domain").alias("kind"), F.col("domain").alias("value")))
 
 
 @query

@@ -26,6 +26,8 @@ def test_addresses(spark):
         ("Team: a@x.org, b@x.org;", ["a@x.org", "b@x.org"]),
         ("'Jo' <a@x.org>\nA@X.ORG\na@x.org", ["a@x.org", "A@X.ORG", "a@x.org"]),
         ("a@x.org b@x.org", ["a@x.org", "b@x.org"]),
+        ("a@x.org/b@y.org / <c/d@z.org>", ["a@x.org", "b@y.org", "c/d@z.org"]),
+        ("a\ue000\ue004b@x.org, c@x.org", ["a\ue000\ue004b@x.org", "c@x.org"]),
         ("No Recipients", None), ("", None), (None, None), (" ; ,, ", None),
     ]
     got = run(spark, [(c, c, None) for c, _ in cases])
@@ -40,6 +42,9 @@ def test_files(spark):
         ("'p; q.doc';r.tar.zip;;r.tar.zip;", ["p; q.doc", "r.tar.zip", "r.tar.zip"]),
         ('["a b.html", "c; \\"d\\".eml"]', ["a b.html", 'c; "d".eml']),
         ("report v1.2, final.pdf\nb.png\t", ["report v1.2, final.pdf", "b.png"]),
+        ("x.parquet; y.pdf", ["x.parquet", "y.pdf"]),
+        ("a.pdf/b.docx", ["a.pdf", "b.docx"]),
+        ("a\ue002b.pdf; c\ue001.txt", ["a\ue002b.pdf", "c\ue001.txt"]),
         ("", None), (None, None),
     ]
     got = run(spark, [(None, None, c) for c, _ in cases])

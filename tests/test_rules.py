@@ -27,11 +27,11 @@ def test_brands(spark):
 
 
 def test_brand_lists(spark):
-    lines = spark.createDataFrame([(0, "# c"), (1, "Acme | acme.com, ACME.org"), (2, " PayPal | pp.com"), (3, "Solo"), (4, "acme | acme.com")], "ord int, value string")
-    rows = identity.brand_lists(lines, spark).collect()
-    assert {r["name"] for r in rows if r["name"]} == {"acme", "paypal", "solo"} | {n for n, _ in identity.BRANDS}
-    assert {r["domain"] for r in rows if r["domain"]} >= {"acme.com", "acme.org", "pp.com", "paypal.com"}
-    assert identity.brand_lists(None, spark).count() == 7
+    lines = spark.createDataFrame([(0, "# c"), (1, "Acme | acme.com, ACME.org"), (2, " PayPal | pp.com"), (3, "Solo"), (4, "acme | acme.com"), (5, ""), (6, " | lone.org")], "ord int, value string")
+    names, hosts = identity.brand_lists(lines, spark)
+    assert [r["name"] for r in names.orderBy("ord").collect()] == ["acme", "paypal", "solo"] + [n for n, _ in identity.BRANDS if n != "paypal"]
+    assert [r["domain"] for r in hosts.orderBy("ord").collect()] == ["acme.com", "acme.org", "pp.com", "lone.org"] + [x for _, x in identity.BRANDS]
+    assert [x.count() for x in identity.brand_lists(None, spark)] == [7, 7]
 
 
 def test_wording(spark):
@@ -57,6 +57,18 @@ def test_running_cap_in_both_forms(spark):
     assert [r["applied"] for r in urls.running_cap(q).orderBy("pos").collect()] == [4, 4, 0, 0, 0]
 
 
+def test_many_links_in_one_message(spark):
+    import time
+
+    body = " ".join(f"http://h{i % 1500}.top/login?a={i % 1500}" for i in range(2000))
+    df = spark.createDataFrame([(1, body)], "email_id bigint, body string").select(urls.findings(F.col("body"), F.lit("me.org")).alias("l"))
+    df.collect()
+    began = time.perf_counter()
+    links = df.first()["l"]
+    assert len(links) == 1500 and [x["applied"] for x in links[:4]] == [4, 4, 0, 0] and links[7]["url"].startswith("http://h7.")
+    assert time.perf_counter() - began < 2
+
+
 def test_attachments(spark):
     rows = column(spark, [["a.EXE", "b.txt", "c" * 97 + ".zip", "c" * 96 + ".zip"], []], lambda c: F.struct(F.size(attachments.dangerous(c)), F.size(attachments.odd_archives(c))), "array<string>")
     assert [tuple(r) for r in rows] == [(1, 1), (0, 0)]

@@ -31,6 +31,20 @@ CASES = [
     ("1730799367.2", "de", us(2024, 11, 5, 9, 36, 7, 200000)),
     ("2023-01-01 10:00:00", None, us(2023, 1, 1, 10, 0)),
     ("2023-01-01 10:00:00", "unknown", us(2023, 1, 1, 10, 0)),
+    ("2024-05-06T10:00+02", "us", us(2024, 5, 6, 8, 0)),
+    ("2024-05-06 10:00 Europe/Berlin", "us", us(2024, 5, 6, 8, 0)),
+    ("2024-05-06 10:00 [america/new_york]", "de", us(2024, 5, 6, 14, 0)),
+    ("2024-05-06 10:00 Europe/Nowhere", "de", None),
+    ("06.05.24 10:00", "us", us(2024, 5, 6, 14, 0)),
+    ("2024/05/06 10:00:00", "utc", us(2024, 5, 6, 10, 0)),
+    ("2024.5.6, 10:00:00.5 UTC+5:30", "utc", us(2024, 5, 6, 4, 30, 0, 500000)),
+    ("10:00 6 May 2024", "utc", us(2024, 5, 6, 10, 0)),
+    ("10:00:01 AM -0300, Mon, 6 May 2024", "utc", us(2024, 5, 6, 13, 0, 1)),
+    ("Mon, 6 May 2024 10:00 HKT", "utc", us(2024, 5, 6, 2, 0)),
+    ("6 May 2024 10:00 AKST (a (b (c (d (e)))))", "utc", us(2024, 5, 6, 19, 0)),
+    ("6 May 2024 3:00 pm GMT+2", "utc", us(2024, 5, 6, 13, 0)),
+    ("29.10.2023 02:30 Europe/Berlin", "us", us(2023, 10, 29, 0, 30)),
+    ("2023-01-01 10:00 X", "utc", None),
 ] + [(x, "de", None) for x in ("No Date", "", None, "31 Jun 2023 07:45:10 +0200", "2023-13-45T25:61:00Z", "12:00", "13/13/2023 10:00", "0000-00-00 00:00:00", "2023-01-01 24:00:00", "x" * 100_000, "2023-01-01T10:00:00 FOOZ", "13:00 PM")]
 
 
