@@ -1,18 +1,27 @@
 """Near-duplicate messages (problem 3).
 
-Method: generalised pigeonhole. A text is a bit vector over all runs of consecutive words. Two texts
+Method: generalised pigeonhole. A text is a bit vector over all runs of k consecutive words. Two texts
 of at least the similarity s share at least ceil(s n) of the n runs of either, so at most
-TAU = n - ceil(s n) runs of a text are missing in the other. With every run a partition, and for any
-thresholds t_i with sum(t_i + 1) = TAU + 1 (t_i = -1 skips a run, 0 probes it), a probed run is shared.
-For every text the thresholds are allocated by the estimated number of candidates of each run. As
-all texts order runs alike, by estimate and hash, the rarest run that two similar texts share is
-probed by both of them, so probes are joined with probes. Candidates are verified by their numbers of
-runs and the Hamming distance of bit sketches, two bounds that no similar pair fails, and then
-exactly, on the full sets of runs. No pair is lost at any similarity or length.
-
-The estimates are counts of runs in a table of CELLS counters, summed over all texts on the
-executors; only this table of fixed size reaches the driver and is broadcast. Equal texts form a
-class first and are represented by one member, so copies meet no probes.
+TAU = n - ceil(s n) runs of a text are missing in the other.
+
+Partitions: the 2 runs around k-1 words stand or fall together, so bits are grouped by such words: the
+partition of a run is the rarer of the two (k-1)-word pieces that it holds, by counts over all texts. It
+depends on the run alone, so all texts group alike.
+
+Thresholds: if sum(t_w + 1) >= TAU + 1 over a text's partitions w, then for any similar text there is a w of
+which it lacks at most t_w of the text's runs. t_w runs from -1 (skipped) to all runs but one; a dynamic
+programme allocates the thresholds of each text by the estimated number of candidates of each partition and
+threshold. Partitions are ranked by their counts, equal for all texts; a text allocates within, and is indexed
+under, its partitions up to a rank R of its own, which hold more than TAU runs with SLACK to spare. Of two
+similar texts the one with the lower R probes partitions that the other is indexed under: no pair is lost.
+
+Probe and verify: texts that share a partition meet; those of fitting length, of which the one lacks
+at most t_w runs by a bit mask of the partition, are candidates. Their bit sketches bound the Hamming
+distance, and what is left is compared exactly, on the full sets of runs.
+
+Counts come from one table of one byte a cell, counted on the executors by all texts and broadcast, with a size
+that follows the number of texts within fixed bounds; collisions cost candidates, not pairs. Equal texts are
+one class with one representative, and a partition with many texts is dealt out to several keys.
 """
 
 from __future__ import annotations
@@ -25,7 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailloom.llm import tables
 from mailloom.llm.batches import slices
+from mailloom.llm.tables import mixed as _mixed
 from mailloom.plans.storage import cut, spread
 
 #: Defaults of near-duplicate operators; the queries of problem 3 use 3 words, 0.6 and 40 words.
@@ -34,14 +45,16 @@ SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 0
 REACH = 2
 #: Longs of a bit sketch.
 LONGS = 8
-CELL_BITS = 21
-CELLS = 1 << CELL_BITS
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+#: Runs that the partitions of a text hold, as a multiple of what it must probe: the room of the dynamic programme.
+SLACK = 1.2
+#: Partitions that are allocated together, runs that may be dropped in each such block, and thresholds tried beside "all".
+TOGETHER, DROPPED, THRESHOLDS = 64, 48, 3
+#: What looking at a text of a partition costs, in candidates.
+LOOK = 0.1
+#: Cells of the table of counts per text.
+CELLS_A_TEXT = 96
+#: Texts of a partition from which it is dealt out to several keys.
+HOT = 1 << 13
 
 
 def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,102 +126,274 @@ def sketches(hashes: np.ndarray, runs: np.ndarray) -> np.ndarray:
     return out.reshape(len(runs), LONGS).view(np.int64)
 
 
-def cells(keys: np.ndarray) -> np.ndarray:
-    return (_mixed(keys) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
-
-def allocate(cost: np.ndarray, runs: np.ndarray, share: float) -> np.ndarray:
-    """Which runs each text probes. cost: estimated other texts per run, of all texts one after the other.
-
-    A run costs 0 at t = -1 and its estimate at t = 0. The dynamic programme over the partitions is a
-    min-plus convolution of such convex functions, which is solved exactly by taking the marginal costs
-    in ascending order until TAU + 1 units are allocated, TAU = floor(share * runs); ties go to the
-    earlier run. All texts are solved at once."""
-    doc = np.repeat(np.arange(len(runs)), runs)
-    need = np.minimum(np.floor(share * runs).astype(np.int64) + 1, runs)
-    order = np.lexsort((np.arange(len(cost)), cost, doc))
-    rank = np.empty(len(cost), np.int64)
-    rank[order] = np.arange(len(cost)) - np.repeat(np.cumsum(runs) - runs, runs)
-    return rank < np.repeat(need, runs)
+def texts_hash(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the words of each text in order, whatever white space parts them."""
+    ends = np.cumsum(n)
+    place = (np.arange(len(h)) - np.repeat(ends - n, n)).astype(np.uint64)
+    out = []
+    for salt in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB):
+        x = _mixed(_mixed(h ^ np.uint64(salt)) + place * np.uint64(0xD6E8FEB86659FD93))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))
+        out.append(_mixed((total[ends] - total[ends - n]) ^ n.astype(np.uint64)))
+    return out[0], out[1]
+
+
+def run_pieces(h: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of all texts, the piece of k-1 words at the head of each and the one at its end, and the number of
+    runs of each text. A run of one word, or a text shorter than a run, is its own piece."""
+    runs, count = word_runs(h, n, k)
+    if k < 2:
+        return runs, runs, runs, count
+    pieces, have = word_runs(h, n, k - 1)
+    first = np.repeat((np.cumsum(have) - have) - (np.cumsum(count) - count), count) + np.arange(len(runs))
+    short = np.repeat(have <= count, count)  # fewer words than a run has
+    head = np.where(short, runs, pieces[np.minimum(first, max(len(pieces) - 1, 0))] if len(pieces) else runs)
+    end = np.where(short, runs, pieces[np.minimum(first + 1, max(len(pieces) - 1, 0))] if len(pieces) else runs)
+    return runs, head, end, count
+
+
+def piece_keys(head: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The partition of each run: the rarer of its pieces, as level of its count (8 bits) and hash (56 bits). Sorting
+    by this number ranks partitions alike for all texts."""
+    bits = int(len(table)).bit_length() - 1
+    rank = lambda x: (table[tables.cells(x, bits)].astype(np.uint64) << np.uint64(56)) | (_mixed(x) >> np.uint64(8))
+    return np.minimum(rank(head), rank(end))
+
+
+def allocate(cost: np.ndarray, look: np.ndarray, size: np.ndarray, parts: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Thresholds t of all partitions of all texts, one text after the other, so that the sum of t + 1 over each
+    text is at least `need`.
+
+    size: runs of each partition; cost: per run, in ascending order within its partition, the estimated texts
+    that hold it (runs that go together are held by the same texts, so a text that lacks at most t of them holds the
+    run t, and cost[t] estimates the candidates at t); look: texts of each partition; parts: partitions of each text.
+
+    Dynamic programme over blocks of TOGETHER partitions. The state is the number of runs that may be dropped, the
+    value the greatest saving against probing every partition at its highest threshold. A text whose partitions hold
+    more runs than it needs may drop the difference, each block in proportion to its runs."""
+    out = size - 1
+    if not len(size):
+        return out
+    text = np.repeat(np.arange(len(parts)), parts)
+    held = np.bincount(text, size, len(parts))
+    spare = np.maximum(held - need, 0)
+    first = np.repeat(np.cumsum(parts) - parts, parts)
+    place = np.arange(len(size)) - first
+    new = np.ones(len(size), bool)
+    new[1:] = (place[1:] % TOGETHER == 0) | (text[1:] != text[:-1])
+    block = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    length = np.diff(np.append(begin, len(size)))
+    of = text[begin]
+    may = np.minimum(np.floor(spare[of] * np.bincount(block, size) / np.maximum(held[of], 1)), DROPPED).astype(np.int64)
+    asked = np.flatnonzero(may > 0)
+    if not len(asked):
+        return out
+    asked = asked[np.argsort(-length[asked], kind="stable")]
+    begin, length, may = begin[asked], length[asked], may[asked]
+    states = int(may.max()) + 1
+    drop_at = np.arange(states)
+    run_at = np.cumsum(size) - size
+    full = look * LOOK + cost[run_at + size - 1]
+    best = np.zeros((len(asked), states))
+    taken = np.zeros((int(length[0]), len(asked), states), np.int8)
+    for j in range(int(length[0])):
+        live = int(np.searchsorted(-length, -j, "left"))  # blocks with more than j partitions come first
+        p = begin[:live] + j
+        now = best[:live].copy()
+        for t in range(-1, THRESHOLDS):
+            allowed = t < size[p] - 1
+            save = full[p] - (0 if t < 0 else look[p] * LOOK + cost[run_at[p] + np.minimum(t, size[p] - 1)])
+            back = drop_at[None, :] - (size[p] - 1 - t)[:, None]
+            value = np.where(allowed[:, None] & (back >= 0), np.take_along_axis(best[:live], np.clip(back, 0, states - 1), 1) + save[:, None], -1.0)
+            better = value > now
+            now = np.where(better, value, now)
+            taken[j, :live][better] = t + 2
+        best[:live] = now
+    state = may.copy()
+    rows = np.arange(len(asked))
+    for j in range(int(length[0]) - 1, -1, -1):
+        live = int(np.searchsorted(-length, -j, "left"))
+        choice = taken[j, rows[:live], state[:live]].astype(np.int64)
+        p = begin[:live] + j
+        t = np.where(choice > 0, choice - 2, size[p] - 1)
+        out[p] = t
+        state[:live] -= size[p] - 1 - t
+    return out
+
+
+#: A row of the index: threshold + 1 (6 bits, ANY: whatever is lacking), whether it only probes (1 bit), runs of the
+#: text (24 bits, the highest number: that or more), mask of the runs of the partition (32 bits).
+ANY, MANY = 63, (1 << 24) - 1
+
+
+def index_rows(h: np.ndarray, n: np.ndarray, k: int, share: float, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, packed) of the partitions that texts are indexed under and probe. Partitions that no other text
+    has are left out: nothing can meet there, though their thresholds count."""
+    bits = int(len(table)).bit_length() - 1
+    runs, head, end, count = run_pieces(h, n, k)
+    if not len(runs):
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    part = piece_keys(head, end, table)
+    level = table[tables.cells(runs ^ np.uint64(0x5851F42D4C957F2D), bits)]
+    doc = np.repeat(np.arange(len(n)), count)
+    order = np.lexsort((runs, level, part, doc))
+    doc, part, runs, level = doc[order], part[order], runs[order], level[order]
+    new = np.ones(len(runs), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (runs[1:] != runs[:-1]) | (part[1:] != part[:-1])
+    doc, part, runs, level = doc[new], part[new], runs[new], level[new]
+    total = np.bincount(doc, minlength=len(n))
+    need = np.minimum(np.floor(share * total).astype(np.int64) + 1, total)
+    # partitions, and the runs that those before them hold
+    new = np.ones(len(runs), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(runs)))
+    text, part = doc[at], part[at]
+    before = at - np.repeat(np.cumsum(total) - total, np.bincount(text, minlength=len(n)))
+    within = before < np.ceil(need * SLACK)[text]
+    keep = np.repeat(within, size)
+    runs, level = runs[keep], level[keep]
+    text, part, size = text[within], part[within], size[within]
+    found = tables.counts_of((part >> np.uint64(56)).astype(np.uint8))
+    cost = np.maximum(tables.counts_of(level) - 1, 0)
+    t = allocate(cost, np.maximum(found - 1, 0), size, np.bincount(text, minlength=len(n)), need)
+    mask = np.bitwise_or.reduceat(np.uint64(1) << (_mixed(runs) & np.uint64(31)), np.cumsum(size) - size) if len(size) else np.empty(0, np.uint64)
+    limit = np.where((t + 1 >= size) | (t + 1 >= ANY), np.where(t + 1 >= size, np.minimum(size, ANY), ANY), t + 1).astype(np.uint64)
+    packed = (limit << np.uint64(57)) | (np.minimum(total[text], MANY).astype(np.uint64) << np.uint64(32)) | mask
+    met = (part >> np.uint64(56)) > tables.ONCE
+    text, part, packed, found = text[met], part[met], packed[met], found[met]
+    hot = found >= HOT
+    if not hot.any():
+        return text, part, packed
+    # a hot partition: indexed under one of several keys, probed under all of them
+    keys = np.where(hot, np.ceil(found / HOT), 1).astype(np.int64)
+    own = texts_hash(h, n)[0][text] % keys.astype(np.uint64)
+    salted = lambda key, salt: _mixed(key ^ (salt + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25))
+    index_key = np.where(hot, salted(part, own), part)
+    index_packed = np.where(hot, packed & np.uint64((1 << 57) - 1), packed)
+    probes = np.flatnonzero(hot & (packed >> np.uint64(57) > 0))
+    times = np.repeat(probes, keys[probes])
+    salt = np.arange(len(times)) - np.repeat(np.cumsum(keys[probes]) - keys[probes], keys[probes])
+    return (
+        np.concatenate((text, text[times])),
+        np.concatenate((index_key, salted(part[times], salt.astype(np.uint64)))),
+        np.concatenate((index_packed, packed[times] | np.uint64(1 << 56))),
+    )
 
 
 def _text(subject: Column, body: Column) -> Column:
     return F.lower(F.concat(F.coalesce(subject, F.lit("")), F.lit(" "), F.coalesce(body, F.lit(""))))
 
 
-def _class_key(text: Column) -> list[Column]:
-    """128 bits of the words of a text in order, whatever white space parts them."""
-    words = F.trim(F.regexp_replace(text, r"[\s\p{Z}\x0b\x1c-\x1f\x85]+", " "))
-    return [F.xxhash64(words).alias("k1"), F.xxhash64(F.reverse(words), F.lit(17)).alias("k2")]
-
-
 _SKETCH = [f"s{i}" for i in range(LONGS)]
 #: Against rounding, where a bound is a whole number.
 _SLACK = 1e-9
 
 
-def _sketched(texts: DataFrame, k: int, least: int, counts, share: float) -> DataFrame:
-    """(id, k1, k2, n, probes, s0...) of the texts with words, and at least `least` of them: n distinct runs, and those
-    that the text probes. Runs alone in their cell are left out: nothing can meet them."""
+def _counted(texts: DataFrame, k: int, least: int) -> np.ndarray:
+    """Levels of the counts of all runs and pieces, over all texts that count."""
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in slices(batches, 0):
+            h, words = hashed_words(batch.column(0).to_pylist())
+            short = np.repeat(words < least, words)
+            h, words = h[~short], np.where(words < least, 0, words)
+            runs, head, _, count = run_pieces(h, words, k)
+            yield runs ^ np.uint64(0x5851F42D4C957F2D)
+            # each piece once: all heads, and the end of each text's last run
+            yield head if k < 2 else np.concatenate((word_runs(h, words, k - 1)[0], runs[np.repeat(words < k, count)]))
+
+    n = texts.count()
+    return tables.level_table(spread(texts.select("text")), keys_of, tables.bits_for(CELLS_A_TEXT * n))
+
+
+def _hashed(texts: DataFrame, k: int, least: int) -> DataFrame:
+    """(id, k1, k2, n, s0...) of the texts with words, and at least `least` of them: n distinct runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
-        for batch in slices(batches, 3):
-            h, words = hashed_words(batch.column(3).to_pylist())
+        for batch in slices(batches, 1):
+            h, words = hashed_words(batch.column(1).to_pylist())
+            k1, k2 = texts_hash(h, words)
             hashes, n = distinct_runs(h, words, k)
-            others = table[cells(hashes)]
-            use = allocate(others, n, share) & (others > 1)
             sketch = sketches(hashes, n)
-            doc = np.repeat(np.arange(len(n)), n)
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(doc[use], minlength=len(n))))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[use].view(np.int64)))
-            keep = pa.array((words >= max(least, 1)))
-            columns = [*batch.columns[:3], pa.array(n.astype(np.int32)), lists, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(LONGS))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "k1", "k2", "n", "probes", *_SKETCH]).filter(keep)
+            keep = pa.array(words >= max(least, 1))
+            longs = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (k1, k2)]
+            columns = [batch.column(0), *longs, pa.array(n.astype(np.int32)), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(LONGS))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "k1", "k2", "n", *_SKETCH]).filter(keep)
 
-    kinds = ", ".join(f"{c} bigint" for c in _SKETCH)
-    return spread(texts.select("id", *_class_key(F.col("text")), "text")).mapInArrow(run, f"id bigint, k1 bigint, k2 bigint, n int, probes array<bigint>, {kinds}")
+    return spread(texts.select("id", "text")).mapInArrow(run, f"id bigint, k1 bigint, k2 bigint, n int, {', '.join(f'{c} bigint' for c in _SKETCH)}")
 
 
-def _counts(texts: DataFrame, k: int, least: int) -> np.ndarray:
-    """Runs per cell, over all texts that count. The table has CELLS entries whatever the input."""
+def _indexed(texts: DataFrame, k: int, least: int, table, share: float) -> DataFrame:
+    """(key, k1, packed): the rows of index_rows. A task leaves out texts that it has met before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(CELLS, dtype=np.int64)
+        counts, met = table.value, np.empty(0, np.uint64)
         for batch in slices(batches, 0):
             h, words = hashed_words(batch.column(0).to_pylist())
-            hashes, n = distinct_runs(h, words, k)
-            table += np.bincount(cells(hashes[np.repeat(words >= least, n)]), minlength=CELLS)
-        used = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(table[used])], names=["cell", "n"])
-
-    got = spread(texts.select("text")).mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    table = np.zeros(CELLS, dtype=np.int32)
-    table[got.column("cell").to_numpy()] = np.minimum(got.column("n").to_numpy(), 2**31 - 1)
-    return table
+            k1, _ = texts_hash(h, words)
+            first = np.zeros(len(k1), bool)
+            first[np.unique(k1, return_index=True)[1]] = True
+            use = first & (words >= max(least, 1)) & ~np.isin(k1, met)
+            met = np.concatenate((met, k1[use]))
+            h, words, k1 = h[np.repeat(use, words)], words[use], k1[use]
+            text, key, packed = index_rows(h, words, k, share, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(k1[text].view(np.int64)), pa.array(packed.view(np.int64))], names=["key", "k1", "packed"])
+
+    return spread(texts.select("text")).mapInArrow(run, "key bigint, k1 bigint, packed bigint")
+
+
+def _met(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: hashes of the texts of which one probes a partition that the other is indexed under."""
+    rows = rows.repartition("key").dropDuplicates(["key", "k1", "packed"])
+    bit = lambda c, at, width: F.shiftrightunsigned(F.col(c), at).bitwiseAND(F.lit((1 << width) - 1))
+    # rand() keeps the two filters above the exchange, so that both sides read the same one
+    probe = rows.where((bit("packed", 57, 6) > 0) & (F.rand(1) >= 0)).select("key", F.col("k1").alias("a"), F.col("packed").alias("p"))
+    index = rows.where((bit("packed", 56, 1) == 0) & (F.rand(1) >= 0)).select(F.col("key").alias("_key"), F.col("k1").alias("b"), F.col("packed").alias("q"))
+    lacks = F.bit_count(bit("p", 0, 32).bitwiseAND(F.bitwise_not(bit("q", 0, 32))))
+    n, m = bit("p", 32, 24), bit("q", 32, 24)
+    fits = (F.greatest(n, m) == MANY) | (F.least(n, m) + _SLACK >= similarity * F.greatest(n, m))
+    limit = bit("p", 57, 6)
+    pairs = probe.join(index, (F.col("key") == F.col("_key")) & (F.col("a") != F.col("b")) & ((limit == ANY) | (lacks < limit)) & fits)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _near(reps: DataFrame, candidates: DataFrame, similarity: float) -> DataFrame:
-    """The candidates (a, b) whose numbers of runs and sketches allow the similarity."""
-    side = lambda x: reps.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", *_SKETCH)))
+    """The candidates (a, b), as ids of representatives, whose numbers of runs and sketches allow the similarity."""
+    side = lambda x: reps.select(F.col("k1").alias(x), F.col("id").alias(f"{x}_id"), *(F.col(c).alias(f"{x}_{c}") for c in ("n", *_SKETCH)))
     both = candidates.join(side("a"), "a").join(side("b"), "b")
     differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _SKETCH), F.lit(0))
     longer, shorter = F.greatest("a_n", "b_n"), F.least("a_n", "b_n")
     most = (1 - similarity) / (1 + similarity) * (longer + shorter) + _SLACK
-    return both.where((shorter + _SLACK >= similarity * longer) & (differ <= most)).select("a", "b")
+    near = both.where((shorter + _SLACK >= similarity * longer) & (differ <= most))
+    return near.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
 def _verified(texts: DataFrame, candidates: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The candidate pairs (a, b) whose sets of runs are similar enough; with the similarity."""
-    needed = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    """The candidate pairs (a, b) whose sets of runs are similar enough; with the similarity. Only texts of
+    candidates are split and sent: a table of their ids, one byte a cell, tells them apart from most others."""
+    spark = texts.sparkSession
+    ids = lambda column: np.asarray(column.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            hashes, runs = word_runs(*hashed_words(batch.column(1).to_pylist()), k)
-            parts = np.split(hashes.view(np.int64), np.cumsum(runs)[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(p) for p in parts], pa.list_(pa.int64()))], names=["id", "runs"])
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield ids(batch.column(0))
+            yield ids(batch.column(1))
 
-    sets = texts.join(needed, "id", "left_semi").mapInArrow(run, "id bigint, runs array<bigint>")
+    bits = tables.bits_for(32 * candidates.count())
+    needed = spark.sparkContext.broadcast(tables.level_table(candidates.select("a", "b"), keys_of, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = needed.value
+        for whole in batches:
+            some = whole.filter(pa.array(table[tables.cells(ids(whole.column(0)), bits)] > 0))
+            for batch in slices(iter([some]), 1):
+                hashes, n = distinct_runs(*hashed_words(batch.column(1).to_pylist()), k)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))], names=["id", "runs"])
+
+    sets = spread(texts.select("id", "text")).mapInArrow(run, "id bigint, runs array<bigint>")
     left, right = (sets.select(F.col("id").alias(x), F.col("runs").alias(f"runs_{x}")) for x in "ab")
     pairs = candidates.join(left, "a").join(right, "b")
     both = F.size(F.array_intersect("runs_a", "runs_b"))
@@ -221,13 +406,11 @@ def classes_and_links(texts: DataFrame, k: int = SHINGLE, similarity: float = SI
     of representatives, a < b. Texts with the same words in the same order share a representative,
     the smallest id. texts: (id, text), ids unique; NULL and empty texts belong to no class."""
     spark, share = texts.sparkSession, 1 - similarity + _SLACK
-    payload = F.struct("id", "n", "probes", *_SKETCH)
-    counts = spark.sparkContext.broadcast(_counts(texts, k, least))
-    reps = cut(_sketched(texts, k, least, counts, share).groupBy("k1", "k2").agg(F.min_by(payload, "id").alias("r")).select("k1", "k2", "r.*"))
-    members = texts.select("id", *_class_key(F.col("text"))).join(reps.select("k1", "k2", F.col("id").alias("rep")), ["k1", "k2"]).select("id", "rep")
-    probes = reps.select(F.explode("probes").alias("key"), "id")
-    met = probes.join(probes.withColumnRenamed("id", "other"), "key").where(F.col("id") < F.col("other"))
-    candidates = met.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    table = spark.sparkContext.broadcast(_counted(texts, k, least))
+    hashed = cut(_hashed(texts, k, least))
+    reps = hashed.groupBy("k1", "k2").agg(F.min_by(F.struct("id", "n", *_SKETCH), "id").alias("r")).select("k1", "k2", "r.*")
+    members = hashed.select("id", "k1", "k2").join(hashed.groupBy("k1", "k2").agg(F.min("id").alias("rep")), ["k1", "k2"]).select("id", "rep")
+    candidates = _met(_indexed(texts, k, least, table, share), similarity)
     return members, _verified(texts, cut(_near(reps, candidates, similarity)), k, similarity)
 
 
