@@ -29,11 +29,15 @@ from mailloom.llm.batches import slices
 from mailloom.llm.twins import LATIN_LIKE
 from mailloom.plans.storage import spread
 
-#: Bound of the training sample: texts per language, and characters of a text. Documented parameter.
-SAMPLE_TEXTS, SAMPLE_CHARS = 300, 4000
+#: Bounds of the sample that the dictionaries are trained on: languages, the most frequent ones first, texts of each, and
+#: lines and characters of such a text, chosen by hash. Documented parameters.
+SAMPLE_LANGUAGES, SAMPLE_TEXTS, SAMPLE_LINES, SAMPLE_CHARS = 24, 300, 100, 2000
 DICTIONARY_BYTES = 24_576
-#: Words with letters beyond ASCII that a model keeps.
-MOST_WORDS = 20_000
+#: Words with letters beyond ASCII that a model keeps, of those of all texts the most frequent ones, and the share of all such
+#: words, or of all characters beyond ASCII, from which a word or character counts as clean.
+MOST_WORDS, LEAST_SHARE = 200_000, 2e-7
+#: Entries of a task's counter before it is sent on.
+COUNTED = 500_000
 #: Description length in bytes: of one decoding step, of a character that clean texts lack, of a sign inside a word.
 STEP_COST, FOREIGN_COST, INSIDE_COST = 0.75, 3.0, 1.5
 #: Of a decoding step that the other lines of a value do not share.
@@ -41,10 +45,14 @@ RARE_COST = 8.0
 #: What a word that clean texts have saves, where it takes the place of one that they lack; and the letters of such a
 #: word that prove a decoding which nothing else in the value shows.
 KNOWN_GAIN, PROOF_LETTERS = 1.5, 3
+#: Of so many changed words one may mix scripts.
+MIXED_WORDS = 5
+#: Lines kept at each step of the search over chains, where no chain so far leaves a line without oddities.
+BEAM = 3
 LOST = "�"
 
 # Single-byte encodings in which UTF-8 is commonly misread, as Python names.
-UTF8_READ_AS = ["cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "gbk", "cp1253", "cp1254", "iso8859_2", "koi8_r"]
+UTF8_READ_AS = ["cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "gbk", "cp1253", "cp1254", "iso8859_2", "koi8_r", "cp1255", "cp1256", "cp1257"]
 # Fixed values: (read as, written in) for misreadings among single-byte encodings.
 READ_AS_WRITTEN_IN = [
     ("cp1252", "mac_roman"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("mac_roman", "cp1252"),
@@ -188,17 +196,19 @@ class Model:
         return Model, (self.dictionaries, self.alphabet, self.words)
 
     @classmethod
-    def train(cls, rows: Iterable[tuple[str | None, str]]) -> Model:
-        """rows: (language, text). Works for few or no rows too."""
+    def train(cls, rows: Iterable[tuple[str | None, str]], chars: dict[str, int] | None = None, words: dict[str, int] | None = None) -> Model:
+        """rows: (language, text), a sample. chars and words: how often characters beyond ASCII, and words that have
+        some, occur in all texts; without them, in the sample. Works for few or no rows too."""
         by: dict[str, list[str]] = {}
-        chars: Counter = Counter()
         for lang, text in rows:
-            text = text[:SAMPLE_CHARS]
-            chars.update(text)
             by.setdefault(lang or "", []).extend(x for x in text.split("\n") if x.strip())
-        least = 1 if sum(map(len, by.values())) < 500 else 2
-        words = Counter(w for lines in by.values() for x in lines if not x.isascii() for w in _WORDS.findall(x.lower()) if not w.isascii())
-        model = cls({}, "".join(c for c, n in chars.most_common() if n >= least and ord(c) > 127), frozenset(w for w, n in words.most_common(MOST_WORDS) if n >= least))
+        if chars is None or words is None:
+            chars, words = Counter(), Counter()
+            for lines in by.values():
+                for x in lines:
+                    _count(x, chars, words)
+        enough = lambda counts: sorted((c for c, n in counts.items() if n >= LEAST_SHARE * sum(counts.values())), key=lambda c: (-counts[c], c))
+        model = cls({}, "".join(enough(chars)), frozenset(enough(words)[:MOST_WORDS]))
         for lang, lines in by.items():
             samples = [model.encode(x) for x in lines]
             try:
@@ -290,36 +300,58 @@ class Model:
 
     def _plausible(self, old: str, new: str, odd: int) -> bool:
         """A decoding must leave fewer oddities, bring in no characters of scripts that clean texts do not use, and
-        change no word into one that mixes scripts, nor one that does so by look-alike letters alone."""
+        change few words into ones that mix scripts, and none that does so by look-alike letters alone."""
         if len(self.unusual.findall(new)) >= odd and LOST not in new:
             return False
         if any(c not in self.codes_known and not ("\xa0" <= c < "\u0250" or "\u2000" <= c < "\u2070" or c == LOST) for c in set(new) - set(old)):
             return False
         a, b = old.split(), new.split()
         if len(a) == len(b):
-            return not any(x != y and (_MIXED.search(y) or _MIXED.search(x) and _only_twins(x)) for x, y in zip(a, b))
+            changed = [(x, y) for x, y in zip(a, b) if x != y]
+            # where bytes were lost, single words of a long passage may stay mixed
+            mixed = sum(_MIXED.search(y) is not None for _, y in changed)
+            return mixed * MIXED_WORDS <= len(changed) and not any(_MIXED.search(x) and _only_twins(x) for x, _ in changed)
         return len(_MIXED.findall(new)) <= len(_MIXED.findall(old))
 
-    def repair(self, line: str, usual: frozenset[str] = frozenset(), steps: int = 3) -> tuple[str, list[str]]:
-        """The line as it was written, as far as it can be told, and the decodings undone.
-
-        Decodings that are usual in the text around cost less, and all others more."""
-        chain: list[str] = []
-        cost = -1.0
-        for _ in range(steps):
-            odd = 0 if line.isascii() else len(self.unusual.findall(line))
-            if not odd:
-                break
-            options = [(name, c) for name, c in self.candidates(line) if self._plausible(line, c, odd)]
-            if not options:
-                break
-            plain = self.compressed(line)
-            cost = self.length(line, plain) if cost < 0 else cost
-            best, name, c = min((self._supported(line, c, plain, name) + (STEP_COST if not usual else 0.5 if name in usual else RARE_COST), name, c) for name, c in options)
-            if best >= cost:
-                break
-            cost, line = best, c
-            chain.append(name)
+    def repair(self, line: str, usual: frozenset[str] = frozenset()) -> tuple[str, list[str]]:
+        """The line as it was written, as far as it can be told, and the decodings undone: the chain of least
+        description length, the cost of its steps included; the line as it stands where none is shorter.
+
+        The search goes on from the best line of each step while that gets shorter; where the best one still has
+        oddities, also from the BEAM next ones, which need not be shorter themselves, as two wrong readings may hide
+        each other. Decodings that are usual in the text around cost less, and all others more."""
+        if line.isascii():
+            return line, []
+        odd = len(self.unusual.findall(line))
+        if odd:
+            packed = self.compressed(line)
+            best = (self.length(line, packed), line, [])
+            front, seen = [(best[0], line, [], odd, packed)], {line}
+            while front:
+                found = []
+                for before, x, chain, left, plain in front:
+                    for name, c in self.candidates(x):
+                        if c in seen or not self._plausible(x, c, left):
+                            continue
+                        seen.add(c)
+                        step = STEP_COST if not usual else 0.5 if name in usual else RARE_COST
+                        cost = self._supported(x, c, plain, name) + step + STEP_COST * len(chain)
+                        if cost < float("inf"):
+                            found.append((cost, c, [*chain, name]))
+                found.sort(key=lambda f: (f[0], f[2], f[1]))
+                shorter = bool(found) and found[0][0] < best[0]
+                if shorter:
+                    best = found[0]
+                left = 0 if best[1].isascii() else len(self.unusual.findall(best[1]))
+                if not left or not found:
+                    break
+                onward = found[: 1 if shorter else BEAM]
+                front = [(cost, c, chain, n, self.compressed(c)) for cost, c, chain in onward if not c.isascii() and (n := len(self.unusual.findall(c)))]
+                if not shorter and len(found[0][2]) > len(best[2]) + 1:
+                    break  # two steps on, and nothing shorter
+            line, chain = best[1], best[2]
+        else:
+            chain = []
         line, name = self.reword(line, usual)
         return line, chain + [name] * bool(name)
 
@@ -410,17 +442,52 @@ _CONTROLS = re.compile(r"[\x80-\x9f]")
 _MIXED = re.compile(r"[A-Za-zÀ-ɏ][\u0370-\u03ff\u0400-\u04ff]|[\u0370-\u03ff\u0400-\u04ff][A-Za-zÀ-ɏ]|[\u0370-\u03ff][\u0400-\u04ff]|[\u0400-\u04ff][\u0370-\u03ff]")
 
 
+def _count(text: str, chars: Counter, words: Counter) -> None:
+    """Add the characters beyond ASCII of a text, and its words that have some, in lower case."""
+    if not text.isascii():
+        chars.update(c for c in text if c > "\x7f")
+        words.update(w for w in _WORDS.findall(text.lower()) if not w.isascii())
+
+
+def clean_counts(documents: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """How often characters beyond ASCII, and words that have some, occur in all texts; of the words the MOST_WORDS
+    most frequent ones. Counted on the executors; both results are bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(*counters: Counter) -> pa.RecordBatch:
+            parts = [(kind, x, n) for kind, counter in enumerate(counters) for x, n in counter.items()]
+            kinds, items, numbers = zip(*parts) if parts else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(items, pa.string()), pa.array(numbers, pa.int64())], names=["kind", "item", "n"])
+
+        chars, words = Counter(), Counter()
+        for batch in slices(batches, 0):
+            for text in batch.column(0).to_pylist():
+                _count(text, chars, words)
+            if len(words) > COUNTED:
+                yield sent(chars, words)
+                chars, words = Counter(), Counter()
+        yield sent(chars, words)
+
+    texts = documents.select("text").where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    counts = spread(texts).mapInArrow(run, "kind int, item string, n bigint").groupBy("kind", "item").agg(F.sum("n").alias("n"))
+    top = counts.orderBy("kind", F.desc("n"), "item").limit(MOST_WORDS + 0x110000 // 8).collect()
+    return {r["item"]: r["n"] for r in top if r["kind"] == 0}, {r["item"]: r["n"] for r in top if r["kind"] == 1}
+
+
 def train(documents: DataFrame, texts: int = SAMPLE_TEXTS) -> Model:
-    """A model from a bounded sample: at most `texts` documents of each lang value, chosen by a hash of
-    doc_id. documents: doc_id, lang, text; a NULL lang is left out."""
-    docs = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count")).limit(24).collect()}
+    """A model of clean text: characters and words of all documents, and dictionaries from a bounded sample of at most
+    `texts` documents of each of SAMPLE_LANGUAGES lang values, chosen by a hash of doc_id, and of SAMPLE_LINES lines of
+    each. documents: doc_id, lang, text; a NULL lang gives no dictionary."""
+    docs = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id").alias("h"), "text")
+    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGUAGES).collect()}
     keep = F.lit(False)
     for lang, n in counts.items():
         share = min(1.0, 1.2 * texts / n)
         keep = keep | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)))
-    rows = docs.where(keep).orderBy("lang", "h").limit(24 * 2 * texts).collect()
-    return Model.train((r["lang"], r["text"]) for r in rows)
+    lines = F.array_sort(F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(x).alias("h"), F.substring(x, 1, SAMPLE_CHARS).alias("x"))))
+    some = F.array_join(F.transform(F.slice(lines, 1, SAMPLE_LINES), lambda x: x["x"]), "\n")
+    rows = docs.where(keep).select("lang", "h", some.alias("text")).orderBy("lang", "h").limit(SAMPLE_LANGUAGES * 2 * texts).collect()
+    return Model.train(((r["lang"], r["text"]) for r in rows), *clean_counts(documents))
 
 
 def restore_fields(rows: DataFrame, key: str, fields: list[str], model: Model) -> DataFrame:

@@ -4,7 +4,9 @@ Method: for every term the gaps between its recurrences and, for lags up to the
 document, the autocorrelation of the word sequence; unnaturally dense or regular recurrence marks
 stuffed words, and so do lists of many different words without function words, links and
 tags. A document is a case if real sentences hold less than a quarter of its words and
-stuffed words most of the rest.
+stuffed words most of the rest. Words that recur at one distance all through a text are stuffed even where
+function words are strewn among them. Lines of logs, orders and program code count for neither.
+Texts written without spaces are read character by character.
 
 Lags up to LAG are counted one by one. For longer ones, Fourier transforms of random signs of the
 words estimate all lags of a document at once, and the highest are counted exactly.
@@ -38,7 +40,13 @@ le la les de du et que un une pour dans sur nous vous est au aux par avec pas se
 el los las una por para con del al se lo su está no más ya como pero desde porque hasta qué
 o os a as um uma com na em do da dos das é são às foi que não fará até está segundo
 и в на не что по из с до за его её он она мы вы я но а к у от для был была было только снова кто потому
+het een zijn wij aan deze ook naar bij voor wordt hebben heeft niet maar
+il di che non sono della delle nel gli questo anche più alla
+się nie jest że jak ale przez oraz przed może
+och att det som inte är på för av med har
 """.split()
+# Frequent function characters of Chinese and Japanese, whose texts are read character by character.
+FUNCTION_CHARACTERS = "的了是在我有和就不人都也很到说要去你会着没看这个那他她它们为以与而の に は を た が で て と し れ さ も か ら".replace(" ", "")
 #: Words to each side of a word that are looked at to tell whether it stands in a sentence.
 REACH = 6
 #: Function words within that window that make a sentence.
@@ -49,6 +57,11 @@ LAG = 24
 REGULAR, REPEATS = 0.2, 3.0
 #: Random signs of a word in the estimate of the autocorrelation, and lags counted after it.
 SIGNS, TOP_LAGS = 4, 4
+#: Autocorrelation from which words that recur at one distance are stuffed though function words stand among them,
+#: and how often the distance must fit into the text: a text that is there twice is no stuffing.
+PERIODIC, PERIODS = 0.5, 4
+#: Share of the tokens of a line from which signs of program code make it a record.
+CODE_SHARE = 0.2
 #: Share of words in sentences below which a document can be a case.
 SENTENCES = 0.25
 #: Share of stuffed words from which it is one.
@@ -63,8 +76,10 @@ _TIMED = re.compile(r"\W*(?:<\w+>)?\d{1,2}[:.]\d{2}")
 LISTED = 0.75
 #: Words up to which a line that begins with a time or a count is a record.
 RECORD_WORDS = 20
-_MARK = re.compile(r"[/|»;,>·•]$|^[/|»·•]")
+_MARK = re.compile(r"[/|»;,>·•、，；]$|^[/|»·•、，；]")
 _EDGE = re.compile(r"^\W+|\W+$")
+_CODE = re.compile(r"^[{}]+[;,]?$|^\w[\w.]*\(|[=!<>+*/-]=|^=$|=>|->|::|\)[;{:]$")
+_UNSPACED = re.compile("([\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff])")
 #: Stands for a line break among the words; a private-use character, read as a line break where a text holds it.
 NEWLINE = "\ue00a"
 
@@ -72,7 +87,7 @@ NEWLINE = "\ue00a"
 def _token_traits(tokens: np.ndarray) -> tuple[np.ndarray, ...]:
     """Per distinct token: number of its bare form (-1: none), and what it looks like."""
     bare = [_EDGE.sub("", t).lower() for t in tokens]
-    functions = set(FUNCTION_WORDS)
+    functions = {*FUNCTION_WORDS, *FUNCTION_CHARACTERS}
     form = pd.factorize(np.array(bare, dtype=object))[0] if len(bare) else np.empty(0, int)
     traits = [
         np.array([t == NEWLINE for t in tokens], bool),
@@ -81,9 +96,10 @@ def _token_traits(tokens: np.ndarray) -> tuple[np.ndarray, ...]:
         np.array([bool(_TAG.match(t)) for t in tokens], bool),
         np.array([bool(_RECORD.match(t)) for t in tokens], bool),
         np.array([bool(_TIMED.match(t)) for t in tokens], bool),
-        np.array([t[-1:] in ".!?…" and len(b) > 1 for t, b in zip(tokens, bare)], bool),
+        np.array([t[-1:] in ".!?…" and len(b) > 1 or t[-1:] in "。！？" for t, b in zip(tokens, bare)], bool),
         np.array([not b for b in bare], bool),
         np.array([bool(_MARK.search(t)) for t in tokens], bool),
+        np.array([bool(_CODE.search(t)) and not _LINK.search(t) for t in tokens], bool),
         pd.util.hash_array(np.array(bare, dtype=object), categorize=False),
     ]
     return form, *traits
@@ -116,13 +132,13 @@ def features(texts: list[str | None]) -> pd.DataFrame:
     flat: list[str] = []
     n = np.zeros(len(texts), dtype=np.int64)
     for k, t in enumerate(texts):
-        own = t.replace("\n", f" {NEWLINE} ").split() if t else []
+        own = _UNSPACED.sub(r" \1 ", t).replace("\n", f" {NEWLINE} ").split() if t else []
         n[k] = len(own)
         flat += own
     if not flat:
         return pd.DataFrame({c.split()[0]: np.zeros(len(texts), "int32" if "int" in c else float) for c in COLUMNS.split(", ")})
     codes, uniques = pd.factorize(np.array(flat, dtype=object))
-    form, newline, function, link, tag, record, timed, ends, mark_only, separator, hashed = (x[codes] for x in _token_traits(uniques))
+    form, newline, function, link, tag, record, timed, ends, mark_only, separator, code, hashed = (x[codes] for x in _token_traits(uniques))
     doc = np.repeat(np.arange(len(texts)), n)
 
     # lines that begin like a record (log, order list, agenda) hold neither sentences nor stuffing
@@ -145,6 +161,9 @@ def features(texts: list[str | None]) -> pd.DataFrame:
     across = at.groupby(["d", "f"]).line.transform("nunique").to_numpy() > 1
     share_across = np.bincount(at.d[across], minlength=len(texts)) / np.maximum(np.bincount(doc[counted], minlength=len(texts)), 1)
     in_record &= ~((share_across >= LISTED)[doc] & ~is_timed[line_id])
+    # lines of program code are records too
+    is_code = np.bincount(line_id[code & word], minlength=len(is_record)) >= CODE_SHARE * np.maximum(np.bincount(line_id[word], minlength=len(is_record)), 1)
+    in_record |= is_code[line_id] & word & ~link
 
     # the word sequence without line breaks
     keep = np.flatnonzero(word)
@@ -181,23 +200,39 @@ def features(texts: list[str | None]) -> pd.DataFrame:
     step = np.where(same, pos[order][1:] - pos[order][:-1], 1 << 30)
     gap[order[1:]] = step
     gap[order[:-1]] = np.minimum(gap[order[:-1]], step)
-    # regularity: the highest autocorrelation over all lags
-    regular = np.zeros(len(texts))
+    # regularity: the highest autocorrelation over all lags; period: the lag that has it, of those that fit in PERIODS times
+    regular, periodic, period = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+
+    def seen(lag: np.ndarray, strength: np.ndarray) -> None:
+        nonlocal regular
+        regular = np.maximum(regular, strength)
+        better = (strength > periodic) & (lag > 0) & (lag * PERIODS <= total)
+        periodic[better], period[better] = strength[better], lag[better]
+
     for lag in range(1, LAG + 1):
         hit = np.zeros(len(keep), bool)
         hit[lag:] = (f[lag:] == f[:-lag]) & (d[lag:] == d[:-lag]) & named[lag:]
-        regular = np.maximum(regular, np.bincount(d[hit], minlength=len(texts)) / np.maximum(total - lag, 1))
-    for lag in _top_lags(hashed[keep], named, total):
+        seen(np.full(len(texts), lag), np.bincount(d[hit], minlength=len(texts)) / np.maximum(total - lag, 1))
+
+    def met(lag: np.ndarray) -> np.ndarray:
+        """Places of words that recur at the lag of their document."""
         to = np.minimum(i + lag[d], len(keep) - 1)
-        hit = named & (lag[d] > 0) & (d[to] == d) & (pos + lag[d] == pos[to]) & (f[to] == f)
-        regular = np.maximum(regular, np.bincount(d[hit], minlength=len(texts)) / np.maximum(np.maximum(total - lag, total / 2), 1))
+        return named & (lag[d] > 0) & (d[to] == d) & (pos + lag[d] == pos[to]) & (f[to] == f)
+
+    for lag in _top_lags(hashed[keep], named, total):
+        seen(lag, np.bincount(d[met(lag)], minlength=len(texts)) / np.maximum(np.maximum(total - lag, total / 2), 1))
+    ahead = met(np.where(periodic >= PERIODIC, period, 0))
+    beats = ahead.copy()
+    beats[np.flatnonzero(ahead) + period[d[ahead]]] = True
+    # an unnaturally regular beat is no sentence, whatever function words it holds
+    sentence &= ~beats
     # places per different word, outside sentences and records
     loose = np.flatnonzero(named & ~sentence & ~in_record[keep] & ~fw.astype(bool))
     most = int(f.max()) + 1 if len(f) else 1
     forms = np.unique(d[loose] * most + f[loose]) // most
     repeats = np.bincount(d[loose], minlength=len(texts)) / np.maximum(np.bincount(forms, minlength=len(texts)), 1)
     anywhere = (regular >= REGULAR) | (repeats >= REPEATS)
-    recurs = named & ((gap <= LAG) | (gap < 1 << 30) & anywhere[d]) & ~fw.astype(bool)
+    recurs = named & (((gap <= LAG) | (gap < 1 << 30) & anywhere[d]) & ~fw.astype(bool) | beats)
     # listings: words between list marks, line breaks included, without function words around
     breaks = np.zeros(len(keep), bool)
     breaks[:-1] = (np.diff(keep) > 1) & (d[1:] == d[:-1])
