@@ -348,8 +348,8 @@ def _met(rows: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: hashes of the texts of which one probes a partition that the other is indexed under."""
     rows = rows.repartition("key").dropDuplicates(["key", "k1", "packed"])
     bit = lambda c, at, width: F.shiftrightunsigned(F.col(c), at).bitwiseAND(F.lit((1 << width) - 1))
-    # rand() keeps the two filters, each one expression, above the exchange, so that both sides read the same one
-    above = lambda cond: F.when(F.rand(1) >= 0, cond)
+    # a number that is set at run time keeps the two filters above the exchange, so that both sides read the same one
+    above = lambda cond: F.when(F.spark_partition_id() >= 0, cond)
     probe = rows.where(above(bit("packed", 57, 6) > 0)).select("key", F.col("k1").alias("a"), F.col("packed").alias("p"))
     index = rows.where(above(bit("packed", 56, 1) == 0)).select(F.col("key").alias("_key"), F.col("k1").alias("b"), F.col("packed").alias("q"))
     lacks = F.bit_count(bit("p", 0, 32).bitwiseAND(F.bitwise_not(bit("q", 0, 32))))
