@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from html.parser import HTMLParser
 
@@ -16,21 +15,36 @@ DROPPED = [0x034F, 0x200B, 0x200C, 0x200D, 0xFEFF, 0x2060, 0x00AD]
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
 
-def clean_characters(text: str | None) -> str:
-    """Compatibility form; newlines kept, format characters dropped, other white space as single spaces, none
-    around newlines, at most one blank line in a row, no white space at the ends. NULL gives ''."""
-    if not text:
-        return ""
-    kept = []
-    for c in unicodedata.normalize("NFKC", text):
+class _Characters(dict):
+    """For str.translate: format characters are dropped, white space but the newline is a space; settled once per character."""
+
+    def __missing__(self, o: int) -> str | None:
+        c = chr(o)
         if c == "\n":
-            kept.append(c)
-        elif ord(c) in DROPPED or unicodedata.category(c) == "Cf":
-            continue
+            self[o] = c
+        elif unicodedata.category(c) == "Cf":
+            self[o] = None
         else:
-            kept.append(" " if c.isspace() else c)
-    out = re.sub(" *\n *", "\n", re.sub(" {2,}", " ", "".join(kept)))
-    return "\n".join(line.strip() for line in re.sub("\n{3,}", "\n\n", out).splitlines()).strip()
+            self[o] = " " if c.isspace() else c
+        return self[o]
+
+
+_CHARACTERS = _Characters(dict.fromkeys(DROPPED))
+
+
+def plain_characters(text: str | None) -> str:
+    """Compatibility form without format characters, white space but newlines as spaces. NULL gives ''."""
+    return unicodedata.normalize("NFKC", text).translate(_CHARACTERS) if text else ""
+
+
+def clean_characters(text: str | None) -> str:
+    """plain_characters() with single spaces, none at the ends of lines, no two blank lines in a row and none at the ends."""
+    lines = (" ".join(x.split()) for x in plain_characters(text).split("\n"))
+    out: list[str] = []
+    for line in lines:
+        if line or out and out[-1]:
+            out.append(line)
+    return "\n".join(out).rstrip("\n")
 
 
 class _Text(HTMLParser):
@@ -71,8 +85,8 @@ def html_text(markup: str | None) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def _cleaned(s: pd.Series) -> pd.Series:
-    return s.map(clean_characters)
+def _plain(s: pd.Series) -> pd.Series:
+    return s.map(plain_characters)
 
 
 @F.pandas_udf(T.StringType())
@@ -81,11 +95,12 @@ def _visible(s: pd.Series) -> pd.Series:
 
 
 def clean_text(text: Column) -> Column:
-    """clean_characters as a Column; plain ASCII is cleaned by built-in functions with the same result."""
-    plain = F.regexp_replace(text, "[\\x09\\x0b-\\x0d\\x1c-\\x1f]", " ")
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, " {2,}", " "), " *\\n *", "\n"), "\\n{3,}", "\n\n")
+    """clean_characters as a Column: Python sees only values beyond ASCII and only for their characters; spaces and
+    lines are the JVM's business."""
     other = F.when(text.rlike(r"[^\x00-\x7f]"), text)
-    return F.when(other.isNull(), F.coalesce(F.trim(plain, F.lit(" \n")), F.lit(""))).otherwise(_cleaned(other))
+    plain = F.when(other.isNull(), F.regexp_replace(text, "[\\x09\\x0b-\\x0d\\x1c-\\x1f]", " ")).otherwise(_plain(other))
+    spaced = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, " {2,}", " "), " *\\n *", "\n"), "\\n{3,}", "\n\n")
+    return F.coalesce(F.trim(spaced, F.lit(" \n")), F.lit(""))
 
 
 def visible_text(markup: Column) -> Column:

@@ -18,6 +18,8 @@ SPAM, HAM = 1.0, 0.0
 TEST_SHARE = 0.2
 HAM_MOST = 1396
 VOCABULARY = 1 << 22
+#: Two or more letters, digits or underscores.
+WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def clean_labels(rows: DataFrame) -> DataFrame:
@@ -26,23 +28,40 @@ def clean_labels(rows: DataFrame) -> DataFrame:
     return rows.where(label.isin("spam", "ham") & F.col("text").isNotNull()).withColumns({"label": label, "y": F.when(label == "spam", SPAM).otherwise(HAM)})
 
 
-def split(rows: DataFrame, key: str, share: float = TEST_SHARE) -> DataFrame:
-    """rows with is_test: a stratified split. The place of a row in its label is decided by a hash of its key.
+def first_by_hash(rows: DataFrame, key: str, group: str, quota: Column) -> DataFrame:
+    """rows with _first: whether a row is among the first of its group by md5 of its key; quota says how many these
+    are, as a function of n, the rows of the group. Exact, and the same in any engine that has md5.
+
+    A histogram over the first four digits of the hash finds where each group is cut; only rows in the one bucket that
+    the cut goes through are ranked, so no group is sorted as a whole. A NULL key counts as ''."""
+    h = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    rows = rows.withColumns({"_h": h, "_b": F.substring(h, 1, 4)})
+    bars = rows.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy(group)  # over at most 65,536 bars
+    bars = bars.withColumns({"_to": F.sum("_n").over(own.orderBy("_b")), "n": F.sum("_n").over(own)}).withColumn("_q", quota)
+    cuts = bars.where("_to - _n < _q and _to >= _q").select(F.col(group).alias("_g"), F.col("_b").alias("_cut"), (F.col("_q") - F.col("_to") + F.col("_n")).alias("_rest"))
+    all_in = bars.groupBy(F.col(group).alias("_g2")).agg((F.max("_q") > F.max("n")).alias("_all"))
+    placed = rows.join(cuts, F.col(group).eqNullSafe(F.col("_g")), "left").join(all_in, F.col(group).eqNullSafe(F.col("_g2")), "left")
+    clear = placed.where("_cut is null or _b <> _cut").withColumn("_first", F.col("_all") | F.coalesce(F.col("_b") < F.col("_cut"), F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("_h", key))
+    at_cut = placed.where("_b = _cut").withColumn("_first", rank <= F.col("_rest"))
+    return clear.unionByName(at_cut).drop("_h", "_b", "_g", "_g2", "_cut", "_rest", "_all")
 
-    Exact counts per label would need one sorted group per label; here each row decides by its hash, so
-    shares are right on average and no group is gathered."""
-    return rows.withColumn("is_test", F.pmod(F.xxhash64(F.col(key), F.lit(42)), F.lit(10_000)) < int(share * 10_000))
+
+def split(rows: DataFrame, key: str, share: float = TEST_SHARE) -> DataFrame:
+    """rows with is_test: a stratified split. Of each label exactly the share, rounded, is in the test part: the first
+    rows by a hash of their key."""
+    return first_by_hash(rows, key, "label", F.floor(F.col("n") * share + 0.5)).withColumnRenamed("_first", "is_test")
 
 
 def at_most(rows: DataFrame, key: str, condition: Column, most: int = HAM_MOST) -> DataFrame:
-    """rows of which those with the condition are thinned to about `most`, by a hash of their key."""
-    n = rows.where(condition).count()
-    share = min(1.0, most / max(n, 1))
-    return rows.where(~condition | (F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000)))
+    """rows of which those with the condition are thinned to `most`, the first by a hash of their key."""
+    marked = rows.withColumn("_group", F.coalesce(condition, F.lit(False)))
+    return first_by_hash(marked, key, "_group", F.when(F.col("_group"), F.lit(most)).otherwise(F.col("n") + 1).cast("bigint")).where("_first").drop("_first", "_group")
 
 
 def _tokens(bigrams: bool) -> list:
-    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True)
+    words = RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD, gaps=False, toLowercase=True)
     if not bigrams:
         return [words, SQLTransformer(statement="SELECT *, words AS terms FROM __THIS__")]
     return [words, NGram(n=2, inputCol="words", outputCol="pairs"), SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__")]
@@ -51,11 +70,10 @@ def _tokens(bigrams: bool) -> list:
 def fit(rows: DataFrame, classifier, bigrams: bool, least_documents: int, normalise: bool = True) -> PipelineModel:
     """TF-IDF (smoothed, plus one, unit length) and the classifier on top, fitted. rows: text, y."""
     counts = Pipeline(stages=[*_tokens(bigrams), CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(least_documents), vocabSize=VOCABULARY), IDF(inputCol="counts", outputCol="idf")]).fit(rows)
-    vectorizer, idf = counts.stages[-2], counts.stages[-1]
+    idf = counts.stages[-1]
     weights = ElementwiseProduct(inputCol="counts", outputCol="weighted", scalingVec=Vectors.dense([x + 1 for x in idf.idf.toArray()]))
     unit = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
     stages: list[Transformer] = [*counts.stages[:-1], weights, unit]
-    assert vectorizer.vocabulary is not None
     return PipelineModel(stages=[*stages, classifier.fit(PipelineModel(stages).transform(rows))])
 
 
@@ -64,7 +82,7 @@ def complement_bayes(rows: DataFrame) -> PipelineModel:
 
 
 def multinomial_bayes(rows: DataFrame) -> PipelineModel:
-    """On about as many ham rows as spam usually has; see predict() for the class priors."""
+    """On as many ham rows as spam usually has; see predict() for the class priors."""
     some = at_most(rows, "text", F.col("y") == HAM)
     model = fit(some, NaiveBayes(modelType="multinomial", labelCol="y", smoothing=1.0), True, 2)
     n = {r["y"]: r["count"] for r in some.groupBy("y").count().collect()}
@@ -150,7 +168,7 @@ def report(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def document_frequency(rows: DataFrame, least: int = 2) -> DataFrame:
     """(term, df, idf) of the words of two or more letters or digits in at least `least` texts."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     n = rows.count()
     df = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
     return df.select("term", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))

@@ -15,6 +15,7 @@ from mailloom.operators import urls
 MODELS = ["gpt-5-nano", "gpt-4.1-nano", "gpt-4o-mini"]
 TTL_SECONDS = 300
 REPLY = "probability string, indicators array<string>, reasoning string"
+# The texts of the prompt.
 _INSTRUCTIONS = """\
 **Common phishing indicators to look for:**
 - Spoofed or suspicious sender information
@@ -103,14 +104,21 @@ def stub(prompts: list[str]) -> list[str]:
 
 def ask(requests: DataFrame, provider: Callable[[list[str]], list[str]] = stub) -> DataFrame:
     """requests (model, digest, prompt) with raw reply or error. The provider gets one batch of prompts after the
-    other on the executors; a batch that fails leaves its error in its rows and not in others."""
+    other on the executors; where a batch fails its prompts are asked one by one, so that an error stays with its row."""
+
+    def one(p: str) -> tuple[str | None, str | None]:
+        try:
+            return provider([p])[0], None
+        except Exception as e:  # noqa: BLE001
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             try:
                 b["raw"], b["error"] = provider(b["prompt"].tolist()), None
-            except Exception as e:  # noqa: BLE001
-                b["raw"], b["error"] = None, f"{type(e).__name__}: {e}"
+            except Exception:  # noqa: BLE001
+                told = [one(p) for p in b["prompt"]]
+                b["raw"], b["error"] = [r for r, _ in told], [e for _, e in told]
             yield b[["model", "digest", "raw", "error"]]
 
     return requests.select("model", "digest", "prompt").mapInPandas(run, "model string, digest string, raw string, error string")
@@ -124,6 +132,26 @@ def get_or_create(requests: DataFrame, cache: DataFrame, at: Column, provider=st
     return hits.withColumns({"error": F.lit(None).cast("string"), "cached": F.lit(True)}).unionByName(answered.withColumn("cached", F.lit(False)))
 
 
+def review_batches(batches: DataFrame, cache: DataFrame, at: Column, default: str | None = None, provider=stub, ttl: int = TTL_SECONDS) -> DataFrame:
+    """(batch_id, error, results) of batches (batch_id, items: array<struct<parsed: struct<from_addr, subject, body,
+    attachments>, model>>): results is an array of struct<pos, model, label, score> in the order of the items.
+
+    An item without a model has the default of its batch. A batch in which an item fails, for a model that is not
+    allowed, a provider's error or a reply that is no JSON object, has no results but the first of its errors.
+    Equal items of any batch are asked once."""
+    each = batches.select("batch_id", F.posexplode("items").alias("pos", "i")).select("batch_id", "pos", "i.parsed.*", F.coalesce(F.when(F.col("i.model") != "", F.col("i.model")), F.lit(default)).alias("_asked"))
+    fields = ("from_addr", "subject", "body", "attachments")
+    each = each.withColumns({"model": model_or_default(F.col("_asked")), "digest": digest(*fields), "prompt": prompt(*map(F.col, fields))})
+    known = get_or_create(each.where("model is not null"), cache, at, provider, ttl)
+    reply = known.withColumn("p", parse_reply(F.col("payload"))).withColumn("e", F.coalesce("error", "p.error"))
+    v = verdict(F.col("p.reply.probability"), F.col("p.reply.indicators"), F.col("p.reply.reasoning"))
+    told = reply.select("batch_id", "pos", F.col("_asked"), "model", v.alias("v"), "e").select("batch_id", "pos", "model", "v.label", "v.score", "e")
+    bad = each.where("model is null").select("batch_id", "pos", "model", F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("score"), F.concat(F.lit("model not allowed: "), F.col("_asked")).alias("e"))
+    # a batch is one request, so its items are few
+    out = told.unionByName(bad).groupBy("batch_id").agg(F.min_by("e", F.when(F.col("e").isNotNull(), F.col("pos"))).alias("error"), F.sort_array(F.collect_list(F.struct("pos", "model", "label", "score"))).alias("results"))
+    return out.select("batch_id", "error", F.when(F.col("error").isNull(), F.col("results")).alias("results"))
+
+
 def cache_hits(requests: DataFrame, replies: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
     """requests (request_id, model, digest, requested_at) with hit: whether the newest earlier reply to the same model
     and digest is at most ttl seconds old. replies: model, digest, replied_at.

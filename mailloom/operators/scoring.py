@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailloom.functions import domains, packed
-from mailloom.operators import attachments, confusables, identity, urls, wording
+from mailloom.operators import attachments, confusables, identity, reasons, urls, wording
 
 HIGH, MEDIUM = 10, 5
 WHITELIST_POINTS = 4
@@ -18,14 +18,6 @@ def label_of(score: Column) -> Column:
     return F.when(score >= HIGH, "HIGH").when(score >= MEDIUM, "MEDIUM").otherwise("LOW")
 
 
-def _points(n: Column, text: Column) -> Column:
-    return F.concat(F.lit("+"), n.cast("string"), F.when(n == 1, " point: ").otherwise(" points: "), text)
-
-
-def _always_plural(n: Column, text: Column) -> Column:
-    return F.concat(F.lit("+"), n.cast("string"), F.lit(" points: "), text)
-
-
 def signals(
     emails: DataFrame,
     brands: Sequence[str] = tuple(n for n, _ in identity.BRANDS),
@@ -64,35 +56,34 @@ def signals(
 
 
 def score(emails: DataFrame, whitelist: Sequence[str] = tuple(urls.WHITELIST), **options) -> DataFrame:
-    """emails with score, label, explanations, matched_keywords and suspicious_urls.
+    """emails with score, label, reasons (structs), explanations (their lines), matched_keywords and suspicious_urls.
 
     The order of the explanations is identity, routing, lexical, position, links, attachments, whitelist.
     The whitelist takes 4 points off, not below 0, where there are any."""
     e = signals(emails, **options)
-    lex = F.col("lexical")
-    one = lambda cond, x: F.when(cond, F.array(x)).otherwise(F.array().cast("array<string>"))
-    c = F.col
+    lex, c = F.col("lexical"), F.col
+    none = F.array().cast(reasons.SHAPE)
+    one = lambda cond, *r: F.when(cond, F.array(reasons.reason(*r))).otherwise(none)
+    each = lambda items, of: F.transform(items, of)
     location = lambda h: F.when(h["location"] == "early_body", "early body").otherwise(h["location"])
     bad, odd = attachments.dangerous(c("files")), attachments.odd_archives(c("files"))
     applied = F.filter("links", lambda x: x["applied"] > 0)
-    is_bad = lambda x: F.lower(x).rlike(r"\.(exe|scr|pif)$")
-    is_odd = lambda x: F.lower(x).rlike(r"\.(zip|rar|7z)$") & (F.length(x) > attachments.LONG_NAME)
-    lines = F.concat(
-        one(c("reply_mismatch").isNotNull(), F.concat(F.lit("+3 points: Reply-to domain differs from From domain ("), c("reply_mismatch"), F.lit(")"))),
-        one(c("return_mismatch").isNotNull(), F.concat(F.lit("+2 points: Return-path domain differs from From domain ("), c("return_mismatch"), F.lit(")"))),
-        one(c("confusable").isNotNull(), F.concat(F.lit("+3 points: From domain contains IDN or confusable characters ("), c("confusable"), F.lit(" in "), c("from_host"), F.lit(")"))),
-        one(F.size("brands") > 0, F.concat(F.lit("+2 points: Free email provider ("), c("from_dom"), F.lit(") with brand mention ("), F.array_join("brands", ", "), F.lit(")"))),
-        one(c("received_reason").isNotNull(), F.concat(F.lit("+2 points: Anomalous Received headers ("), c("received_reason"), F.lit(")"))),
-        one(c("msgid_mismatch").isNotNull(), F.concat(F.lit("+1 point: Message-ID domain mismatch ("), c("msgid_mismatch"), F.lit(")"))),
-        one(lex > 0, _always_plural(lex, F.concat(F.lit("Matched phishing language ("), F.array_join(F.transform("phrases", lambda h: h["label"]), ", "), F.lit(")")))),
-        F.transform("places", lambda h: _always_plural(h["points"], F.concat(F.lit("Keyword '"), h["keyword"], F.lit("' in "), location(h)))),
-        F.transform(applied, lambda x: _always_plural(x["applied"], F.concat(F.lit("Suspicious URL "), x["url"], F.lit(" ("), F.array_join(x["reasons"], "; "), F.lit(")")))),
-        F.flatten(
-            F.transform(
-                "files",
-                lambda x: F.array_compact(F.array(F.when(is_bad(x), F.concat(F.lit("+4 points: Dangerous attachment extension in "), x)), F.when(is_odd(x), F.concat(F.lit("+2 points: Suspicious archive attachment "), x)))),
-            )
-        ),
+
+    def of_file(x: Column) -> Column:
+        one_bad, one_odd = (F.size(f(F.array(x))) > 0 for f in (attachments.dangerous, attachments.odd_archives))
+        return F.array_compact(F.array(F.when(one_bad, reasons.reason("attachment", 4, x)), F.when(one_odd, reasons.reason("archive", 2, x))))
+
+    found = F.concat(
+        one(c("reply_mismatch").isNotNull(), "reply_to", 3, c("reply_mismatch")),
+        one(c("return_mismatch").isNotNull(), "return_path", 2, c("return_mismatch")),
+        one(c("confusable").isNotNull(), "confusable", 3, c("confusable"), c("from_host")),
+        one(F.size("brands") > 0, "freemail", 2, c("from_dom"), F.array_join("brands", ", ")),
+        one(c("received_reason").isNotNull(), "received", 2, c("received_reason")),
+        one(c("msgid_mismatch").isNotNull(), "message_id", 1, c("msgid_mismatch")),
+        one(lex > 0, "phrases", lex, F.array_join(F.transform("phrases", lambda h: h["label"]), ", ")),
+        each("places", lambda h: reasons.reason("place", h["points"], h["keyword"], location(h))),
+        each(applied, lambda x: reasons.reason("link", x["applied"], x["url"], F.array_join(x["reasons"], "; "))),
+        F.flatten(each("files", of_file)),
     )
     total = (
         F.when(c("reply_mismatch").isNotNull(), 3).otherwise(0)
@@ -107,14 +98,15 @@ def score(emails: DataFrame, whitelist: Sequence[str] = tuple(urls.WHITELIST), *
         + 4 * F.size(bad)
         + 2 * F.size(odd)
     )
-    e = e.withColumns({"_raw": total, "_lines": lines})
+    e = e.withColumns({"_raw": total, "_found": found})
     floor = c("from_dom").isin(list(whitelist)) & (c("_raw") > 0)
+    e = e.withColumn("reasons", F.when(floor, F.concat("_found", F.array(reasons.reason("whitelist", -WHITELIST_POINTS, c("from_dom"))))).otherwise(c("_found")))
     e = e.withColumns(
         {
             "score": F.when(floor, F.greatest(F.lit(0), c("_raw") - WHITELIST_POINTS)).otherwise(c("_raw")).cast("int"),
-            "explanations": F.when(floor, F.concat("_lines", F.array(F.concat(F.lit("-4 points: "), c("from_dom"), F.lit(" in whitelist"))))).otherwise(c("_lines")),
+            "explanations": F.transform("reasons", reasons.line),
             "matched_keywords": F.transform("phrases", lambda h: h["phrase"]),
             "suspicious_urls": F.transform("links", lambda x: F.struct(x["url"], x["reasons"], x["score"])),
         }
     )
-    return e.withColumn("label", label_of(c("score"))).drop("_raw", "_lines")
+    return e.withColumn("label", label_of(c("score"))).drop("_raw", "_found")

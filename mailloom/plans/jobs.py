@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from mailloom.operators import learning, scoring
 from mailloom.plans.ship import ship
+from mailloom.plans.storage import cut
 from mailloom.sources import messages
 
 
 def train_all(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
     """Train and save every registered model on rows (text, label); (model, label, precision, recall, f1, accuracy, ...)
     on the part held out by a hash of the text."""
-    split = learning.split(learning.clean_labels(rows), "text")
+    split = cut(learning.split(learning.clean_labels(rows), "text").select("text", "label", "y", "is_test"))
     out = None
     for name, (file, trainer) in learning.REGISTRY.items():
         model = trainer(split.where("not is_test"))

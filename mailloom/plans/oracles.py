@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from mailloom.functions.domains import SUFFIXES
-from mailloom.operators import explain, urls, wording
+from mailloom.operators import confusables, explain, reasons, urls, wording
 from mailloom.operators.identity import BRANDS as KNOWN
-from mailloom.operators.reviewer import _HEAD, _INSTRUCTIONS
+from mailloom.operators.identity import FREEMAIL as FREE
+from mailloom.operators.reviewer import _HEAD, _INSTRUCTIONS, MODELS
 
 FREEMAIL = "('co.example', 'havurship-desk.test', 'ildonpay.invalid', 'maribank.example', 'ulmamart-desk.test')"
 WHITELIST = "('co.example', 'holuvor-office.example')"
@@ -90,10 +93,12 @@ body_urls AS (SELECT email_id, CAST(pos AS INT) AS pos, url, CASE WHEN fu THEN r
  CASE WHEN fu THEN translate(lower(regexp_extract(regexp_extract(nl, '([^@]*)$', 1), '^(\[[^\]]*\]|[^:]*)', 1)), '[]', '') ELSE '' END AS host,
  regexp_replace(CASE WHEN fu THEN regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) ELSE regexp_extract(url, '^([^?#]*)', 1) END, ';[^/]*$', '') AS path,
  regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query_str FROM x2 WHERE contains(nl, '[') = contains(nl, ']'))"""
-BRANDS = f"""bw AS (SELECT email_id, unnest(string_split(trim(regexp_replace(lower(txt), '[^a-z0-9]+', ' ', 'g')), ' ')) AS w FROM m WHERE fd IN {FREEMAIL}),
-bt AS (SELECT email_id, trim(regexp_replace(lower(txt), '[^a-z0-9]+', ' ', 'g')) AS t FROM m WHERE fd IN {FREEMAIL}),
-bb AS (SELECT DISTINCT lower(brand_name) AS b FROM known_brands),
-bm AS (SELECT DISTINCT email_id, b FROM (SELECT email_id, b FROM bw, bb WHERE abs(length(w) - length(b)) <= 1 AND levenshtein(w, b) <= 1 UNION ALL SELECT email_id, b FROM bt, bb WHERE contains(t, b)))"""
+# runs of as many words as the brand has, or the brand within the text
+BRANDS = f"""bt AS (SELECT email_id, trim(regexp_replace(lower(txt), '[^a-z0-9]+', ' ', 'g')) AS t FROM m WHERE fd IN {FREEMAIL}),
+bw AS (SELECT *, string_split(t, ' ') AS w FROM bt),
+bb AS (SELECT *, trim(regexp_replace(b, '[^a-z0-9]+', ' ', 'g')) AS q, len(string_split(trim(regexp_replace(b, '[^a-z0-9]+', ' ', 'g')), ' ')) AS n FROM (SELECT DISTINCT lower(brand_name) AS b FROM known_brands)),
+bm AS (SELECT DISTINCT email_id, b FROM bw, bb WHERE q <> '' AND (contains(t, q) OR len(list_filter(list_transform(range(1, greatest(len(w) - n + 2, 2)), lambda i: array_to_string(w[i:i + n - 1], ' ')),
+ lambda x: abs(length(x) - length(q)) <= 1 AND levenshtein(x, q) <= 1)) > 0))"""
 ODD_MSGID = "nullif(regexp_extract(message_id, '@([\\pL\\pN_.-]+)', 1), '')"
 SCORED = f"""{M}, {EXPLODED}, {judged("body_urls")}, {BRANDS},
 u AS (SELECT email_id, sum(applied) AS up FROM k GROUP BY 1), b AS (SELECT email_id, 2 AS bp FROM bm GROUP BY 1), mi AS (SELECT email_id, {strip(ODD_MSGID)} AS mh FROM m),
@@ -109,6 +114,98 @@ PERCENT = "CAST(CASE WHEN score <= 1 THEN greatest(score, 0) * 100.0 ELSE least(
 _by = lambda texts: "CASE label " + " ".join(f"WHEN '{k}' THEN {_s(v)}" for k, v in texts.items()) + " END"
 _TRAIN = "t AS (SELECT *, lower(trim(label)) AS l FROM training WHERE lower(trim(label)) IN ('spam', 'ham') AND text IS NOT NULL)"
 
+
+# hosts as they look: presentation forms in plain letters, then look-alikes, then without accents
+_FORMS = {c: p for c in map(chr, [*range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)]) if len(p := unicodedata.normalize("NFKC", c).lower()) == 1 and p.isascii() and p.isalnum()}
+_LOOKS = {chr(o): text for text, points in confusables.LOOKALIKES.items() if len(text) == 1 for o in points}
+_ZERO = "[" + "".join(f"\\x{{{o:04X}}}" for o in confusables.ZERO_WIDTH) + "]"
+
+
+def conf(h: str) -> str:
+    """Why a host is suspicious; needs a CTE kb(k) of the known domains."""
+    form = f"translate(lower({h}), '{''.join(_FORMS)}', '{''.join(_FORMS.values())}')"
+    look = f"strip_accents(translate({form}, '{''.join(_LOOKS)}', '{''.join(_LOOKS.values())}'))"
+    odd = f"regexp_matches({h}, '[^\\x00-\\x7f]')"
+    return (
+        f"CASE WHEN contains({h}, 'xn--') THEN 'punycode label' WHEN regexp_matches({h}, '{_ZERO}') THEN 'zero-width characters' "
+        f"WHEN {look} <> {h} AND {look} IN (SELECT k FROM kb) THEN 'confusable match for ' || {look} "
+        f"WHEN {odd} AND {look} <> regexp_replace({form}, '[^\\x00-\\x7f]', '', 'g') THEN 'confusable skeleton ' || {look} WHEN {odd} THEN 'non-ascii characters' END"
+    )
+
+
+KB = "kb AS (SELECT lower(brand_domain) AS k FROM known_brands WHERE brand_domain <> '')"
+_REASONS = """array_to_string(list_filter([CASE d WHEN 2 THEN 'Unfamiliar domain structure' WHEN 1 THEN 'Domain differs from sender' END,
+ CASE WHEN t THEN 'High-risk TLD' END, CASE WHEN s THEN 'URL shortener' END, CASE WHEN c > 0 THEN 'Credential-related terms in URL' END], lambda x: x IS NOT NULL), '; ')"""
+
+
+def _fill(template: str, parts: list[str]) -> str:
+    return " || ".join(f"({parts[x]})" if isinstance(x, int) else _s(x) for x in reasons.pieces(template) if x != "")
+
+
+def _line(kind: str, points: str, *parts: str) -> str:
+    word = "' points: '" if kind in reasons.PLURAL else f"CASE WHEN {points} = 1 THEN ' point: ' ELSE ' points: ' END"
+    return f"CASE WHEN {points} > 0 THEN '+' ELSE '' END || {points} || {word} || {_fill(reasons.TEXTS[kind], list(parts))}"
+
+
+def _told(kind: str, points: str, *parts: str) -> str:
+    known = explain.DEFAULTS.get(kind, [])
+    full = [f"coalesce(nullif(trim({p}), ''), {_s(known[i] if i < len(known) else '')})" for i, p in enumerate(parts)]
+    n = f"abs({points})"
+    return f"{n} || CASE WHEN {n} = 1 THEN '-point ' ELSE '-points ' END || CASE WHEN {points} > 0 THEN 'indicator: ' ELSE 'mitigation: ' END || {_fill(explain.SENTENCES[kind].rstrip('. ') + '. Action: ' + explain.ACTIONS[kind], full)}"
+
+
+def _place_of(p: str) -> tuple[str, str]:
+    k, s, b = f"lower({_hit(p)})", "lower(coalesce(subject, ''))", "lower(coalesce(body, ''))"
+    return _place(p), f"CASE WHEN contains({s}, {k}) THEN 'subject' WHEN contains(substr({b}, 1, 400), {k}) THEN 'early body' ELSE 'body' END"
+
+
+def _found() -> list[tuple[str, str, str, list[str]]]:
+    """(condition, kind, points, parts) of the reasons before the links."""
+    out = [
+        ("rd <> fd", "reply_to", "3", ["rd"]), ("pd <> fd", "return_path", "2", ["pd"]), ("cr IS NOT NULL", "confusable", "3", ["cr", "fh"]), ("br IS NOT NULL", "freemail", "2", ["fd", "br"]),
+        ("rr IS NOT NULL", "received", "2", ["rr"]), ("mdom <> fd", "message_id", "1", ["mdom"]), ("lex > 0", "phrases", "lex", ["labels"]),
+    ]
+    for p, _, _ in wording.LEXICON:
+        points, where = _place_of(p)
+        out.append((f"{points} > 0", "place", f"({points})", [_hit(p), where]))
+    return out
+
+
+_BAD = "regexp_matches(lower(attachments), '[.](exe|scr|pif)$')"
+_ODD = "regexp_matches(lower(attachments), '[.](zip|rar|7z)$') AND length(attachments) > 100"
+
+
+def _listed(text) -> str:
+    """The reasons of a message as a list of texts."""
+    before = ", ".join(f"CASE WHEN {cond} THEN {text(kind, points, *parts)} END" for cond, kind, points, parts in _found())
+    links = "ll" if text is _line else "lt"
+    after = f"CASE WHEN {_BAD} THEN {text('attachment', '4', 'attachments')} END, CASE WHEN {_ODD} THEN {text('archive', '2', 'attachments')} END, CASE WHEN fd IN {WHITELIST} AND raw > 0 THEN {text('whitelist', '-4', 'fd')} END"
+    return f"list_filter(list_concat(list_concat([{before}], coalesce({links}, [])), [{after}]), lambda x: x IS NOT NULL)"
+
+
+#: Per message its score and label, `ex`: its reasons as lines, `hu`: as sentences, `us`: its risky links
+EXPLAINED = f"""{SCORED}, {KB},
+la AS (SELECT email_id, list({_line("link", "applied", "url", "rs")} ORDER BY pos, url) FILTER (applied > 0) AS ll, list({_told("link", "applied", "url", "rs")} ORDER BY pos, url) FILTER (applied > 0) AS lt,
+ list(url ORDER BY pos, url) AS us FROM (SELECT *, {_REASONS} AS rs FROM k) GROUP BY 1),
+ba AS (SELECT email_id, string_agg(b, ', ' ORDER BY b) AS br FROM bm GROUP BY 1),
+w0 AS (SELECT m.*, ll, lt, us, br, mdom, raw, sc.score, sc.label, {conf("m.fh")} AS cr, {LEX} AS lex, {LABELS} AS labels,
+ CASE WHEN len(received) > 5 THEN len(received) || ' headers (>5)' WHEN len(list_filter(received, lambda r: length(r) > 1000)) > 0 THEN len(list_filter(received, lambda r: length(r) > 1000)) || ' header(s) with length >1000' END AS rr,
+ list_filter([{", ".join(f"nullif({_hit(p)}, '')" for p, _, _ in wording.LEXICON)}], lambda x: x IS NOT NULL) AS kw
+ FROM m JOIN sc ON sc.email_id = m.email_id JOIN p ON p.email_id = m.email_id LEFT JOIN la ON la.email_id = m.email_id LEFT JOIN ba ON ba.email_id = m.email_id LEFT JOIN md ON md.email_id = m.email_id),
+w1 AS (SELECT *, {_listed(_line)} AS ex, {_listed(_told)} AS hu FROM w0)"""
+_once = lambda x: f"list_filter({x}, lambda e, i: list_position({x}, e) = i)"
+_SUMMARY = f"""{_by(explain.SEVERITY)} || ': composite score ' || score || '. ' || {_by(explain.GUIDANCE)} || CASE WHEN len(kw) > 0 THEN ' Flagged keywords: ' || array_to_string(({_once("kw")})[1:3], ', ') || '.' ELSE '' END"""
+READABLE = f"""WITH {EXPLAINED},
+w2 AS (SELECT *, CASE WHEN len(hu) > 0 THEN hu ELSE [CASE WHEN label = 'LOW' THEN {_s(explain.NOTHING_LOW)} ELSE {_s(explain.NOTHING_ELSE)} END] END AS de,
+ CASE WHEN label = 'LOW' THEN [] ELSE list_filter(list_concat(list_concat([{_s(explain.NEXT_VERIFY)}], list_transform({_once("coalesce(us, [])")}, lambda u: 'Next step: Do not visit ' || u || '; navigate to the destination using a bookmark or manually typed address instead.')),
+ [CASE WHEN len(list_filter(ex, lambda x: contains(lower(x), 'attachment'))) > 0 THEN CASE WHEN attachments <> '' THEN 'Next step: Delete or quarantine attachments (' || attachments || ') until security confirms they are safe.' ELSE {_s(explain.NEXT_ATTACHMENTS)} END END,
+ CASE WHEN label = 'HIGH' THEN {_s(explain.NEXT_REPORT)} END]), lambda x: x IS NOT NULL) END AS ge FROM w1),
+w3 AS (SELECT *, list_filter(list_concat(list_transform(de, lambda x: rtrim(trim(regexp_extract(x, '(?s)Action:(.*)$', 1)), '. ')), list_transform(ge, lambda x: rtrim(trim(regexp_replace(x, '^Next step:', '')), '. '))), lambda x: x <> '') AS it0 FROM w2),
+w4 AS (SELECT *, {_once("it0")} AS it, list_concat([{_SUMMARY}], de) AS hd FROM w3)
+SELECT email_id, label, array_to_string(list_concat(list_concat(hd, list_filter(ge, lambda g: NOT list_contains(hd, g))), CASE WHEN label <> 'LOW' AND len(it) > 0 THEN ['Action checklist: ' || array_to_string(it[1:4], '; ') || CASE WHEN len(it) > 4 THEN '; ...' ELSE '' END || '.'] ELSE [] END), chr(10)) AS told FROM w4"""
+STUB = "least(95, 20 * (" + " + ".join(f"contains(lower(coalesce(body, '')), '{w}')::INT" for w in ("urgent", "password", "verify", "login", "confirm account")) + "))"
+_json = lambda c: f"""'"{c}":' || to_json({c})::VARCHAR"""
+
 ORACLES: dict[str, str] = {
     "sender_domains": f"WITH {M} SELECT email_id, fh AS host, fd AS domain FROM m WHERE fh IS NOT NULL",
     "replyto_mismatch": f"WITH {M} SELECT email_id, rd AS domain FROM m WHERE rd <> fd",
@@ -117,8 +214,8 @@ ORACLES: dict[str, str] = {
     "received_anomaly": """SELECT * FROM (SELECT email_id, CASE WHEN len(received) > 5 THEN len(received) || ' headers (>5)'
  WHEN len(list_filter(received, lambda r: length(r) > 1000)) > 0 THEN len(list_filter(received, lambda r: length(r) > 1000)) || ' header(s) with length >1000' END AS reason FROM parse_eml) WHERE reason IS NOT NULL""",
     "freemail_brand_mention": f"WITH {M}, {BRANDS} SELECT email_id, string_agg(b, ', ' ORDER BY b) AS brands FROM bm GROUP BY 1",
-    "fuzzy_domain_match": """WITH h AS (SELECT DISTINCT host, trim(lower(trim(host)), '.') AS t FROM email_urls WHERE host <> ''), b AS (SELECT DISTINCT trim(lower(trim(brand_domain)), '.') AS k FROM known_brands WHERE brand_domain <> '')
-SELECT host, string_agg(k, ', ' ORDER BY k) AS matches FROM h, b WHERE t = k OR suffix(t, '.' || k) OR (abs(length(t) - length(k)) <= 1 AND levenshtein(t, k) <= 1) GROUP BY 1""",
+    "fuzzy_domain_match": f"""WITH {M}, hh AS (SELECT DISTINCT host, trim(lower(trim(host)), '.') AS t FROM (SELECT host FROM email_urls UNION ALL SELECT fh FROM m UNION ALL SELECT rh FROM m) WHERE host <> ''), b AS (SELECT DISTINCT trim(lower(trim(brand_domain)), '.') AS k FROM known_brands WHERE brand_domain <> '')
+SELECT host, string_agg(k, ', ' ORDER BY k) AS matches FROM hh, b WHERE t = k OR suffix(t, '.' || k) OR (abs(length(t) - length(k)) <= 1 AND levenshtein(t, k) <= 1) GROUP BY 1""",
     "brand_list": "WITH n AS (SELECT arg_min(lower(trim(brand_name)), ord) AS v FROM known_brands GROUP BY substr(lower(brand_name), 1, 1)), k(n, d) AS (VALUES " + ", ".join(f"('{n}', '{d}')" for n, d in KNOWN) + """)
 SELECT 'name' AS kind, v AS value FROM (SELECT v FROM n UNION SELECT n FROM k) UNION ALL SELECT 'domain', v FROM (SELECT lower(trim(brand_domain)) AS v FROM known_brands UNION SELECT d FROM k)""",
     "lexical_score": f"WITH {M} SELECT * FROM (SELECT email_id, CAST({LEX} AS INT) AS points, {LABELS} AS labels FROM m) WHERE labels <> ''",
@@ -164,3 +261,43 @@ SELECT label, support, precision, recall, CASE WHEN precision + recall > 0 THEN
     "event_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)
 SELECT user_id, CAST(sum(new) AS BIGINT) AS sessions, count(*) AS events FROM g GROUP BY 1""",
 }
+
+_DEFAULTS = (
+    SCORED.replace(FREEMAIL, f"({_q(FREE)})").replace(WHITELIST, f"({_q(urls.WHITELIST)})").replace("SELECT DISTINCT lower(brand_name) AS b FROM known_brands", "SELECT unnest([" + _q(n for n, _ in KNOWN) + "]) AS b")
+)
+_OWN_ADDRESS = r"""[^\s<>()\[\],;|:"]+@[^\s<>()\[\],;|:"@]+"""
+_RANKED = f"{_TRAIN}, r AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY md5(training_id::VARCHAR), training_id) AS k, count(*) OVER (PARTITION BY l) AS n FROM t)"
+_MESSAGES = "e AS (SELECT * FROM parse_eml WHERE parse_error IS NULL)"
+
+ORACLES |= {
+    "email_score_defaults": f"WITH {_DEFAULTS} SELECT email_id, score, label FROM sc",
+    "email_explanations": f"WITH {EXPLAINED} SELECT email_id, score, coalesce(array_to_string(ex, chr(10)), '') AS explanations FROM w1",
+    "readable_explanations": READABLE,
+    "explain_summary": f"WITH {EXPLAINED} SELECT email_id, {_SUMMARY} AS summary FROM w1",
+    "confusable_senders": f"WITH {M}, {KB} SELECT * FROM (SELECT email_id, fh AS host, {conf('fh')} AS reason FROM m) WHERE reason IS NOT NULL",
+    "raw_mail_scores": f"WITH {SCORED} SELECT sc.email_id, score, label FROM sc JOIN parse_eml e ON e.email_id = sc.email_id WHERE e.body IS NOT NULL",
+    "mime_round_trip": f"""SELECT email_id, coalesce({addr('from_addr')}, 'No Sender') AS from_addr, CASE WHEN trim(subject) <> '' THEN subject ELSE 'No Subject' END AS subject,
+ CASE WHEN body = '' THEN '' ELSE body || chr(10) END || 'End of <part>' AS body, translate(coalesce(attachments, ''), '"\\', '__') AS attachments, 'text/plain' AS body_type, CAST(coalesce(len(received), 0) AS INT) AS hops, CAST(NULL AS VARCHAR) AS parse_error FROM parse_eml WHERE body IS NOT NULL""",
+    "input_signature": "SELECT email_id, sha256(array_to_string(list_sort([file || ':' || coalesce(length(body), 0), coalesce(attachments, '') || ':' || coalesce(length(attachments), 0)]), '|')) AS signature FROM parse_eml WHERE file IS NOT NULL",
+    "digest_dedup": f"""WITH x AS (SELECT sha256('{{' || array_to_string(list_filter([{', '.join(f"CASE WHEN {c} IS NOT NULL THEN {_json(c)} END" for c in ('attachments', 'body', 'from_addr', 'subject'))}], lambda x: x IS NOT NULL), ',') || '}}') AS digest FROM parse_eml)
+SELECT digest, count(*) AS copies FROM x GROUP BY 1 HAVING count(*) > 1""",
+    "llm_get_or_create": f"""WITH a AS (SELECT DISTINCT email_id, model, digest FROM llm_replies), c AS (SELECT model, digest, epoch_us(replied_at) AS ts, max(probability) AS p FROM llm_replies WHERE replied_at IS NOT NULL GROUP BY ALL),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, digest ORDER BY ts DESC) AS n FROM c WHERE ts <= epoch_us(TIMESTAMP '2024-06-30') AND ts >= epoch_us(TIMESTAMP '2024-06-30') - 180 * 86400000000) WHERE n = 1)
+SELECT a.email_id, a.model, a.digest, f.ts IS NOT NULL AS cached, CAST(CASE WHEN f.ts IS NOT NULL THEN f.p ELSE {STUB} END AS INT) AS probability FROM a JOIN parse_eml e ON e.email_id = a.email_id LEFT JOIN f ON f.model = a.model AND f.digest = a.digest""",
+    "llm_review_batches": f"""WITH {_MESSAGES}, x AS (SELECT CAST(floor(email_id / 5) AS BIGINT) AS batch_id, email_id, {STUB} AS p FROM e)
+SELECT batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY email_id) - 1 AS INT) AS pos, CASE WHEN email_id % 3 = 0 THEN '{MODELS[2]}' WHEN email_id % 2 = 0 THEN '{MODELS[0]}' ELSE '{MODELS[1]}' END AS model,
+ CASE WHEN p > 50 THEN 'phishing' ELSE 'safe' END AS label, round(p / 100.0::DOUBLE, 4) AS score FROM x""",
+    "stratified_split": f"WITH {_RANKED} SELECT training_id, l AS label, k <= floor(n * 0.2::DOUBLE + 0.5) AS is_test FROM r",
+    "stratified_split_counts": f"WITH {_RANKED} SELECT l AS label, k <= floor(n * 0.2::DOUBLE + 0.5) AS is_test, count(*) AS n FROM r GROUP BY ALL",
+    "downsampled_ham": f"WITH {_RANKED} SELECT l AS label, count(*) AS n, CAST(sum(training_id) AS BIGINT) AS ids FROM r WHERE l <> 'ham' OR k <= 1396 GROUP BY 1",
+    "tfidf_document_frequency": r"""WITH w AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'))) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents)
+SELECT term, count(*) AS df, ln((any_value(n) + 1) / (count(*) + 1)) + 1 AS idf FROM w, n GROUP BY 1 HAVING count(*) >= 2""",
+    "url_harvest": f"WITH {M}, {judged('email_urls')} SELECT email_id, pos FROM j WHERE c > 0",
+    "zero_width_bodies": f"SELECT email_id FROM parse_eml WHERE regexp_matches(body, '{_ZERO}')",
+    "p2_address_items": rf"""WITH x AS (SELECT email_id, 'to_addr' AS field, to_addr AS v FROM parse_eml UNION ALL SELECT email_id, 'cc', cc FROM parse_eml), l AS (SELECT email_id, field, regexp_extract_all(v, '{_OWN_ADDRESS}') AS a FROM x)
+SELECT email_id, field, CAST(unnest(range(1, len(a) + 1)) AS INT) AS pos, unnest(a) AS item FROM l""",
+    "attachment_risk": r"""WITH x AS (SELECT email_id, lower(attachments) AS a FROM parse_eml), n AS (SELECT email_id, len(regexp_extract_all(a, '\.(exe|scr|pif)["''\]]*\s*([;,|\n\r\t]|$)')) AS d, len(regexp_extract_all(a, '[^;,|\n\r\t"]{97,}\.(zip|rar|7z)["''\]]*\s*([;,|\n\r\t]|$)')) AS o FROM x)
+SELECT email_id, CAST(d AS INT) AS dangerous, CAST(o AS INT) AS odd_archives FROM n WHERE d + o > 0""",
+    "separate_attachment_points": r"""WITH x AS (SELECT email_id, lower(attachments) AS a FROM parse_eml), n AS (SELECT email_id, 4 * len(regexp_extract_all(a, '\.(exe|scr|pif)["''\]]*\s*([;,|\n\r\t]|$)')) + 2 * len(regexp_extract_all(a, '[^;,|\n\r\t"]{97,}\.(zip|rar|7z)["''\]]*\s*([;,|\n\r\t]|$)')) AS p FROM x)
+SELECT email_id, CAST(p AS INT) AS points FROM n WHERE p > 0""",
+}

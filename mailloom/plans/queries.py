@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,11 @@ def p2_items(spark, d):
     return packed.unpack(spread(_emails(spark, d).select("email_id", "to_addr", "cc", "attachments")))
 
 
+@query
+def p2_address_items(spark, d):
+    return packed.unpack(spread(_emails(spark, d).select("email_id", "to_addr", "cc").withColumn("attachments", F.lit(None).cast("string"))))
+
+
 @query
 def p6_found(spark, d):
     return timestamps.normalise_dates(_emails(spark, d), read(spark, d, "gateways"))
@@ -104,7 +110,10 @@ def freemail_brand_mention(spark, d):
 
 @query
 def fuzzy_domain_match(spark, d):
-    found = identity.fuzzy_domains(read(spark, d, "email_urls"), _brands(spark, d)[1])
+    """Hosts of links, senders and reply addresses beside the domains of the brand table."""
+    e = _emails(spark, d)
+    hosts = [read(spark, d, "email_urls").select("host")] + [e.select(domains.host_of(domains.address_of(F.col(c))).alias("host")) for c in ("from_addr", "reply_to")]
+    found = identity.fuzzy_domains(functools.reduce(lambda a, b: a.unionByName(b), hosts), _brands(spark, d)[1])
     return found.select("host", F.array_join("matches", ", ").alias("matches"))
 
 
@@ -176,6 +185,16 @@ def url_credential_score(spark, d):
     return _first_urls(spark, d).select("email_id", "pos", urls.credential_score(F.col("path"), F.col("query_str")).cast("int").alias("points")).where("points > 0")
 
 
+@query
+def url_harvest(spark, d):
+    return _first_urls(spark, d).where(urls.looks_like_harvest(F.col("path"), F.col("query_str"))).select("email_id", "pos")
+
+
+@query
+def zero_width_bodies(spark, d):
+    return _emails(spark, d).where(confusables.contains_zero_width(F.col("body"))).select("email_id")
+
+
 @query
 def url_domain_risk(spark, d):
     return _judged(spark, d).select("email_id", "pos", urls.domain_risk(F.col("host"), F.col("own")).cast("int").alias("points")).where("points > 0")
@@ -223,6 +242,13 @@ def email_score(spark, d):
     return _scored(spark, d, joined_attachments=True).select("email_id", "score", "label")
 
 
+@query
+def email_score_defaults(spark, d):
+    """With the lists that the library ships."""
+    e = _emails(spark, d).select("email_id", "file", "from_addr", "reply_to", "return_path", "message_id", "subject", "body", "attachments", "received")
+    return scoring.score(spread(e), joined_attachments=True).select("email_id", "score", "label")
+
+
 @query
 def score_label_counts(spark, d):
     return email_score(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.max("score").alias("highest"))
@@ -236,21 +262,27 @@ def whitelist_floor(spark, d):
 
 @query
 def email_explanations(spark, d):
-    return _scored(spark, d).select("email_id", "score", F.array_join("explanations", "\n").alias("explanations"))
+    return _scored(spark, d, joined_attachments=True).select("email_id", "score", F.array_join("explanations", "\n").alias("explanations"))
 
 
 @query
 def readable_explanations(spark, d):
-    s = _scored(spark, d)
-    told = explain.explanations(F.col("label"), F.col("score"), F.col("explanations"), F.col("matched_keywords"), F.col("suspicious_urls"), F.col("files"))
+    s = _scored(spark, d, joined_attachments=True)
+    told = explain.explanations(F.col("label"), F.col("score"), F.col("reasons"), F.col("matched_keywords"), F.col("suspicious_urls"), F.col("files"))
     return s.select("email_id", "label", F.array_join(told, "\n").alias("told"))
 
 
 @query
 def explain_summary(spark, d):
     s = _scored(spark, d, joined_attachments=True)
-    none = F.array().cast("array<string>")
-    return s.select("email_id", explain.summary(F.col("label"), F.col("score"), none).alias("summary"))
+    return s.select("email_id", explain.summary(F.col("label"), F.col("score"), F.col("matched_keywords")).alias("summary"))
+
+
+@query
+def separate_attachment_points(spark, d):
+    """What reading attachments as separate names adds to the score and its reasons."""
+    points = lambda c: F.aggregate(F.filter(c, lambda r: r["kind"].isin("attachment", "archive")), F.lit(0), lambda a, r: a + r["points"])
+    return _scored(spark, d).select("email_id", points("reasons").cast("int").alias("points")).where("points > 0")
 
 
 @query
@@ -276,8 +308,11 @@ def body_preview(spark, d):
 
 @query
 def input_signature(spark, d):
-    e = _emails(spark, d).where(F.size("received") > 0)
-    return e.select("email_id", report.signature(F.col("received"), F.transform("received", lambda r: F.length(r))).alias("signature"))
+    """Of the inputs of each message: the message file and its attachments, by name and size."""
+    e = _emails(spark, d).where("file is not null")
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    names, sizes = F.array(F.col("file"), F.coalesce("attachments", F.lit(""))), F.array(size("body"), size("attachments"))
+    return e.select("email_id", report.signature(names, sizes).alias("signature"))
 
 
 @query
@@ -295,18 +330,49 @@ def clean_bodies(spark, d):
     return _emails(spark, d).select("email_id", cleaning.clean_text(F.col("body")).alias("body"))
 
 
+def _raw_mail(spark, d):
+    """Every message written as raw mail: encoded headers, a text part, an HTML part and an attachment."""
+    e = _emails(spark, d).where("body is not null")
+    address = lambda c: domains.address_of(F.col(c))
+    header = lambda name, v: F.when(v.isNull() | (v == ""), "").otherwise(F.concat(F.lit(f"{name}: "), v, F.lit("\r\n")))
+    word = lambda c: F.concat(F.lit("=?utf-8?B?"), F.base64(F.encode(c, "utf-8")), F.lit("?="))
+    lines = lambda b: F.concat(F.translate(b, "\r\n", ""), F.lit("\r\n"))
+    # a parser takes quotes off a name, so none are written
+    name = F.replace(F.url_encode(F.translate("attachments", '"\\', "__")), F.lit("+"), F.lit("%20"))
+    raw = F.concat(
+        F.coalesce(F.array_join(F.transform("received", lambda r: F.concat(F.lit("Received: "), r, F.lit("\r\n"))), ""), F.lit("")),
+        header("From", address("from_addr")), header("Reply-To", address("reply_to")), header("Return-Path", address("return_path")), header("Message-ID", F.col("message_id")),
+        header("Subject", F.when(F.trim("subject") != "", word(F.col("subject")))),
+        F.lit("MIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=a3f1\r\n\r\n--a3f1\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"),
+        lines(F.base64(F.encode("body", "utf-8"))),
+        F.lit("--a3f1\r\nContent-Type: text/html\r\n\r\n<html><style>p {}</style><p>End of &lt;part&gt;</p></html>\r\n"),
+        F.when(F.col("attachments") != "", F.concat(F.lit("--a3f1\r\nContent-Type: application/octet-stream\r\nContent-Disposition: attachment; filename*=utf-8''"), name, F.lit("\r\n\r\nx\r\n"))).otherwise(""),
+        F.lit("--a3f1--\r\n"),
+    )
+    return e.select("email_id", messages.parse(F.encode(raw, "utf-8")).alias("p"))
+
+
 @query
 def mime_round_trip(spark, d):
     """Messages written as raw mail and parsed again."""
-    e = _emails(spark, d).where("body is not null")
-    head = lambda name, c: F.concat(F.lit(f"{name}: "), F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[^\x20-\x7e]", "?"), "^ *$", "-"), F.lit("\r\n"))
-    raw = F.concat(head("From", "from_addr"), head("To", "to_addr"), head("Subject", "subject"), F.lit("MIME-Version: 1.0\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"), F.col("body"))
-    return e.select("email_id", messages.parse(F.encode(raw, "utf-8")).alias("p")).select("email_id", "p.from_addr", "p.subject", "p.body", "p.parse_error")
+    p = F.col("p")
+    return _raw_mail(spark, d).select("email_id", p["from_addr"].alias("from_addr"), p["subject"].alias("subject"), p["body"].alias("body"), F.array_join(p["attachments"], "; ").alias("attachments"), p["body_type"].alias("body_type"), F.size(p["received"]).alias("hops"), p["parse_error"].alias("parse_error"))
+
+
+@query
+def raw_mail_scores(spark, d):
+    """From raw mail to scores: parsed messages through the rules."""
+    names, known = _brands(spark, d)
+    e = _raw_mail(spark, d).select("email_id", "p.*").withColumn("attachments", F.array_join("attachments", "; "))
+    s = scoring.score(e, whitelist=WHITELIST, freemail=FREEMAIL, brands=names, reference_domains=known, joined_attachments=True)
+    return s.select("email_id", "score", "label")
 
 
 @query
 def digest_dedup(spark, d):
-    return read(spark, d, "documents").select(F.sha2("text", 256).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    """Messages that are the same to the reviewer, whatever file they came in."""
+    e = _emails(spark, d).select(reviewer.digest("from_addr", "subject", "body", "attachments").alias("digest"))
+    return e.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
 @query
@@ -331,19 +397,50 @@ def llm_cache_hit_miss(spark, d):
     return out.select("request_id", "hit")
 
 
+#: The time at which cached replies are asked for, and how old they may be then, so that there are hits and misses.
+ASKED_AT, CACHE_DAYS = "2024-06-30", 180
+
+
+def _cache(spark, d):
+    r = read(spark, d, "llm_replies").where("replied_at is not null")
+    return r.groupBy("model", "digest", F.col("replied_at").alias("ts")).agg(F.to_json(F.struct(F.max("probability").alias("probability"))).alias("payload"))
+
+
 @query
 def llm_get_or_create(spark, d):
+    """Every message that was ever sent to review, asked for again: cached where a reply is young enough, else new."""
+    asked = read(spark, d, "llm_replies").select("email_id", "model", "digest").distinct()
+    e = _emails(spark, d).select("email_id", reviewer.prompt(F.col("from_addr"), F.col("subject"), F.col("body"), F.col("attachments")).alias("prompt"))
+    out = reviewer.get_or_create(asked.join(e, "email_id"), _cache(spark, d), F.lit(ASKED_AT).cast("timestamp"), ttl=CACHE_DAYS * 86_400)
+    return out.select("email_id", "model", "digest", "cached", F.get_json_object("payload", "$.probability").cast("int").alias("probability"))
+
+
+@query
+def llm_review_batches(spark, d):
+    """Messages in batches of five, every third without a model of its own."""
     e = _emails(spark, d).where("parse_error is null")
-    asked = e.select("email_id", reviewer.model_or_default(F.lit(None).cast("string")).alias("model"), reviewer.digest("from_addr", "subject", "body", "attachments").alias("digest"), reviewer.prompt(F.col("from_addr"), F.col("subject"), F.col("body"), F.col("attachments")).alias("prompt"))
-    cache = read(spark, d, "llm_replies").select("model", "digest", F.col("replied_at").alias("ts"), F.to_json(F.struct("probability")).alias("payload"))
-    out = reviewer.get_or_create(asked, cache, F.lit("2024-12-31").cast("timestamp"))
-    return out.select("email_id", "cached", "payload")
+    model = F.when(F.col("email_id") % 3 > 0, F.get(F.array(*map(F.lit, reviewer.MODELS)), (F.col("email_id") % 2).cast("int")))
+    item = F.struct(F.struct("from_addr", "subject", "body", "attachments").alias("parsed"), model.alias("model"))
+    batches = e.groupBy(F.floor(F.col("email_id") / 5).alias("batch_id")).agg(F.sort_array(F.collect_list(F.struct("email_id", item.alias("i")))).alias("x"))
+    none = _cache(spark, d).where("false")
+    out = reviewer.review_batches(batches.select("batch_id", F.col("x.i").alias("items")), none, F.current_timestamp(), reviewer.MODELS[2])
+    return out.where("error is null").select("batch_id", F.explode("results").alias("r")).select("batch_id", "r.pos", "r.model", "r.label", F.round("r.score", 4).alias("score"))
+
+
+@query
+def stratified_split(spark, d):
+    return learning.split(learning.clean_labels(read(spark, d, "training")), "training_id").select("training_id", "label", "is_test")
 
 
 @query
 def stratified_split_counts(spark, d):
-    rows = learning.split(learning.clean_labels(read(spark, d, "training")), "training_id")
-    return rows.groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("n"))
+    return stratified_split(spark, d).groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def downsampled_ham(spark, d):
+    rows = learning.clean_labels(read(spark, d, "training"))
+    return learning.at_most(rows, "training_id", F.col("label") == "ham").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("training_id").alias("ids"))
 
 
 @query
@@ -378,6 +475,16 @@ for _name in learning.REGISTRY:
     _train_predict(_name)
 
 
+@query
+def model_report(spark, d):
+    """Precision, recall and F1 of a classifier on the part that it has not seen."""
+    rows = cut(learning.split(learning.clean_labels(read(spark, d, "training")), "training_id").select("text", "label", "y", "is_test"))
+    if not rows.limit(1).count():
+        return spark.createDataFrame([], "label string, support bigint, precision double, recall double, f1 double, accuracy double")
+    told = learning.predict(learning.complement_bayes(rows.where("not is_test")), rows.where("is_test").select("text", "label"))
+    return learning.report(told.withColumn("guess", F.when(F.col("verdict") == "Phishing", "spam").otherwise("ham")), "label", "guess")
+
+
 @query
 def ml_with_rules(spark, d):
     rows = cut(learning.split(learning.clean_labels(read(spark, d, "training")), "training_id").select("email_id", "text", "label", "y", "is_test"))

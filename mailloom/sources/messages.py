@@ -54,21 +54,29 @@ def _bodies(message) -> tuple[str, list[str], str]:
     return "\n".join(t for t in texts if t), names, kind
 
 
+def _values(message, name: str) -> list:
+    """All values of a header, parsed; bytes beyond ASCII are read as UTF-8."""
+    found = [v for k, v in message.raw_items() if k.lower() == name.lower()]
+    plain = ["".join(str(v).splitlines()).encode("utf-8", "surrogateescape").decode("utf-8", "replace") for v in found]
+    return [policy.default.header_factory(name, v) for v in plain]
+
+
 def parse_message(raw: bytes | None) -> dict:
     """The fields of one raw message. Missing headers have their defaults; whatever fails leaves parse_error."""
     out: dict = dict.fromkeys(_NAMES)
     try:
         m = BytesParser(policy=policy.default).parsebytes(raw or b"")
-        text = lambda name, default="": default if m.get(name) is None else str(m.get(name))
-        sender = m.get("From")
+        value = lambda name: next(iter(_values(m, name)), None)
+        text = lambda name, default="": default if (v := value(name)) is None else str(v)
+        sender = value("From")
         body, names, kind = _bodies(m)
         out |= {
             "message_id": re.sub("[<>]", "", text("Message-ID").strip()) or None,
-            "reply_to": _first(m.get("Reply-To")) or _first(sender),
-            "return_path": re.sub("[<>]", "", text("Return-Path").strip()) or _first(m.get("Sender") or sender),
+            "reply_to": _first(value("Reply-To")) or _first(sender),
+            "return_path": re.sub("[<>]", "", text("Return-Path").strip()) or _first(value("Sender") or sender),
             "date_hdr": text("Date", "No Date"), "from_addr": text("From", "No Sender"), "to_addr": text("To", "No Recipients"), "cc": text("Cc"), "bcc": text("Bcc"),
             "subject": _decoded(text("Subject", "No Subject")), "body": body, "mime_version": text("Mime-Version"), "content_type": text("Content-Type"),
-            "content_transfer_encoding": text("Content-Transfer-Encoding"), "attachments": names, "received": [str(r) for r in m.get_all("Received", [])], "body_type": kind,
+            "content_transfer_encoding": text("Content-Transfer-Encoding"), "attachments": names, "received": [str(r) for r in _values(m, "Received")], "body_type": kind,
         }
     except Exception as e:  # noqa: BLE001 - one bad message must not end the job
         out["parse_error"] = f"{type(e).__name__}: {e}"[:500]

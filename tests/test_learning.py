@@ -24,10 +24,20 @@ def test_unknown_model(rows):
         learning.load_or_train("svm", "/nowhere", rows)
 
 
-def test_split_and_thinning(rows):
+def test_split_and_thinning(spark, rows):
     s = learning.split(rows, "id")
-    assert 0.1 < s.where("is_test").count() / s.count() < 0.3
-    assert learning.at_most(rows, "id", F.col("y") == 0, 40).where("y = 1").count() == rows.where("y = 1").count()
+    own = {r["label"]: (r["n"], r["t"]) for r in s.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("is_test").cast("int")).alias("t")).collect()}
+    assert all(t == int(n * 0.2 + 0.5) for n, t in own.values()) and s.count() == rows.count()
+    ids = sorted(r["id"] for r in s.where("is_test and label = 'ham'").collect())
+    import hashlib
+
+    first = sorted((r["id"] for r in rows.where("label = 'ham'").collect()), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    assert ids == sorted(first[: len(ids)])
+    for most in (0, 1, 40, 10_000):
+        thin = learning.at_most(rows, "id", F.col("y") == 0, most)
+        assert thin.where("y = 0").count() == min(most, rows.where("y = 0").count()) and thin.where("y = 1").count() == rows.where("y = 1").count()
+    odd = spark.createDataFrame([(None, "a", None), (None, "a", None), (1, None, "x"), (1, None, "x")], "id bigint, label string, _n string").select("id", "label")
+    assert learning.split(odd, "id", 0.5).where("is_test").count() == 2 and learning.split(odd.where("false"), "id").count() == 0
 
 
 def test_report(spark):

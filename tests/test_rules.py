@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from mailloom.functions import cleaning, domains
-from mailloom.operators import attachments, confusables, explain, highlight, identity, report, reviewer, scoring, urls, wording
+from mailloom.operators import attachments, confusables, explain, highlight, identity, reasons, report, reviewer, scoring, urls, wording
 
 
 def column(spark, values, f, kind="string"):
@@ -76,10 +76,11 @@ def test_attachments(spark):
 
 def test_confusables(spark):
     assert confusables.skeleton("раураl.com") == "paypal.com" and confusables.skeleton("straße") == "strasse"
-    assert confusables.reason("раураl.com", ["paypal.com"]) == "confusable match for paypal.com"
-    assert confusables.reason("xn--a.com") == "punycode label" and confusables.reason("a​.com") == "zero-width characters"
-    assert confusables.reason("paypal.com", ["paypal.com"]) is None and confusables.reason(None) is None
-    assert column(spark, ["ünï.com", "plain.com", None], lambda c: confusables.host_reason(c, ["paypal.com"])) == ["confusable skeleton uni.com", None, None]
+    refs = ["paypal.com", None, "zоё.com"]
+    hosts = ["раураl.com", "xn--a.com", "a​.com", "PayPal.com", "ünï.com", "plain.com", None, "", "zoe.com", "日本.com", "ð-đ-ł.org"]
+    want = ["confusable match for paypal.com", "punycode label", "zero-width characters", None, "confusable skeleton uni.com", None, None, None, "confusable match for zоё.com", "non-ascii characters", "confusable skeleton d-d-l.org"]
+    assert column(spark, hosts, lambda c: confusables.host_reason(c, refs)) == want
+    assert column(spark, ["раураl.com", "plain.com"], confusables.host_reason) == ["confusable skeleton paypal.com", None]
     assert column(spark, ["a​b", "ab", None], confusables.contains_zero_width) == [True, False, False]
 
 
@@ -107,15 +108,30 @@ def test_labels_at_the_borders(spark):
 
 
 def test_explanations(spark):
-    got = column(spark, ["+3 points: Reply-to domain differs from From domain (x.org)", "+1 point: odd thing.", "-4 points: a.com in whitelist", "+2 points: Keyword 'login' in early body"], explain.humanise)
+    got = column(spark, ["+3 points: Reply-to domain differs from From domain (x.org)", "+1 point: odd thing.", "-4 points: a.com in whitelist", "+2 points: Keyword 'login' in early body"], lambda c: explain.humanise(reasons.parsed(c)))
     assert got[0] == "3-point" + "s indicator: The reply-to address routes responses to x.org, which differs from the visible sender domain. Attackers often redirect replies to capture sensitive information. Action: Confirm the request using a known-good channel before replying."
     assert got[1] == "1-point indicator: Indicator: odd thing. Action: Verify the message with the sender via a trusted channel before taking action."
     assert got[2].startswith("4-points mitigation: The sender domain a.com is on") and "The early body includes the phishing trigger word 'login'" in got[3]
 
 
+def test_lines_and_reasons_round_trip(spark):
+    lines = [
+        "+3 points: Reply-to domain differs from From domain (x.org)", "+2 points: Return-path domain differs from From domain (x.org)", "+3 points: From domain contains IDN or confusable characters (punycode label in xn--a.org)",
+        "+2 points: Free email provider (gmail.com) with brand mention (a, b)", "+2 points: Anomalous Received headers (1 header(s) with length >1000)", "+1 point: Message-ID domain mismatch (x.org)",
+        "+1 points: Matched phishing language (login prompt)", "+1 points: Keyword 'log in' in early body", "+4 points: Suspicious URL http://a/(b) (High-risk TLD; URL shortener)", "+4 points: Dangerous attachment extension in a in b.exe",
+        "+2 points: Suspicious archive attachment x.zip", "-4 points: a.com in whitelist", "+1 point: something else", "no points at all",
+    ]
+    assert column(spark, lines[:-1], lambda c: reasons.line(reasons.parsed(c))) == lines[:-1]
+    got = column(spark, lines, reasons.parsed)
+    assert [g["kind"] for g in got] == [*reasons.TEXTS, "other", "other"] and got[-1]["points"] == 0 and got[8]["parts"] == ["http://a/(b)", "High-risk TLD; URL shortener"]
+    odd = column(spark, ["+3 points: Reply-to domain differs", "Suspicious URL", None], lambda c: explain.humanise(reasons.parsed(c)))
+    assert "routes responses to an unknown domain, which" in odd[0] and odd[1].startswith("The link a linked site looks risky (suspicious characteristics). Action:")
+
+
 def test_explanation_list(spark):
     df = spark.createDataFrame([("HIGH", 12, ["+4 points: Dangerous attachment extension in a.exe"], ["login", "login", "x"], [("http://a",)], ["a.exe", "b"]), ("LOW", 0, [], [], [], [])], "label string, score int, r array<string>, k array<string>, u array<struct<url:string>>, f array<string>")
-    high, low = (r["x"] for r in df.select(explain.explanations(*(F.col(c) for c in ("label", "score", "r", "k", "u", "f"))).alias("x")).collect())
+    found = F.transform("r", reasons.parsed)
+    high, low = (r["x"] for r in df.select(explain.explanations(F.col("label"), F.col("score"), found, F.col("k"), F.col("u"), F.col("f")).alias("x")).collect())
     assert high[0].endswith("Flagged keywords: login, x.") and high[-1].startswith("Action checklist: Delete the attachment") and high[-1].endswith("; ....")
     assert low == ["Low phishing risk: composite score 0. No immediate red flags were detected, but stay vigilant.", explain.NOTHING_LOW]
 
@@ -153,6 +169,21 @@ def test_get_or_create_asks_each_digest_once(spark):
     assert [rows[i]["cached"] for i in (1, 2, 3, 4)] == [False, False, True, False] and rows[3]["payload"] == "new" and asked.value == 2
 
 
+def test_batches_keep_their_order_and_fail_as_a_whole(spark):
+    def provider(prompts):
+        if any("boom" in p for p in prompts):
+            raise ValueError("no")
+        return ['{"probability": 80}' if "bad" in p else "odd" if "odd" in p else "{}" for p in prompts]
+
+    item = lambda body, model=None: (("a@x.org", "s", body, None), model)
+    rows = [(1, [item("x"), item("bad"), item("x", "gpt-4o-mini")]), (2, [item("x"), item("boom")]), (3, [item("x", "other")]), (4, []), (5, None), (6, [item("odd")])]
+    df = spark.createDataFrame(rows, "batch_id int, items array<struct<parsed:struct<from_addr:string,subject:string,body:string,attachments:string>,model:string>>")
+    cache = spark.createDataFrame([], "model string, digest string, ts timestamp, payload string")
+    got = {r["batch_id"]: r for r in reviewer.review_batches(df, cache, F.current_timestamp(), provider=provider).collect()}
+    assert [tuple(x) for x in got[1]["results"]] == [(0, "gpt-5-nano", "safe", 0.0), (1, "gpt-5-nano", "phishing", 0.8), (2, "gpt-4o-mini", "safe", 0.0)] and got[1]["error"] is None
+    assert got[2]["results"] is None and "no" in got[2]["error"] and got[3]["error"] == "model not allowed: other" and "parse" in got[6]["error"] and set(got) == {1, 2, 3, 6}
+
+
 def test_compatible_wiring(spark):
     row = (1, "a@x.org", "b@y.org", "c@z.org", None, "", "", "a.exe; b.txt", ["r"] * 9, 0)
     df = spark.createDataFrame([row], EMAIL)

@@ -15,6 +15,9 @@ def test_parse_message():
     m = messages.parse_message(RAW)
     assert m["subject"] == "Grüße" and m["message_id"] == "1@x.org" and m["reply_to"] == m["return_path"] == "j@x.org" and m["attachments"] == ["a.pdf"]
     assert m["body"].split() == ["hello", "bye"] and len(m["received"]) == 2 and m["parse_error"] is None
+    raw8 = "From: Jö <j@bücher.example>\r\nSubject: Grüße\r\n an alle\r\n\r\nx".encode()
+    m = messages.parse_message(raw8)
+    assert m["subject"] == "Grüße an alle" and "bücher.example" in m["from_addr"] and m["parse_error"] is None
     empty = messages.parse_message(b"")
     assert empty["subject"] == "No Subject" and empty["from_addr"] == "No Sender" and messages.parse_message(None)["body"] == ""
 
