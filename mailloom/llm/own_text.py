@@ -1,16 +1,20 @@
 """Quoted history, signatures and notices in emails (problem 4).
 
-Method: a body is segmented into paragraphs, and these into blocks of one kind of line; every block
-is described by contact density, quote depth, sender frequency, ancestor overlap and the cues of its
-words and neighbours; gradient-boosted trees decide whether it is the sender's own new text.
-
-Sender frequency is how many messages of the sender hold the same block (digits aside), ancestor overlap
-the share of a block's passages that other messages hold unquoted. Both are statistics over all
-messages, counted on the executors in a table of fixed size (CELLS counters), which is broadcast.
-
-The trees are trained on a bounded sample of messages (TRAIN_MESSAGES, a documented parameter) whose
-blocks are labelled by rules on conventions of mail: prefixes, introductions, header blocks, closing
-phrases, delimiters, wordings of notices.
+Method: a body is segmented into paragraphs, and these into blocks of one kind of line. Every block is described
+by contact density, quote depth, sender frequency, ancestor overlap, its shape and place, and how its words
+read; gradient-boosted trees decide whether it is the sender's own new text.
+
+Sender frequency: how many messages of the sender hold the lines of the block, digits aside. Ancestor overlap: the
+share of the block's passages that messages of the same thread (subject without Re: and the like) hold unquoted. Both
+are statistics over all messages, counted on the executors in one table that follows the size of the input within
+fixed bounds, and broadcast.
+
+How words read is learnt, not listed: for hashed words and their places in the block's lines, how often they stand in
+blocks that are not new, and in blocks behind which nothing new follows (log-odds). These weights and the trees are fitted
+on a bounded sample of messages (TRAIN_MESSAGES, a documented parameter). Its labels come from rules on conventions of
+mail (prefixes, introductions, header blocks, closing phrases, delimiters, wordings of notices), of which the
+trees see nothing but quote marks. Each half of the sample gets the weights of the other half, so that the trees
+learn how far words can be relied on.
 """
 
 from __future__ import annotations
@@ -25,16 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailloom.llm import tables
 from mailloom.llm.batches import slices
 from mailloom.llm.boosting import Trees
 from mailloom.llm.encodings import READ_AS_WRITTEN_IN, UTF8_READ_AS
 from mailloom.llm.near_duplicates import chunk_keys, hashed_words
+from mailloom.llm.tables import mixed
 from mailloom.plans.storage import spread
 
 #: Bound of the training sample.
 TRAIN_MESSAGES = 4000
-CELL_BITS = 21
-CELLS = 1 << CELL_BITS
+#: Cells of the table of counts per message.
+CELLS_A_MESSAGE = 24
+#: Weights of words, as a power of two; words of a line that are looked at from its begin and from its end.
+WORD_BITS, HEAD_WORDS, TAIL_WORDS = 18, 14, 3
 
 _INVISIBLE = re.compile("[\xad\u200b-\u200f\u2060\ufeff]+")
 _SPACES = re.compile(r"[^\S\n\r\t ]")
@@ -99,11 +107,12 @@ _MORE_THAN = re.compile(r"\s{0,3}> ?\d+(?:[.,]\d+)? ?(?:%|\w)")
 _PS = re.compile(r"(?i)p\.? ?s\b")
 _DIGITS = re.compile(r"\d+")
 
-FEATURES = (
-    "quote_depth quoted contact_density words_per_line lines words sentences closing delimiter forward headers introduction notices listing gateway device "
-    "after_forward after_closing previous_quoted next_quoted from_start from_end sender_frequency ancestor_overlap more_than name_lines after_quote previous_delimiter "
-    "previous_notice paragraph_start previous_introduction next_notice previous_signature contact_card"
+SHAPE = (
+    "quote_depth contact_density sender_frequency ancestor_overlap quoted words_per_line longest_line lines words sentences short_lines from_start from_end paragraph_start "
+    "quoted_number previous_quoted next_quoted after_quote"
 ).split()
+_READ = [f"{what}_{how}" for what in ("old", "last") for how in ("sum", "mean", "most", "least")]
+FEATURES = [*SHAPE, *_READ, *(f"{side}_{x}" for side in ("previous", "next") for x in ("old_mean", "old_most", "last_mean", "last_most")), "before_old_mean", "before_old_most", "any_last_before"]
 
 
 class Block:
@@ -288,64 +297,96 @@ def _contact_card(b: Block) -> bool:
     return any(found) and all(f or t.count(" ") < 5 for f, t in zip(found, b.texts))
 
 
-def features(blocks: list[Block], sender: np.ndarray, overlap: np.ndarray) -> np.ndarray:
-    """(blocks, features) of one message; sender and overlap per block."""
+_TO_ZERO = str.maketrans("123456789", "000000000")
+_PUNCTUATION = ".,;:!?()[]*\"'<>„“”«»"
+
+
+def shape(blocks: list[Block]) -> np.ndarray:
+    """(blocks, SHAPE) of one message, without sender frequency and ancestor overlap."""
     n = len(blocks)
-    x = np.zeros((n, len(FEATURES)), np.float32)
-    forwarded = after_quote = 0
-    closing = -1
-    sig = False
+    x = np.zeros((n, len(SHAPE)), np.float32)
+    after = False
     for i, b in enumerate(blocks):
-        row = x[i]
-        joined = " ".join(b.texts)
-        words = joined.count(" ") + 1
-        lines = len(b.lines)
-        quoted = b.kind == "quoted"
-        prev, nxt = blocks[i - 1] if i else None, blocks[i + 1] if i + 1 < n else None
-        contacts = _contacts(b)
-        like = not quoted and _signature_like(b)
-        row[0] = sum(m[0].count(">") + m[0].count("|") for m in map(QUOTE.match, b.texts) if m) / lines if quoted else 0
-        row[1] = quoted
-        row[2] = contacts / words
-        row[3] = words / lines
-        row[4], row[5] = lines, words
-        row[6] = sum(t[-1:] in ".!?" and t.count(" ") > 4 for t in b.texts) / lines
-        row[7] = b.kind == "closing"
-        row[8] = len(b.texts[0]) if b.kind == "delimiter" else 0
-        row[9] = b.kind == "forward"
-        row[10] = lines if b.kind == "header" else 0
-        row[11] = b.kind == "introduction"
-        row[12], row[13] = (0, 0) if quoted else _cues(joined)
-        row[14] = b.kind == "gateway"
-        row[15] = b.kind == "device"
-        row[16] = forwarded
-        row[17] = (i - closing) if closing >= 0 else 20
-        row[18] = prev is not None and prev.kind == "quoted"
-        row[19] = nxt is not None and nxt.kind == "quoted"
-        row[20], row[21] = i, n - 1 - i
-        row[22], row[23] = sender[i], overlap[i]
-        row[24] = quoted and lines == 1 and _MORE_THAN.match(b.texts[0]) is not None and not (prev is not None and prev.kind in ("introduction", "quoted"))
-        row[25] = like
-        row[26] = after_quote
-        row[27] = (len(prev.texts[0]) if prev is not None and prev.kind == "delimiter" and prev.paragraph == b.paragraph else 0)
-        row[28] = prev is not None and x[i - 1, 12] + x[i - 1, 13] > 0
-        row[29] = prev is None or prev.paragraph != b.paragraph
-        row[30] = prev is not None and prev.kind == "introduction"
-        row[31] = nxt is not None and nxt.paragraph == b.paragraph and any(_cues(nxt.texts[0]))
-        row[32] = sig
-        card = like and _contact_card(b)
-        row[33] = card
-        # the run of signature lines behind a closing or a delimiter goes on while they look like it
-        if b.kind == "closing" or b.kind == "delimiter" and nxt is not None and nxt.paragraph == b.paragraph:
-            sig = True
-        elif not (sig and (like or b.kind == "device")):
-            sig = b.kind == "text" and card
-        forwarded |= b.kind in ("forward", "header")
-        after_quote |= quoted
-        closing = i if b.kind == "closing" else closing
+        row, lines, quoted = x[i], len(b.lines), b.kind == "quoted"
+        counts = [t.count(" ") + 1 for t in b.texts]
+        words = sum(counts)
+        if quoted:
+            row[0] = sum(m[0].count(">") + m[0].count("|") for m in map(QUOTE.match, b.texts) if m) / lines
+        row[1] = sum(bool(_CONTACT.search(t)) for t in b.texts) / words
+        row[4], row[5], row[6], row[7], row[8] = quoted, words / lines, max(counts), lines, words
+        row[9] = sum(t[-1:] in ".!?" and c > 5 for t, c in zip(b.texts, counts)) / lines
+        row[10] = sum(c <= 7 for c in counts) / lines
+        row[11], row[12] = i, n - 1 - i
+        row[13] = i == 0 or blocks[i - 1].paragraph != b.paragraph
+        row[14] = quoted and lines == 1 and _MORE_THAN.match(b.texts[0]) is not None
+        row[15] = i > 0 and blocks[i - 1].kind == "quoted"
+        row[16] = i + 1 < n and blocks[i + 1].kind == "quoted"
+        row[17] = after
+        after |= quoted
     return x
 
 
+def tokens(b: Block) -> list[str]:
+    """Words of the first two lines and the last one of a block, digits as 0, and how its lines begin and end."""
+    out = [f"#{min(len(b.texts), 5)}"]
+    for text in b.texts if len(b.texts) <= 3 else (b.texts[0], b.texts[1], b.texts[-1]):
+        parts = text.lower().translate(_TO_ZERO).split()
+        head = [t.strip(_PUNCTUATION) or t[:4] for t in parts[: 6 if b.kind == "quoted" else HEAD_WORDS]]
+        out += head
+        out += (f"^{head[0]}", f"^{head[0]} {head[1] if len(head) > 1 else ''}", f"${parts[-1][-1]}{len(parts) > 1}")
+        if len(parts) > HEAD_WORDS:
+            out += [t.strip(_PUNCTUATION) for t in parts[-TAIL_WORDS:]]
+    return out
+
+
+class Wording:
+    """Log-odds of words for two questions on their block: is it old text, and does nothing new follow it."""
+
+    def __init__(self, weights: np.ndarray):
+        #: (2, words)
+        self.weights = weights
+
+    @classmethod
+    def train(cls, cells: np.ndarray, n: np.ndarray, y: np.ndarray) -> Wording:
+        """cells: words of all blocks, n: of each block, y: (2, blocks)."""
+        size = 1 << WORD_BITS
+        total = np.bincount(cells, minlength=size)
+        held = np.stack([np.bincount(cells, np.repeat(t.astype(float), n), size) for t in y])
+        share = (held + 0.5) / (total + 1)
+        return cls(np.where(total > 0, np.log(share / (1 - share)), 0).astype(np.float32))
+
+    def read(self, cells: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """(blocks, _READ): sum, mean, highest and lowest weight of the words of each block. Every block has words."""
+        if not len(n):
+            return np.zeros((0, len(_READ)), np.float32)
+        at = np.cumsum(n) - n
+        out = []
+        for w in self.weights:
+            x = w[cells]
+            total = np.add.reduceat(x, at)
+            out += [np.clip(total, -60, 60), total / n, np.maximum.reduceat(x, at), np.minimum.reduceat(x, at)]
+        return np.stack(out, axis=1).astype(np.float32)
+
+
+def with_neighbours(x: np.ndarray, read: np.ndarray, message: np.ndarray) -> np.ndarray:
+    """(blocks, FEATURES) from the shape, the reading of words, and that of the blocks around in the same message."""
+    n = len(x)
+    if not n:
+        return np.zeros((0, len(FEATURES)), np.float32)
+    some = read[:, [1, 2, 5, 6]]
+    first = np.ones(n, bool)
+    first[1:] = message[1:] != message[:-1]
+    last = np.append(first[1:], True)
+    previous, following = np.roll(some, 1, axis=0), np.roll(some, -1, axis=0)
+    previous[first], following[last] = 0, 0
+    before = np.roll(previous[:, :2], 1, axis=0)
+    before[first] = 0
+    highest = pd.Series(read[:, 5]).groupby(message).cummax().to_numpy()
+    highest = np.roll(highest, 1)
+    highest[first] = -20
+    return np.concatenate([x, read, previous, following, before, highest[:, None]], axis=1).astype(np.float32)
+
+
 _ADDRESS = re.compile(r"[^\s<>()\[\],;:\"]+@[^\s<>()\[\],;:\"]+")
 
 
@@ -353,109 +394,142 @@ def _hash(items: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(items, dtype=object), categorize=False) if items else np.empty(0, np.uint64)
 
 
-def _cells(h: np.ndarray) -> np.ndarray:
-    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def _sender(header: str | None) -> str:
+    m = _ADDRESS.search(header) if header else None
+    return m[0].lower() if m else ""
+
+
+#: What mail programs put before the subject of a reply or a forwarded message (fixed values).
+_REPLY = re.compile(r"\s*(?:(?:re|fwd?|fw|aw|antw|wg|tr|rv|res|enc|ref|sv|vs|отв|на)\s*(?:\[\d+\]|\(\d+\))?\s*:\s*)+", re.IGNORECASE)
+
+
+def _thread(subject: str | None) -> str:
+    return _REPLY.sub("", subject or "", count=1).strip().lower() if _REPLY.match(subject or "") else (subject or "").strip().lower()
 
 
-def _segmented(senders: list[str | None], bodies: list[str | None]):
-    """Per message its blocks; and over all messages: cells of (sender, block), of the block's passages, and counts."""
-    messages, names, texts = [], [], []
-    for s, body in zip(senders, bodies):
-        blocks = blocks_of(body) if body else []
-        m = _ADDRESS.search(s) if s else None
-        who = m[0].lower() if m else ""
-        messages.append(blocks)
-        for b in blocks:
-            joined = " ".join(b.texts)
-            plain = QUOTE.sub("", joined) if b.kind == "quoted" else joined
-            texts.append(re.sub(r" (?:[>|] ?)+", " ", plain) if b.kind == "quoted" else plain)
-            names.append(f"{who}\x00{_DIGITS.sub('0', plain.lower())}")
-    h, n = hashed_words(texts)
-    keys, chunks = chunk_keys(h, n)
-    return messages, _cells(_hash(names)), _cells(keys ^ np.uint64(0xABCDEF)), chunks
+def _spread_hash(names: list[str], times: np.ndarray, salt: int) -> np.ndarray:
+    return np.repeat(mixed(_hash(names) ^ np.uint64(salt)), times)
 
 
-def _quoted_flags(messages: list[list[Block]]) -> np.ndarray:
-    return np.array([b.kind == "quoted" for blocks in messages for b in blocks], bool)
+def _line_keys(lines: list[str], senders: list[str], times: np.ndarray) -> np.ndarray:
+    """Keys of (sender, line); times: lines of each sender in turn."""
+    return mixed(_hash([t.lower().translate(_TO_ZERO) for t in lines])) ^ _spread_hash(senders, times, 0x51ED270B) if lines else np.empty(0, np.uint64)
+
+
+def _passage_keys(texts: list[str], threads: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of (thread, passage) of the texts, and passages of each; times: texts of each thread in turn."""
+    keys, chunks = chunk_keys(*hashed_words(texts))
+    own = _spread_hash(threads, times, 0x2545F491)
+    return keys ^ np.repeat(own, chunks), chunks
 
 
 def count_table(emails: DataFrame) -> np.ndarray:
-    """Messages per (sender, block) and unquoted passages, over all messages, in CELLS counters of fixed size."""
+    """Levels of the counts of (sender, line) and (thread, passage) over the unquoted lines of all messages."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(CELLS, dtype=np.int64)
-        for batch in slices(batches, 1):
-            messages, sender, passages, chunks = _segmented(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            table += np.bincount(sender, minlength=CELLS)
-            own = ~np.repeat(_quoted_flags(messages), chunks)
-            table += np.bincount(passages[own], minlength=CELLS)
-        used = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(table[used])], names=["cell", "n"])
-
-    some = emails.select("from_addr", "body").where(F.length("body") > 0)
-    got = spread(some).mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    table = np.zeros(CELLS, dtype=np.uint16)
-    table[got.column("cell").to_numpy()] = np.minimum(got.column("n").to_numpy(), 65_535)
-    return table
-
-
-def described(senders: list[str | None], bodies: list[str | None], table: np.ndarray) -> tuple[list[list[Block]], np.ndarray]:
-    """The blocks of each message, and the features of all blocks one after the other."""
-    messages, sender, passages, chunks = _segmented(senders, bodies)
-    frequency = np.log1p(np.maximum(table[sender].astype(np.float32) - 1, 0))
-    shared = table[passages] > np.where(np.repeat(_quoted_flags(messages), chunks), 0, 1)
-    total = np.concatenate(([0], np.cumsum(shared)))
-    ends = np.cumsum(chunks)
-    overlap = (total[ends] - total[ends - chunks]) / np.maximum(chunks, 1) if len(chunks) else np.empty(0)
-    parts, at = [], 0
-    for blocks in messages:
-        if blocks:
-            parts.append(features(blocks, frequency[at : at + len(blocks)], overlap[at : at + len(blocks)]))
-            at += len(blocks)
-    return messages, np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)), np.float32)
-
-
-def train(emails: DataFrame, table: np.ndarray, messages: int = TRAIN_MESSAGES) -> Trees:
-    """Trees from at most `messages` messages, chosen by a hash of email_id."""
-    some = emails.select("from_addr", "body", F.xxhash64("email_id").alias("h")).where(F.length("body") > 0)
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in slices(batches, 2):
+            senders, subjects, bodies = (c.to_pylist() for c in batch.columns)
+            kept = [[t for x in body.split("\n") if (t := x.strip()) and not QUOTE.match(x)] for body in bodies]
+            yield _line_keys([t for lines in kept for t in lines], list(map(_sender, senders)), np.array(list(map(len, kept))))
+            yield _passage_keys([" ".join(lines) for lines in kept], list(map(_thread, subjects)), np.ones(len(kept), np.int64))[0]
+
+    some = emails.select("from_addr", "subject", "body").where(F.length("body") > 0)
+    return tables.level_table(spread(some), keys_of, tables.bits_for(CELLS_A_MESSAGE * some.count()))
+
+
+class Described:
+    """The blocks of a batch of messages, and what is known of them but for the reading of their words."""
+
+    def __init__(self, senders: list, subjects: list, bodies: list, table: np.ndarray):
+        self.messages = [blocks_of(body) if body else [] for body in bodies]
+        count = np.array([len(b) for b in self.messages], np.int64)
+        self.message = np.repeat(np.arange(len(count)), count)
+        blocks = [b for m in self.messages for b in m]
+        words = [tokens(b) for b in blocks]
+        self.n = np.array(list(map(len, words)), np.int64)
+        flat = [t for w in words for t in w]
+        codes, distinct = pd.factorize(np.array(flat, dtype=object)) if flat else (np.empty(0, np.int64), [])
+        self.cells = (mixed(_hash(list(distinct))) >> np.uint64(64 - WORD_BITS)).astype(np.int64)[codes] if flat else np.empty(0, np.int64)
+        self.shape = np.concatenate([shape(m) for m in self.messages if m]) if blocks else np.zeros((0, len(SHAPE)), np.float32)
+        if not blocks:
+            return
+        bits = int(len(table)).bit_length() - 1
+        plain = [[QUOTE.sub("", t).strip() for t in b.texts] if b.kind == "quoted" else b.texts for b in blocks]
+        lines = np.array(list(map(len, plain)))
+        of_message = np.bincount(self.message, lines, len(count)).astype(np.int64)
+        found = np.maximum(tables.counts_of(table[tables.cells(_line_keys([t for p in plain for t in p], list(map(_sender, senders)), of_message), bits)]) - 1, 0)
+        self.shape[:, 2] = np.add.reduceat(np.log1p(found), np.cumsum(lines) - lines) / lines
+        keys, chunks = _passage_keys([" ".join(p) for p in plain], list(map(_thread, subjects)), count)
+        quoted = np.array([b.kind == "quoted" for b in blocks])
+        shared = np.concatenate(([0], np.cumsum(table[tables.cells(keys, bits)] > np.where(np.repeat(quoted, chunks), 0, tables.ONCE))))
+        ends = np.cumsum(chunks)
+        self.shape[:, 3] = (shared[ends] - shared[ends - chunks]) / np.maximum(chunks, 1)
+
+    def features(self, wording: Wording) -> np.ndarray:
+        return with_neighbours(self.shape, wording.read(self.cells, self.n), self.message)
+
+
+def fitted(d: Described, seed: int = 0) -> tuple[Wording, Trees]:
+    """Words and trees from the labelled blocks of a sample of messages."""
+    labels = [label(m) for m in d.messages if m]
+    y = np.concatenate(labels) if labels else np.empty(0, np.int8)
+    last = np.concatenate([np.minimum.accumulate(x[::-1])[::-1] for x in labels]) if labels else np.empty(0, np.int8)
+    both, half = np.stack([y, last]), d.message % 2 == seed
+    read = np.zeros((len(y), len(_READ)), np.float32)
+    for own in (half, ~half):
+        part = Wording.train(d.cells[np.repeat(~own, d.n)], d.n[~own], both[:, ~own])
+        read[own] = part.read(d.cells[np.repeat(own, d.n)], d.n[own])
+    return Wording.train(d.cells, d.n, both), Trees.train(with_neighbours(d.shape, read, d.message), y, rounds=100, depth=5)
+
+
+def train(emails: DataFrame, table: np.ndarray, messages: int = TRAIN_MESSAGES) -> tuple[Wording, Trees]:
+    """Words and trees from at most `messages` messages, chosen by a hash of email_id."""
+    some = emails.select("from_addr", "subject", "body", F.xxhash64("email_id").alias("h")).where(F.length("body") > 0)
     n = some.count()
     share = min(1.0, 1.2 * messages / max(n, 1))
     rows = some.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("h").limit(messages).collect()
-    blocks, x = described([r["from_addr"] for r in rows], [r["body"] for r in rows], table)
-    y = np.concatenate([label(b) for b in blocks if b]) if len(x) else np.empty(0)
-    return Trees.train(x, y)
+    return fitted(Described([r["from_addr"] for r in rows], [r["subject"] for r in rows], [r["body"] for r in rows], table))
+
+
+def _old_lines(emails: DataFrame, train_messages: int):
+    """A function of a batch (id, from_addr, subject, body): per message the numbers of its lines that are not new."""
+    table = count_table(emails)
+    sent = emails.sparkSession.sparkContext.broadcast((table, *train(emails, table, train_messages)))
+
+    def of(batch: pa.RecordBatch) -> list[list[int]]:
+        counts, wording, trees = sent.value
+        d = Described(*(batch.column(c).to_pylist() for c in (1, 2, 3)), counts)
+        old = iter((trees.probability(d.features(wording)) >= 0.5).tolist())
+        return [[no for b in blocks if next(old) for no in b.lines] for blocks in d.messages]
+
+    return of
 
 
 def not_own_lines(emails: DataFrame, train_messages: int = TRAIN_MESSAGES) -> DataFrame:
     """(email_id, line_no) of the lines of body, split at newlines and numbered from 1, that are not blank
     and that the sender did not newly write. NULL and empty bodies give none; repeated rows give
     repeated results; other columns are ignored; a NULL from_addr counts as one unknown sender."""
-    spark = emails.sparkSession
-    table = count_table(emails)
-    sent = spark.sparkContext.broadcast((table, train(emails, table, train_messages)))
+    old_lines = _old_lines(emails, train_messages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, trees = sent.value
-        for batch in slices(batches, 2):
-            messages, x = described(batch.column(1).to_pylist(), batch.column(2).to_pylist(), counts)
-            p = trees.probability(x) >= 0.5
-            ids, numbers, at = [], [], 0
-            for i, blocks in zip(batch.column(0).to_pylist(), messages):
-                for b in blocks:
-                    if p[at]:
-                        ids += [i] * len(b.lines)
-                        numbers += b.lines
-                    at += 1
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], names=["email_id", "line_no"])
+        for batch in slices(batches, 3):
+            numbers = old_lines(batch)
+            ids = np.repeat(np.arange(len(numbers)), [len(x) for x in numbers])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array([n for x in numbers for n in x], pa.int32())], names=["email_id", "line_no"])
 
-    return spread(emails.select("email_id", "from_addr", "body").where(F.length("body") > 0)).mapInArrow(run, "email_id bigint, line_no int")
+    return spread(emails.select("email_id", "from_addr", "subject", "body").where(F.length("body") > 0)).mapInArrow(run, "email_id bigint, line_no int")
 
 
 def own_text(emails: DataFrame, train_messages: int = TRAIN_MESSAGES) -> DataFrame:
-    """(email_id, own): the body of each message without the lines of not_own_lines, blank lines at its
-    ends removed; '' where nothing remains or the body is NULL. email_id must be unique."""
-    drop = not_own_lines(emails, train_messages).groupBy("email_id").agg(F.collect_set("line_no").alias("_drop"))
-    e = emails.select("email_id", "body").join(drop, "email_id", "left")
-    numbered = F.transform(F.split("body", "\n", -1), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
-    kept = F.filter(numbered, lambda s: ~F.array_contains(F.coalesce(F.col("_drop"), F.array().cast("array<int>")), s["i"]))
-    return e.select("email_id", F.coalesce(F.trim(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"), F.lit(" \n\r\t")), F.lit("")).alias("own"))
+    """(email_id, own) of every message: its body without the lines of not_own_lines and without blank lines at its
+    ends; '' where nothing remains or the body is NULL. Nothing is shuffled; repeated rows give repeated results."""
+    old_lines = _old_lines(emails, train_messages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 3):
+            own = []
+            for body, drop in zip(batch.column(3).to_pylist(), map(set, old_lines(batch))):
+                own.append("\n".join(x for no, x in enumerate((body or "").split("\n"), 1) if no not in drop).strip())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.string())], names=["email_id", "own"])
+
+    return spread(emails.select("email_id", "from_addr", "subject", "body")).mapInArrow(run, "email_id bigint, own string")

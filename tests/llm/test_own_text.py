@@ -4,7 +4,7 @@ import pytest
 from mailloom.llm.boosting import Trees
 from mailloom.llm.own_text import blocks_of, label, not_own_lines, own_text
 
-SCHEMA = "email_id bigint, from_addr string, body string, line_no string, own string"
+SCHEMA = "email_id bigint, from_addr string, body string, subject string, own string"
 BODIES = [
     ("Hi Bo,\nthe list is done, please have a look at it.\n\nBest regards,\nAnn Lee\nOffice Manager\nTel. 555 0101\n\nOn 3 May 2024 10:00, Bo <bo@x.org> wrote:\n> can you send it\n> today?", [4, 5, 6, 7, 9, 10, 11]),
     ("See below.\n\n---------- Forwarded message ----------\nFrom: Bo <bo@x.org>\nSent: Monday\nTo: Ann\nSubject: x\n\nOld text that goes on for a while.", [3, 4, 5, 6, 7, 9]),
