@@ -70,10 +70,14 @@ _SLASH = rf"^(?:{_W},? )?(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}),? {_TIME} ?([ap]m)? ?
 _EPOCH = r"^(\d{10})(?:\.(\d{1,6}))?$"
 
 
+def _numbers(values: dict[str, int]) -> Column:
+    """The values as a map of strings, written as one literal."""
+    return F.str_to_map(F.lit(" ".join(f"{k}={v}" for k, v in values.items())), F.lit(" "), F.lit("="))
+
+
 def _month(name: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for i, names in enumerate(MONTHS, 1) for n in names.split() for x in (n, i)])
-    word = F.regexp_replace(name, r"\.$", "")
-    return F.coalesce(F.try_element_at(table, word), F.expr("try_cast(NULL AS INT)"))
+    table = _numbers({n: i for i, names in enumerate(MONTHS, 1) for n in names.split()})
+    return F.try_element_at(table, F.regexp_replace(name, r"\.$", "")).try_cast("int")
 
 
 def _region(value: Column) -> Column:
@@ -81,7 +85,8 @@ def _region(value: Column) -> Column:
     name = F.regexp_extract(value, rf"(?i)({_REGION})\]?\s*(?:\(.*)?$", 1)
     words = F.transform(F.split(F.translate(name, "_", " "), "/"), lambda x: F.initcap(x))
     spelt = F.when(name == F.lower(name), F.translate(F.array_join(words, "/"), " ", "_")).otherwise(name)
-    return F.when(spelt.isin(*sorted(z for z in zoneinfo.available_timezones() if "/" in z)), spelt)
+    known = " ".join(sorted(z for z in zoneinfo.available_timezones() if "/" in z))
+    return F.when(F.contains(F.lit(f" {known} "), F.concat(F.lit(" "), spelt, F.lit(" "))), spelt)
 
 
 def utc_micros(value: Column, tz_name: Column, day_first: Column) -> Column:
@@ -118,7 +123,7 @@ def utc_micros(value: Column, tz_name: Column, day_first: Column) -> Column:
         micro = num(F.substring(F.rpad(part(6), 6, "0"), 1, 6))
         micro = F.when(part(6) == "", F.lit(0)).otherwise(micro)
         zone = part(8)
-        named = F.try_element_at(F.create_map(*[F.lit(x) for z in ZONES.items() for x in z]), zone)
+        named = F.try_element_at(_numbers(ZONES), zone).try_cast("int")
         signed = F.regexp_extract(zone, r"([+-])(\d.*)$", 2)
         # hours alone, or hours and two digits of minutes
         digits = F.translate(F.when(F.length(signed) <= 2, F.concat(signed, F.lit("00"))).otherwise(signed), ":", "")

@@ -42,8 +42,12 @@ def pieces(template: str) -> list[str | int]:
     return [int(x) if i % 2 else x for i, x in enumerate(re.split(r"\{(\d)\}", template))]
 
 
-def filled(template: str, parts: list[Column]) -> Column:
-    return F.concat(*[parts[x] if isinstance(x, int) else F.lit(x) for x in pieces(template)])
+def _format(template: str) -> str:
+    return "".join(f"%{x + 1}$s" if isinstance(x, int) else x.replace("%", "%%") for x in pieces(template))
+
+
+def _table(values: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
 def reason(kind: str, points: Column | int, *parts: Column) -> Column:
@@ -54,13 +58,12 @@ def reason(kind: str, points: Column | int, *parts: Column) -> Column:
 
 def by_kind(r: Column, texts: dict[str, str], otherwise: Column, defaults: dict[str, list[str]] | None = None) -> Column:
     """texts[kind] with the parts of the reason; a missing or empty part is the default of the kind, or ''."""
-    out = None
-    for kind, template in texts.items():
-        known = (defaults or {}).get(kind, [])
-        part = lambda i, known=known: F.coalesce(F.when(F.get(r["parts"], F.lit(i)) != "", F.get(r["parts"], F.lit(i))), F.lit(known[i] if i < len(known) else ""))
-        text = filled(template, [part(0), part(1)])
-        out = F.when(r["kind"] == kind, text) if out is None else out.when(r["kind"] == kind, text)
-    return out.otherwise(otherwise)
+    def part(i: int) -> Column:
+        own, known = F.get(r["parts"], F.lit(i)), {k: v[i] for k, v in (defaults or {}).items() if i < len(v)}
+        spare = [F.try_element_at(_table(known), r["kind"])] if known else []
+        return F.coalesce(F.when(own != "", own), *spare, F.lit(""))
+
+    return F.coalesce(F.printf(F.try_element_at(_table({k: _format(t) for k, t in texts.items()}), r["kind"]), part(0), part(1)), otherwise)
 
 
 def line(r: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+from mailloom.functions import timestamps
 from mailloom.functions.domains import SUFFIXES
 from mailloom.operators import confusables, explain, reasons, urls, wording
 from mailloom.operators.identity import BRANDS as KNOWN
@@ -301,3 +302,31 @@ SELECT email_id, CAST(d AS INT) AS dangerous, CAST(o AS INT) AS odd_archives FRO
     "separate_attachment_points": r"""WITH x AS (SELECT email_id, lower(attachments) AS a FROM parse_eml), n AS (SELECT email_id, 4 * len(regexp_extract_all(a, '\.(exe|scr|pif)["''\]]*\s*([;,|\n\r\t]|$)')) + 2 * len(regexp_extract_all(a, '[^;,|\n\r\t"]{97,}\.(zip|rar|7z)["''\]]*\s*([;,|\n\r\t]|$)')) AS p FROM x)
 SELECT email_id, CAST(p AS INT) AS points FROM n WHERE p > 0""",
 }
+
+# dates by notation: pattern, and year|month|day|hour|minute|second|fraction|am or pm|zone; F1 and F2 are the slashed parts
+_T = r"(\d{1,2})[:.](\d\d)(?:[:.](\d\d)(?:[.,](\d{1,9}))?)?"
+_NOTATIONS = [
+    (rf"^(\d{{4}})-(\d\d)-(\d\d)[t ]{_T} ?(z|[+-]\d\d:?\d\d)?(?:\[.*\]| [a-z_/]+)?$", r"\1|\2|\3|\4|\5|\6|\7||\8"),
+    (rf"^(?:[a-z]+, ?)?(\d{{1,2}})[ -]([^\d\s.-]+)[.]?[ -](\d{{4}}|\d\d) {_T} ?([a-z]{{1,5}}|[+-]\d{{4}})?$", r"\3|\2|\1|\4|\5|\6|\7||\8"),
+    (rf"^[a-z]+ ([a-z]+) (\d{{1,2}}) {_T}(?: ([a-z]{{1,5}}))? (\d{{4}})$", r"\8|\1|\2|\3|\4|\5|\6||\7"),
+    (r"^(\d{4})(\d\d)(\d\d)t(\d\d)(\d\d)(\d\d)z$", r"\1|\2|\3|\4|\5|\6|||z"),
+    (rf"^(\d\d)[.](\d\d)[.](\d{{4}}) {_T}$", r"\3|\2|\1|\4|\5|\6|\7||"),
+    (rf"^([a-z]+) (\d{{1,2}}), (\d{{4}}) {_T} ?([ap]m)?$", r"\3|\1|\2|\4|\5|\6|\7|\8|"),
+]
+_SLASHED = rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}) {_T} ?([ap]m)?$"
+_CANONICAL = "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN regexp_replace(s, '{p}', '{f}')" for p, f in _NOTATIONS)
+_CANONICAL += " WHEN regexp_matches(s, '{0}') THEN regexp_replace(s, '{0}', CASE WHEN day_first THEN '{1}' ELSE '{2}' END) END".format(_SLASHED, r"\3|\2|\1|\4|\5|\6|\7|\8|", r"\3|\1|\2|\4|\5|\6|\7|\8|")
+_NAMED = "(VALUES " + ", ".join(f"('{n}', {i})" for i, names in enumerate(timestamps.MONTHS, 1) for n in names.split()) + ") AS mn(name, no)"
+_ZONED = "(VALUES " + ", ".join(f"('{z}', {m})" for z, m in timestamps.ZONES.items()) + ") AS zn(zone, minutes)"
+_local = lambda us: f"epoch_us(timezone(tz, make_timestamptz({us})))"
+ORACLES["p6_found"] = rf"""WITH g AS (SELECT gateway, min(tz_name) AS tz, min(day_first) AS day_first FROM gateways GROUP BY 1),
+a AS (SELECT email_id, coalesce(tz, 'UTC') AS tz, coalesce(day_first, false) AS day_first, trim(regexp_replace(lower(trim(regexp_replace(date_hdr, '\s+', ' ', 'g'))), ' ?\(.*\)$', '')) AS s FROM parse_eml e LEFT JOIN g ON g.gateway = e.gateway WHERE date_hdr IS NOT NULL),
+b AS (SELECT *, string_split({_CANONICAL}, '|') AS p FROM a),
+c AS (SELECT b.*, try_cast(p[1] AS INT) AS y, coalesce(try_cast(p[2] AS INT), no) AS mo, try_cast(p[3] AS INT) AS d, try_cast(p[4] AS INT) AS h, p[5] AS mi, CASE WHEN p[6] = '' THEN '00' ELSE p[6] END AS se, CASE WHEN p[7] = '' THEN 0 ELSE CAST(substr(rpad(p[7], 6, '0'), 1, 6) AS INT) END AS us, p[8] AS half, p[9] AS z
+ FROM b LEFT JOIN {_NAMED} ON mn.name = p[2] WHERE p IS NOT NULL),
+d2 AS (SELECT *, epoch_us(try_cast(printf('%04d-%02d-%02d %02d:%s:%s', CASE WHEN y < 50 THEN y + 2000 WHEN y < 100 THEN y + 1900 ELSE y END, mo, d, CASE WHEN half = '' THEN h ELSE h % 12 + CASE half WHEN 'pm' THEN 12 ELSE 0 END END, mi, se) AS TIMESTAMP)) AS t FROM c WHERE mo IS NOT NULL),
+o AS (SELECT *, t - ({_local('t - 86400000000')} - (t - 86400000000)) AS ub, t - ({_local('t + 86400000000')} - (t + 86400000000)) AS ua FROM d2 WHERE t IS NOT NULL),
+r AS (SELECT email_id, us + CASE WHEN regexp_matches(z, '^[a-z]') THEN t - CAST(minutes AS BIGINT) * 60000000 WHEN z <> '' THEN t - CAST(CASE WHEN z LIKE '-%' THEN -1 ELSE 1 END * (CAST(substr(z, 2, 2) AS BIGINT) * 60 + CAST(right(z, 2) AS BIGINT)) AS BIGINT) * 60000000
+ WHEN {_local('ub')} = t THEN ub WHEN {_local('ua')} = t THEN ua ELSE ub END AS utc_us FROM o LEFT JOIN {_ZONED} ON zone = z),
+n AS (SELECT email_id, CASE WHEN regexp_matches(s, '^\d{{10}}$') THEN CAST(s AS BIGINT) * 1000000 WHEN regexp_matches(s, '^\d{{13}}$') THEN CAST(s AS BIGINT) * 1000 WHEN regexp_matches(s, '^\d{{10}}[.]\d{{1,6}}$') THEN CAST(split_part(s, '.', 1) AS BIGINT) * 1000000 + CAST(rpad(split_part(s, '.', 2), 6, '0') AS BIGINT) END AS utc_us FROM a)
+SELECT email_id, CAST(utc_us AS BIGINT) AS utc_us FROM (SELECT * FROM r UNION ALL SELECT * FROM n) WHERE utc_us IS NOT NULL"""
