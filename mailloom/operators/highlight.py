@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def marked(body: str, phrases: list[str], links: list[tuple[str, list[str]]]) -> str:
@@ -22,11 +22,15 @@ def marked(body: str, phrases: list[str], links: list[tuple[str, list[str]]]) ->
     return out
 
 
-def highlight(body: Column, phrases: Column, links: Column) -> Column:
-    """marked() as an Arrow-batched function; NULL bodies stay NULL. links: array<struct<url, reasons, ...>>."""
+def highlighted(scored: DataFrame, key: str) -> DataFrame:
+    """(key, marked) of scored messages (body, matched_keywords, suspicious_urls): marked() in Arrow batches. NULL
+    bodies stay NULL, NULL arrays count as empty ones."""
 
-    @F.pandas_udf("string")
-    def run(b: pd.Series, p: pd.Series, u: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else marked(x, list(y) if y is not None else [], [(v["url"], list(v["reasons"])) for v in (z if z is not None else [])]) for x, y, z in zip(b, p, u)], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns[1:]))
+            out = [None if b is None else marked(b, p or [], [(u["url"], u["reasons"] or []) for u in links or []]) for b, p, links in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["key", "marked"])
 
-    return run(body, phrases, links)
+    kind = scored.schema[key].dataType.simpleString()
+    return scored.select(key, "body", "matched_keywords", "suspicious_urls").mapInArrow(run, f"key {kind}, marked string").withColumnRenamed("key", key)

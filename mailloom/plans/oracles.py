@@ -187,9 +187,9 @@ def _listed(text) -> str:
 #: Per message its score and label, `ex`: its reasons as lines, `hu`: as sentences, `us`: its risky links
 EXPLAINED = f"""{SCORED}, {KB},
 la AS (SELECT email_id, list({_line("link", "applied", "url", "rs")} ORDER BY pos, url) FILTER (applied > 0) AS ll, list({_told("link", "applied", "url", "rs")} ORDER BY pos, url) FILTER (applied > 0) AS lt,
- list(url ORDER BY pos, url) AS us FROM (SELECT *, {_REASONS} AS rs FROM k) GROUP BY 1),
+ list(url ORDER BY pos, url) AS us, list(url || chr(1) || rs ORDER BY pos, url) AS mk FROM (SELECT *, {_REASONS} AS rs FROM k) GROUP BY 1),
 ba AS (SELECT email_id, string_agg(b, ', ' ORDER BY b) AS br FROM bm GROUP BY 1),
-w0 AS (SELECT m.*, ll, lt, us, br, mdom, raw, sc.score, sc.label, {conf("m.fh")} AS cr, {LEX} AS lex, {LABELS} AS labels,
+w0 AS (SELECT m.*, ll, lt, us, mk, br, mdom, raw, sc.score, sc.label, {conf("m.fh")} AS cr, {LEX} AS lex, {LABELS} AS labels,
  CASE WHEN len(received) > 5 THEN len(received) || ' headers (>5)' WHEN len(list_filter(received, lambda r: length(r) > 1000)) > 0 THEN len(list_filter(received, lambda r: length(r) > 1000)) || ' header(s) with length >1000' END AS rr,
  list_filter([{", ".join(f"nullif({_hit(p)}, '')" for p, _, _ in wording.LEXICON)}], lambda x: x IS NOT NULL) AS kw
  FROM m JOIN sc ON sc.email_id = m.email_id JOIN p ON p.email_id = m.email_id LEFT JOIN la ON la.email_id = m.email_id LEFT JOIN ba ON ba.email_id = m.email_id LEFT JOIN md ON md.email_id = m.email_id),
@@ -330,3 +330,35 @@ r AS (SELECT email_id, us + CASE WHEN regexp_matches(z, '^[a-z]') THEN t - CAST(
  WHEN {_local('ub')} = t THEN ub WHEN {_local('ua')} = t THEN ua ELSE ub END AS utc_us FROM o LEFT JOIN {_ZONED} ON zone = z),
 n AS (SELECT email_id, CASE WHEN regexp_matches(s, '^\d{{10}}$') THEN CAST(s AS BIGINT) * 1000000 WHEN regexp_matches(s, '^\d{{13}}$') THEN CAST(s AS BIGINT) * 1000 WHEN regexp_matches(s, '^\d{{10}}[.]\d{{1,6}}$') THEN CAST(split_part(s, '.', 1) AS BIGINT) * 1000000 + CAST(rpad(split_part(s, '.', 2), 6, '0') AS BIGINT) END AS utc_us FROM a)
 SELECT email_id, CAST(utc_us AS BIGINT) AS utc_us FROM (SELECT * FROM r UNION ALL SELECT * FROM n) WHERE utc_us IS NOT NULL"""
+
+# file names: quotes part a value; odd pieces (by number from 0) are literals, the rest ends a name behind an extension
+_D = r"[;,|\n\r\t]"
+_EXT = r"([.][0-9]*[a-zA-Z][a-zA-Z0-9]*)"
+_SINGLE = rf"""(^|{_D} ?|\[)''([^''"\n]*)''(\s*($|[;,|\n\r\t<\]]))"""
+_UNDOUBLED = [(r'([^;,|\n\r\t\[ ])""([^;,|\n\r\t ])', r"\1~Q~\2"), (r'([\pL\pN ])""([.])', r"\1~Q~\2"), (r' ""([\pL\pN])', r" ~Q~\1")]
+_quoted = "replace(v, '\\\"', '~Q~')"
+for _p, _r in _UNDOUBLED:
+    _quoted = f"regexp_replace({_quoted}, '{_p}', '{_r}', 'g')"
+for _ in range(2):
+    _quoted = f"""regexp_replace({_quoted}, '{_SINGLE}', '\\1"\\2"\\3', 'g')"""
+_FILES = rf"""fq AS (SELECT email_id, string_split({_quoted}, '"') AS p FROM (SELECT email_id, attachments AS v FROM parse_eml WHERE attachments IS NOT NULL)),
+fj AS (SELECT email_id, array_to_string(list_transform(p, lambda x, i: CASE WHEN i % 2 = 0 AND i < len(p) THEN '~O~' || x || CASE WHEN regexp_matches(x, '{_EXT}$') THEN '~B~' ELSE '' END
+ ELSE regexp_replace(regexp_replace(x, '{_EXT}\s*(({_D}|/)\s*)+', '\1~B~', 'g'), '^\s*({_D}\s*)+|^\s*\[|\]\s*$', '~B~', 'g') END), '') AS w FROM fq),
+fi AS (SELECT email_id, list_filter(list_transform(string_split(w, '~B~'), lambda x: replace(trim(replace(x, '~O~', '')), '~Q~', '"')), lambda x: x <> '') AS a FROM fj)"""
+_ITEMS = rf"""x AS (SELECT email_id, 'to_addr' AS field, to_addr AS v FROM parse_eml UNION ALL SELECT email_id, 'cc', cc FROM parse_eml), {_FILES},
+l AS (SELECT email_id, field, regexp_extract_all(v, '{_OWN_ADDRESS}') AS a FROM x UNION ALL SELECT email_id, 'attachments', a FROM fi)"""
+ORACLES["p2_items"] = f"WITH {_ITEMS} SELECT email_id, field, CAST(unnest(range(1, len(a) + 1)) AS INT) AS pos, unnest(a) AS item FROM l"
+ORACLES["p2_found"] = f"WITH {_ITEMS} SELECT email_id, field, CAST(unnest(range(1, len(a) + 1)) AS INT) AS pos, unnest(a) AS item FROM l WHERE len(a) >= 2"
+
+
+def _html(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+_marked = _html("body")
+for _p, _, _ in wording.LEXICON:
+    _marked = f"""CASE WHEN {_hit(_p)} = '' THEN {_marked} ELSE regexp_replace({_marked}, '(?i)' || {_hit(_p)}, '<mark title="Matched phishing keyword">\\0</mark>', 'g') END"""
+ORACLES["highlight_body"] = f"""WITH {EXPLAINED}, h0 AS (SELECT *, list_transform(coalesce(mk, []), lambda x: {_html("x")}) AS hm FROM w1 WHERE len(kw) > 0 OR len(mk) > 0), h1 AS (SELECT *, {_marked} AS hb FROM h0)
+SELECT email_id, CASE WHEN len(hm) > 0 THEN list_reduce(hm, lambda a, x: replace(a, split_part(x, chr(1), 1), '<mark title="' || split_part(x, chr(1), 2) || '">' || split_part(x, chr(1), 1) || '</mark>'), hb) ELSE hb END AS marked FROM h1"""

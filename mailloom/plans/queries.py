@@ -288,7 +288,7 @@ def separate_attachment_points(spark, d):
 @query
 def highlight_body(spark, d):
     s = _scored(spark, d).where(F.size("matched_keywords") + F.size("suspicious_urls") > 0)
-    return s.select("email_id", highlight.highlight(F.col("body"), F.col("matched_keywords"), F.col("suspicious_urls")).alias("marked"))
+    return highlight.highlighted(s, "email_id")
 
 
 @query

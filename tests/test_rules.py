@@ -140,6 +140,14 @@ def test_highlight():
     assert highlight.marked("Login <b> http://a?x&y", ["login"], [("http://a?x&y", ["R"])]) == '<mark title="Matched phishing keyword">Login</mark> &lt;b&gt; <mark title="R">http://a?x&amp;y</mark>'
 
 
+def test_highlighted_rows(spark):
+    kind = "email_id bigint, body string, matched_keywords array<string>, suspicious_urls array<struct<url:string,reasons:array<string>,score:int>>, marked string"
+    df = spark.createDataFrame([(1, "a <Login>", ["login"], [("http://x", ["A", "B"], 2)], "c"), (2, None, ["x"], [], "c"), (3, "see http://x", None, [("http://x", None, 1)], "c")], kind)
+    got = {r["email_id"]: r["marked"] for r in highlight.highlighted(df, "email_id").collect()}
+    assert got == {1: 'a &lt;<mark title="Matched phishing keyword">Login</mark>&gt;', 2: None, 3: 'see <mark title="Suspicious link">http://x</mark>'}
+    assert highlight.highlighted(df.where("false"), "email_id").count() == 0
+
+
 def test_cleaning(spark):
     values = ["a​b  c \n\n\n\n d\t", "plain  x \n\n\n y ", None, "", "ﬁ x"]
     assert column(spark, values, cleaning.clean_text) == [cleaning.clean_characters(v) for v in values] == ["ab c\n\nd", "plain x\n\ny", "", "", "fi x"]
