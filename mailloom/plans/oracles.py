@@ -362,3 +362,40 @@ for _p, _, _ in wording.LEXICON:
     _marked = f"""CASE WHEN {_hit(_p)} = '' THEN {_marked} ELSE regexp_replace({_marked}, '(?i)' || {_hit(_p)}, '<mark title="Matched phishing keyword">\\0</mark>', 'g') END"""
 ORACLES["highlight_body"] = f"""WITH {EXPLAINED}, h0 AS (SELECT *, list_transform(coalesce(mk, []), lambda x: {_html("x")}) AS hm FROM w1 WHERE len(kw) > 0 OR len(mk) > 0), h1 AS (SELECT *, {_marked} AS hb FROM h0)
 SELECT email_id, CASE WHEN len(hm) > 0 THEN list_reduce(hm, lambda a, x: replace(a, split_part(x, chr(1), 1), '<mark title="' || split_part(x, chr(1), 2) || '">' || split_part(x, chr(1), 1) || '</mark>'), hb) ELSE hb END AS marked FROM h1"""
+
+# complement Bayes on TF-IDF of words and pairs of words, fitted on the part that is not test: terms of two or more texts,
+# unit length; a class is described by the weights of the other one, smoothed by 1
+_TOKENS = r"regexp_extract_all(lower(text), '[\pL\pN_]{2,}')"
+
+
+def _weights(rows: str) -> str:
+    """CTEs: s (words of each text, and whether it is in the test part), x (unit TF-IDF weights), sm (their sums per term and label of the fitted rows)."""
+    return f"""{_RANKED}, s0 AS (SELECT training_id, email_id, l, text, k <= floor(n * 0.2::DOUBLE + 0.5) AS is_test, {_TOKENS} AS w FROM r), s AS ({rows}),
+tm AS (SELECT training_id, l, is_test, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM s),
+tf AS (SELECT training_id, l, is_test, term, count(*) AS c FROM tm GROUP BY ALL), nd AS (SELECT count(*) AS n FROM s WHERE NOT is_test),
+df AS (SELECT term, ln(((SELECT n FROM nd) + 1) / (count(*) + 1)) + 1 AS idf FROM tf WHERE NOT is_test GROUP BY 1 HAVING count(*) >= 2),
+x AS (SELECT training_id, l, is_test, term, c * idf / sqrt(sum(c * idf * c * idf) OVER (PARTITION BY training_id)) AS v FROM tf JOIN df USING (term)),
+sm AS (SELECT term, coalesce(sum(v) FILTER (l = 'ham'), 0) AS h, coalesce(sum(v) FILTER (l = 'spam'), 0) AS p FROM x WHERE NOT is_test GROUP BY 1),
+tot AS (SELECT sum(h) AS h, sum(p) AS p, count(*) AS f FROM sm)"""
+
+
+_COMPLEMENT = f"""{_weights("SELECT * FROM s0")},
+th AS (SELECT term, -ln((h + 1) / ((SELECT h + f FROM tot))) AS spam, -ln((p + 1) / ((SELECT p + f FROM tot))) AS ham FROM sm),
+lg AS (SELECT s.training_id, s.email_id, s.l, coalesce(sum(v * spam), 0) - coalesce(sum(v * ham), 0) AS lead FROM s LEFT JOIN x ON x.training_id = s.training_id LEFT JOIN th ON th.term = x.term WHERE s.is_test GROUP BY ALL),
+pr AS (SELECT training_id, email_id, l, CASE WHEN lead > 0 THEN 'Phishing' ELSE 'Legitimate' END AS verdict, round(100 / (1 + exp(-abs(lead))), 2) AS percent FROM lg)"""
+# multinomial Bayes: at most 1,396 ham rows are fitted; a class is described by its own weights, and its share counts
+_THINNED = "SELECT * EXCLUDE (hk) FROM (SELECT *, row_number() OVER (PARTITION BY is_test, l ORDER BY md5(text), text) AS hk FROM s0) WHERE is_test OR l <> 'ham' OR hk <= 1396"
+_MULTINOMIAL = f"""{_weights(_THINNED)},
+th AS (SELECT term, ln((p + 1) / ((SELECT p + f FROM tot))) AS spam, ln((h + 1) / ((SELECT h + f FROM tot))) AS ham FROM sm), cl AS (SELECT ln(count(*) FILTER (l = 'spam') / count(*) FILTER (l = 'ham')) AS prior FROM s WHERE NOT is_test),
+lg AS (SELECT s.training_id, coalesce(sum(v * spam), 0) - coalesce(sum(v * ham), 0) + (SELECT prior FROM cl) AS lead FROM s LEFT JOIN x ON x.training_id = s.training_id LEFT JOIN th ON th.term = x.term WHERE s.is_test GROUP BY ALL),
+pr AS (SELECT training_id, CASE WHEN lead > 0 THEN 'Phishing' ELSE 'Legitimate' END AS verdict, round(100 / (1 + exp(-abs(lead))), 2) AS percent FROM lg)"""
+_REPORT = """x AS (SELECT l AS label FROM g UNION SELECT p FROM g), c AS (SELECT label, count(*) FILTER (l = label) AS support, count(*) FILTER (p = label) AS given, count(*) FILTER (l = label AND p = label) AS hit FROM x, g GROUP BY 1),
+r AS (SELECT label, support, CASE WHEN given > 0 THEN hit / given ELSE 0 END AS precision, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS recall FROM c)
+SELECT label, support, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1, (SELECT count(*) FILTER (l = p) / count(*) FROM g) AS accuracy FROM r"""
+ORACLES |= {
+    "train_predict_nb_complement": f"WITH {_COMPLEMENT} SELECT training_id, verdict, percent, printf('%.2f', percent) AS shown FROM pr",
+    "train_predict_nb_multinomial": f"WITH {_MULTINOMIAL} SELECT training_id, verdict, percent, printf('%.2f', percent) AS shown FROM pr",
+    "model_report": f"WITH q AS (WITH {_COMPLEMENT} SELECT * FROM pr), g AS (SELECT l, CASE verdict WHEN 'Phishing' THEN 'spam' ELSE 'ham' END AS p FROM q), {_REPORT}",
+    "ml_with_rules": f"""WITH q AS (WITH {_COMPLEMENT} SELECT * FROM pr), rules AS (WITH {SCORED} SELECT email_id, label, score FROM sc)
+SELECT q.email_id, verdict, label AS rules_label, score AS rules_score, (verdict = 'Phishing') = (label <> 'LOW') AS agree FROM q LEFT JOIN rules ON rules.email_id = q.email_id""",
+}

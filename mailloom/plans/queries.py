@@ -492,7 +492,7 @@ def ml_with_rules(spark, d):
         return spark.createDataFrame([], "email_id bigint, verdict string, rules_label string, rules_score int, agree boolean")
     model = learning.complement_bayes(rows.where("not is_test"))
     told = learning.predict(model, rows.where("is_test").select("email_id", "text"))
-    both = learning.with_rules(told, _scored(spark, d), "email_id")
+    both = learning.with_rules(told, _scored(spark, d, joined_attachments=True), "email_id")
     return both.select("email_id", "verdict", "rules_label", "rules_score", "agree")
 
 
