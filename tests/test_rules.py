@@ -26,6 +26,34 @@ def test_brands(spark):
     assert got == [["paypal"], ["bank of america"], ["chase bank"], [], [], []]
 
 
+def test_fuzzy_domains_count_characters_or_bytes(spark):
+    hosts = ["acme.org", "acmee.org", "x.acme.org", "\xa0acme.org", "аcme.org", "ac\u200bme.org", "bücher.de", "bucher.de", "bècher.de", "", None, "far.org"]
+    df = spark.createDataFrame([(h,) for h in hosts * 2], "host string")
+    plain = {h: [m] for h, m in zip(hosts, ["acme.org"] * 4 + [None] * 2 + ["bücher.de"] * 3) if m}
+    got = lambda **how: {r["host"]: r["matches"] for r in identity.fuzzy_domains(df, ["Acme.org", " bücher.de."], **how).collect()}
+    assert got() == plain | {"аcme.org": ["acme.org"], "ac\u200bme.org": ["acme.org"]}
+    # u for the two bytes of ü is two edits; è shares the first byte of ü, so it is one
+    assert got(by_bytes=True) == {h: m for h, m in plain.items() if h != "bucher.de"}
+
+
+def test_fuzzy_domain_match_equals_sql_on_letters_beyond_ascii(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    hosts = ["acme.org", "аcme.org", "ac\u2060me.org", "acm.org", "x.acme.org", "bucher.de", "bècher.de", "\u3000acme.org", "", None]
+    spark.createDataFrame([(h,) for h in hosts], "host string").write.parquet(f"{tmp_path}/email_urls.parquet")
+    cols = ["from_addr", "reply_to", "return_path", "subject", "body"]
+    spark.createDataFrame([(1, "a@acme.оrg", "b@acmé.org", None, None, None), (2, None, "b@ACME.org", None, "", "")], f"email_id bigint, {', '.join(c + ' string' for c in cols)}").write.parquet(f"{tmp_path}/parse_eml.parquet")
+    spark.createDataFrame([(1, "Acme", "acme.org"), (2, "Buch", "bücher.de")], "ord bigint, brand_name string, brand_domain string").write.parquet(f"{tmp_path}/known_brands.parquet")
+    con = duckdb.connect()
+    for t in ("email_urls", "parse_eml", "known_brands"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["fuzzy_domain_match"]).fetchall()
+    got = [(r["host"], r["matches"]) for r in entry.queries()["fuzzy_domain_match"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and ("bècher.de", "bücher.de") in want and "аcme.org" not in dict(want)
+
+
 def test_brand_lists(spark):
     lines = spark.createDataFrame([(0, "# c"), (1, "Acme | acme.com, ACME.org"), (2, " PayPal | pp.com"), (3, "Solo"), (4, "acme | acme.com"), (5, ""), (6, " | lone.org")], "ord int, value string")
     names, hosts = identity.brand_lists(lines, spark)
