@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 from mailloom.llm.encodings import Model, restore_fields, train
@@ -80,6 +82,47 @@ def test_training_works_on_nothing(spark):
     assert train(few).restore("Grüße")[1] is False
 
 
+def test_training_counts_all_documents(spark):
+    # more lang values, texts of each, lines of a text and characters of a line than a sample would have
+    rows = [(i, "de", f"Wort{i} und Wort{i} zählt\nGrüße") for i in range(1500)]
+    rows += [(2000 + i, f"l{i}", f"nur{i} hier{i} nur{i} hier{i} nur{i} hier{i}") for i in range(30)]
+    rows += [(3000, "fr", "début " + "x " * 3000 + "dernière fois dernière fois\n" + "ligne\n" * 300 + "fin fin"), (3001, None, "ohne Sprache ohne Sprache"), (3002, "de", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    m = train(docs.repartition(7))
+    local = Model.train((lang, text) for _, lang, text in rows if text)
+    assert m.dictionaries == local.dictionaries and m.words == local.words and m.alphabet == local.alphabet
+    assert set(m.dictionaries) == {"de", "fr", "", *(f"l{i}" for i in range(30))}
+    assert all(f"hier{i} nur{i}".encode() in m.dictionaries[f"l{i}"] for i in range(30)) and m.encode("fois dernière") in m.dictionaries["fr"] and b"fin" in m.dictionaries["fr"] and b"ohne Sprache" in m.dictionaries[""]
+    assert sum(f"Wort{i} ".encode() in m.dictionaries["de"] for i in range(1500)) == 1500
+
+
+def test_dictionary_of_counts():
+    import zstandard
+
+    from mailloom.llm import dictionaries
+
+    pieces, letters, lines = Counter(), Counter(), [f"the quick brown fox jumps over {i} lazy dogs again" for i in range(200)]
+    for x in lines:
+        dictionaries.count_pieces(x, pieces)
+        letters.update(x)
+    assert pieces["the"] == 200 and pieces["quick brown fox"] == 200 and pieces["7"] == 1
+    raw = dictionaries.dictionary(pieces, letters, str.encode, 400)
+    d = zstandard.ZstdCompressionDict(raw)
+    assert d.dict_id() == 1 and b"the quick brown fox jumps over" in raw
+    for x in (lines[7], "nothing of it 0123", "".join(map(chr, range(1, 256)))):
+        packed = zstandard.ZstdCompressor(dict_data=d).compress(x.encode())
+        assert zstandard.ZstdDecompressor(dict_data=d).decompress(packed) == x.encode()
+    size = lambda x, **how: len(zstandard.ZstdCompressor(level=3, **how).compress(x.encode()))
+    digits = "0123456789 9876543210 0246813579"
+    # what no piece has takes fewer bits by the lengths of its literals alone
+    assert size(lines[7], dict_data=d) < size(lines[7]) - 20 and size(digits, dict_data=d) < size(digits)
+    # what was not looked at would have changed nothing
+    many = Counter({f"w{i}": 1000 - i for i in range(900)} | {f"a{i} b c{i}": i for i in range(900)})
+    best = sorted(many, key=lambda x: (-dictionaries.score(x, many[x]), x))[: dictionaries.looked_at(100)]
+    assert dictionaries.dictionary(many, letters, str.encode, 100) == dictionaries.dictionary({x: many[x] for x in best}, letters, str.encode, 100)
+    assert dictionaries.dictionary({}, {}, str.encode, 100) == b"" == dictionaries.dictionary({"once": 1}, {"o": 1}, str.encode, 100)
+
+
 def test_letters_that_are_right_elsewhere_hide_nothing(model):
     # é as Ú, á as ß, £ as ú and € as Ç: all of them letters of some clean text, or cases of one
     wide = Model(model.dictionaries, model.alphabet + "ÚßúÇïÓ", model.words)
