@@ -86,3 +86,20 @@ def test_operator(spark):
     assert (2, "Paypal") in forms and (3, None) in forms
     assert find_cases(df.where("false"), "email_id", ["from_addr", "body"], model, []).count() == 0 and one_form(df.where("false"), "email_id", ["body"]).count() == 0
     assert char_counts(df.where("false"), ["body"]) == {}
+
+
+def test_p5_found_has_a_model_of_all_documents(spark, tmp_path, monkeypatch):
+    from mailloom.llm import lookalikes, queries
+
+    # more lang values, and more texts of one, than a sample would have
+    docs = [(i, f"l{i % 30}", f"Grüße{i % 30} an alle") for i in range(90)] + [(100 + i, "de", f"Wort{i} läuft und Wort{i} läuft") for i in range(600)]
+    spark.createDataFrame(docs, "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    bad = "Grüße29 an alle".encode().decode("cp1252") + "\xa0x"
+    spark.createDataFrame([(1, "a@x.org", "Pаypal"), (2, "ｅlna@x.org", bad), (3, None, None)], "email_id bigint, from_addr string, body string").write.parquet(f"{tmp_path}/parse_eml.parquet")
+    models, find = [], lookalikes.find_cases
+    monkeypatch.setattr(lookalikes, "find_cases", lambda rows, key, fields, model, also: models.append(model) or find(rows, key, fields, model, also))
+    got = sorted(map(tuple, queries.p5_found(spark, str(tmp_path)).collect()))
+    assert got == [(1, "body"), (2, "from_addr")]
+    whole = Model.train((lang, text) for _, lang, text in docs)
+    assert models[0].dictionaries == whole.dictionaries and len(whole.dictionaries) == 31 and models[0].words == whole.words
+    assert all(f"Wort{i} ".encode() in whole.dictionaries["de"] for i in range(600))
