@@ -96,6 +96,30 @@ def test_training_counts_all_documents(spark):
     assert sum(f"Wort{i} ".encode() in m.dictionaries["de"] for i in range(1500)) == 1500
 
 
+def test_training_keeps_all_words_that_have_their_share_of_all():
+    import pyarrow as pa
+
+    from mailloom.llm.encodings import LEAST_SHARE, RARE, WORDS, Counts, _firsts
+
+    def task(own):
+        shape = pa.schema([("kind", pa.int32()), ("lang", pa.string()), ("item", pa.string()), ("n", pa.int64()), ("score", pa.float64())])
+        rows = [[WORDS] * len(own), [""] * len(own), list(own), list(own.values()), list(map(float, own.values()))]
+        return list(_firsts(iter(pa.record_batch(rows, schema=shape).slice(i, 400_000) for i in range(0, len(own), 400_000))))
+
+    # more words than a task folds at once; what is rare in one task is counted still
+    parts = [{f"é{i}": 3 for i in range(900_000)} | {"ä": 10_000_000, "ö": 2, "ü": 1}, {"ß": 9_000_000, "é": 1}]
+    sent = [b for own in parts for b in task(own)]
+    counts = Counts()
+    for b in _firsts(iter(sent)):
+        counts[WORDS, ""].update(dict(zip(b.column(2).to_pylist(), b.column(3).to_pylist())))
+    total = sum(sum(own.values()) for own in parts)
+    assert sum(counts[WORDS, ""].values()) == total and RARE in counts[WORDS, ""]
+    assert Model.of_counts(counts).words == {"ä", "ß"} and 3 < LEAST_SHARE * total
+    few = Counts()
+    few[WORDS, ""].update({f"é{i}": 5 for i in range(250_000)} | {RARE: 10_000_000})
+    assert len(Model.of_counts(few).words) == 250_000
+
+
 def test_dictionary_of_counts():
     import zstandard
 

@@ -103,3 +103,19 @@ def test_p5_found_has_a_model_of_all_documents(spark, tmp_path, monkeypatch):
     whole = Model.train((lang, text) for _, lang, text in docs)
     assert models[0].dictionaries == whole.dictionaries and len(whole.dictionaries) == 31 and models[0].words == whole.words
     assert all(f"Wort{i} ".encode() in whole.dictionaries["de"] for i in range(600))
+
+
+def test_p5_found_knows_rare_words_and_counts_all_values(spark, tmp_path):
+    from itertools import islice, product
+
+    from mailloom.llm import queries
+
+    # one right word behind 210,000 as rare ones, which reads as a more frequent word of another encoding
+    many = ["".join(w) + "é" for w in islice(product("abcdefghijkl", repeat=5), 210_000)]
+    texts = [" ".join(many[i : i + 5000]) for i in range(0, len(many), 5000)] + ["zácilo zácilo zácilo"] * 3 + ["zßcilo"]
+    spark.createDataFrame([(i, "es", x) for i, x in enumerate(texts)], "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    mails = spark.createDataFrame([(1, "aab@x.org", "Pаypal zßcilo"), (2, "abc@x.org", "plain"), (3, "ca", None)], "email_id bigint, from_addr string, body string")
+    mails.write.parquet(f"{tmp_path}/parse_eml.parquet")
+    counted = char_counts(mails, ["from_addr", "body"])
+    assert counted["a"] == 6 and counted["ß"] == 1 and counted["а"] == 1
+    assert sorted(map(tuple, queries.p5_found(spark, str(tmp_path)).collect())) == [(1, "body")]
